@@ -47,7 +47,7 @@ def register(name: str, fn: Callable[[Warehouse], DataFrame], sql: str | None) -
 
 def entries() -> dict[str, Entry]:
     if not _ENTRIES:
-        from croupier import catalog_entries, catalog_more, catalog_scores  # noqa: F401  (fill the registry)
+        from croupier import catalog_entries, catalog_more, catalog_rules, catalog_scores  # noqa: F401  (fill the registry)
     return _ENTRIES
 
 
