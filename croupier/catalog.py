@@ -47,7 +47,8 @@ def register(name: str, fn: Callable[[Warehouse], DataFrame], sql: str | None) -
 
 def entries() -> dict[str, Entry]:
     if not _ENTRIES:
-        from croupier import catalog_entries, catalog_more, catalog_rules, catalog_scores, catalog_semantic  # noqa: F401,E501  (fill the registry)
+        from croupier import (catalog_entries, catalog_evidence, catalog_more, catalog_rules,  # noqa: F401  (fill the registry)
+                              catalog_scores, catalog_semantic)
     return _ENTRIES
 
 
