@@ -1,13 +1,14 @@
 """Exact linear-interpolation quantiles without gathering a column in one task.
 
 Spark's exact ``percentile`` aggregate keeps every value of the group in one buffer; over a
-whole player table that is one task holding the column. Here each needed order statistic
-is found in two scans:
+whole player table that is one task holding the column. Here every needed order statistic
+(of any number of columns) is found in three passes over the data:
 
-1. ``percentile_approx`` (a mergeable sketch, partial aggregation on every task) brackets
-   the wanted rank within ``±n/accuracy`` ranks;
-2. one pass counts the values below each bracket and collects only the values inside the
-   brackets (about ``4n/accuracy`` values per rank), sorted on the driver.
+1. non-null counts per column;
+2. ``percentile_approx`` (a mergeable sketch, partially aggregated on every task) brackets
+   each wanted rank within ``±n/accuracy`` ranks;
+3. one pass counts the values below each bracket and collects only the values inside the
+   brackets (about ``4n/accuracy`` values per rank), sorted.
 
 The interpolation rule matches ``percentile``/``quantile_cont``: with ``pos = (n-1)p``,
 ``q = x[floor(pos)] + (x[ceil(pos)] - x[floor(pos)]) * (pos - floor(pos))``.
@@ -23,61 +24,81 @@ from pyspark.sql import functions as F
 DEFAULT_ACCURACY = 100_000
 
 
-def exact_quantiles(df: DataFrame, col: str, probs: list[float], accuracy: int = DEFAULT_ACCURACY) -> list[float | None]:
-    """Exact quantiles of ``col`` (NULLs ignored) at each probability in ``probs``."""
-    x = df.select(F.col(col).cast("double").alias("x")).filter(F.col("x").isNotNull() & ~F.isnan("x"))
-    n = x.count()
-    if n == 0:
-        return [None for _ in probs]
-    ranks = sorted({r for p in probs for r in (math.floor((n - 1) * p), math.ceil((n - 1) * p))})
-    values = _order_statistics(x, n, ranks, accuracy)
-    result = []
-    for p in probs:
-        pos = (n - 1) * p
+def _x(col: str) -> F.Column:
+    c = F.col(col).cast("double")
+    return F.when(~F.isnan(c), c)
+
+
+def exact_quantile_row(df: DataFrame, specs: dict[str, tuple[str, float]], accuracy: int = DEFAULT_ACCURACY) -> dict[str, float | None]:
+    """Named exact quantiles ``{name: (column, p)}`` computed together."""
+    cols = sorted({c for c, _ in specs.values()})
+    idx = {c: i for i, c in enumerate(cols)}
+    data = df.select(*[_x(c).alias(f"c{i}") for i, c in enumerate(cols)])
+    counts = data.agg(*[F.count(f"c{i}").alias(f"n{i}") for i in range(len(cols))]).first()
+    n = {c: int(counts[f"n{idx[c]}"]) for c in cols}
+
+    wanted: dict[str, set[int]] = {c: set() for c in cols}
+    for c, p in specs.values():
+        if n[c]:
+            pos = (n[c] - 1) * p
+            wanted[c] |= {math.floor(pos), math.ceil(pos)}
+    stats = _order_statistics(data, idx, n, {c: sorted(r) for c, r in wanted.items() if r}, accuracy)
+
+    out: dict[str, float | None] = {}
+    for name, (c, p) in specs.items():
+        if not n[c]:
+            out[name] = None
+            continue
+        pos = (n[c] - 1) * p
         lo_r, hi_r = math.floor(pos), math.ceil(pos)
-        lo, hi = values[lo_r], values[hi_r]
-        result.append(lo + (hi - lo) * (pos - lo_r))
-    return result
-
-
-def _order_statistics(x: DataFrame, n: int, ranks: list[int], accuracy: int) -> dict[int, float]:
-    slack = 2.0 / accuracy + 1.0 / n
-    probs = []
-    for r in ranks:
-        probs += [max(0.0, r / max(n - 1, 1) - slack), min(1.0, r / max(n - 1, 1) + slack)]
-    bounds = x.agg(F.percentile_approx("x", probs, accuracy).alias("b")).first()["b"]
-    brackets = [(bounds[2 * i], bounds[2 * i + 1]) for i in range(len(ranks))]
-    # widen to the true extremes for ranks at the ends
-    out: dict[int, float] = {}
-    pending = list(zip(ranks, brackets))
+        lo, hi = stats[(c, lo_r)], stats[(c, hi_r)]
+        out[name] = lo + (hi - lo) * (pos - lo_r)
+    return out
+
+
+def exact_quantiles(df: DataFrame, col: str, probs: list[float], accuracy: int = DEFAULT_ACCURACY) -> list[float | None]:
+    res = exact_quantile_row(df, {f"q{i}": (col, p) for i, p in enumerate(probs)}, accuracy)
+    return [res[f"q{i}"] for i in range(len(probs))]
+
+
+def _order_statistics(data: DataFrame, idx: dict[str, int], n: dict[str, int], ranks: dict[str, list[int]], accuracy: int):
+    items = [(c, r) for c, rs in ranks.items() for r in rs]
+    if not items:
+        return {}
+    sketches = []
+    for c, rs in ranks.items():
+        probs = []
+        slack = 2.0 / accuracy + 1.0 / n[c]
+        for r in rs:
+            q = r / max(n[c] - 1, 1)
+            probs += [max(0.0, q - slack), min(1.0, q + slack)]
+        sketches.append(F.percentile_approx(f"c{idx[c]}", probs, accuracy).alias(f"s{idx[c]}"))
+    row = data.agg(*sketches).first()
+    brackets = {}
+    for c, rs in ranks.items():
+        b = row[f"s{idx[c]}"]
+        for j, r in enumerate(rs):
+            brackets[(c, r)] = (b[2 * j], b[2 * j + 1])
+
+    out: dict[tuple[str, int], float] = {}
+    pending = items
     while pending:
         aggs = []
-        for i, (_, (a, b)) in enumerate(pending):
-            aggs.append(F.sum((F.col("x") < F.lit(a)).cast("long")).alias(f"below{i}"))
-            aggs.append(F.sort_array(F.collect_list(F.when((F.col("x") >= F.lit(a)) & (F.col("x") <= F.lit(b)), F.col("x")))).alias(f"in{i}"))
-        row = x.agg(*aggs).first()
+        for k, (c, r) in enumerate(pending):
+            a, b = brackets[(c, r)]
+            x = F.col(f"c{idx[c]}")
+            aggs.append(F.sum((x < F.lit(a)).cast("long")).alias(f"below{k}"))
+            aggs.append(F.sort_array(F.collect_list(F.when((x >= F.lit(a)) & (x <= F.lit(b)), x))).alias(f"in{k}"))
+        got = data.agg(*aggs).first()
         retry = []
-        for i, (r, (a, b)) in enumerate(pending):
-            below, inside = int(row[f"below{i}"] or 0), row[f"in{i}"] or []
-            k = r - below
-            if 0 <= k < len(inside):
-                out[r] = float(inside[k])
-            else:  # sketch bracket missed the rank: widen it to the whole side that holds it
-                if k < 0:
-                    retry.append((r, (float("-inf"), b)))
-                else:
-                    retry.append((r, (a, float("inf"))))
+        for k, (c, r) in enumerate(pending):
+            below, inside = int(got[f"below{k}"] or 0), got[f"in{k}"] or []
+            pos = r - below
+            if 0 <= pos < len(inside):
+                out[(c, r)] = float(inside[pos])
+            else:  # the sketch bracket missed the rank: widen it towards the side that holds it
+                a, b = brackets[(c, r)]
+                brackets[(c, r)] = (float("-inf"), b) if pos < 0 else (a, float("inf"))
+                retry.append((c, r))
         pending = retry
     return out
-
-
-def exact_quantile_row(df: DataFrame, specs: dict[str, tuple[str, float]]) -> dict[str, float | None]:
-    """Several named quantiles, grouped by column so each column is scanned once per step."""
-    by_col: dict[str, list[tuple[str, float]]] = {}
-    for name, (col, p) in specs.items():
-        by_col.setdefault(col, []).append((name, p))
-    result: dict[str, float | None] = {}
-    for col, items in by_col.items():
-        vals = exact_quantiles(df, col, [p for _, p in items])
-        result.update({name: v for (name, _), v in zip(items, vals)})
-    return result

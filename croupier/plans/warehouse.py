@@ -8,12 +8,14 @@ queries scan pre-aggregated marts instead of recomputing them.
 
 from __future__ import annotations
 
+import time
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from croupier.functions.exprs import MONEY, RATE, avg_if, date_key, dec, day_of_week, max2, money, ratio, sum_if, week_of_year
+from croupier.scope import MONTH_COLUMN, month_key
 from croupier.sources.driver_tables import RawTables, load_raw_tables
 
 # ---- fixed values ------------------------------------------------------------------
@@ -89,6 +91,11 @@ def stg_sports_bets(raw: DataFrame) -> DataFrame:
     )
 
 
+def event_month(day_col: str) -> F.Column:
+    """yyyyMM partition key of a fact row (facts are stored partitioned by it)."""
+    return month_key(F.col(day_col)).alias(MONTH_COLUMN)
+
+
 # ---------------------------------------------------------------- dimensions
 def dim_date(players: DataFrame, sessions: DataFrame, transactions: DataFrame, bets: DataFrame) -> DataFrame:
     """One row per calendar day between the first and last day seen in any source."""
@@ -155,7 +162,7 @@ class Warehouse:
     # dimensions -----------------------------------------------------------------------
     @property
     def dim_date(self) -> DataFrame:
-        return self._get("dim_date", lambda: dim_date(self.stg_players, self.stg_sessions, self.stg_transactions, self.stg_sports_bets))
+        return self._get("dim_date", lambda: dim_date(self.dim_player, self.fact_casino_session, self.fact_transaction, self.fact_sports_bet))
 
     @property
     def dim_player(self) -> DataFrame:
@@ -171,6 +178,7 @@ class Warehouse:
         return self._get("fact_casino_session", lambda: self.stg_sessions.select(
             "session_id", "player_id", "game_id", date_key("session_date").alias("date_key"), "session_start",
             "session_date", "duration_minutes", "total_bet_amount", "total_payout_amount", "casino_ggr", "bet_count",
+            event_month("session_date"),
         ))
 
     @property
@@ -178,13 +186,14 @@ class Warehouse:
         return self._get("fact_transaction", lambda: self.stg_transactions.select(
             "transaction_id", "player_id", date_key("transaction_day").alias("date_key"), "transaction_date",
             "transaction_day", "transaction_type", "amount", "transaction_status", "payment_method", "processing_fee",
+            event_month("transaction_day"),
         ))
 
     @property
     def fact_sports_bet(self) -> DataFrame:
         return self._get("fact_sports_bet", lambda: self.stg_sports_bets.select(
             "bet_id", "player_id", date_key("bet_day").alias("date_key"), "bet_date", "bet_day", "sport", "is_live",
-            "odds", "stake", "payout", "sportsbook_ggr", "event_name",
+            "odds", "stake", "payout", "sportsbook_ggr", "event_name", event_month("bet_day"),
         ))
 
     # compatibility projections (E9) -----------------------------------------------------
@@ -410,46 +419,54 @@ class Warehouse:
         return self.mart_player_360
 
     # materialisation --------------------------------------------------------------------
-    MATERIALISED = (
-        "dim_date", "dim_player", "dim_game", "fact_casino_session", "fact_transaction", "fact_sports_bet",
-        "int_player_first_deposit", "int_player_first_activity", "int_player_activity_daily", "int_daily_gaming_revenue",
-        "mart_executive_daily", "mart_game_performance_daily", "mart_acquisition_daily", "mart_payments_daily",
+    LAYERS = (
+        ("dim_player", "dim_game", "fact_casino_session", "fact_transaction", "fact_sports_bet"),
+        ("dim_date", "int_player_first_deposit", "int_player_first_activity", "int_player_activity_daily", "int_daily_gaming_revenue"),
+        ("mart_executive_daily", "mart_game_performance_daily", "mart_acquisition_daily", "mart_payments_daily"),
     )
-    PARTITION_COLUMNS = {
-        "fact_casino_session": "session_date",
-        "fact_transaction": "transaction_day",
-        "fact_sports_bet": "bet_day",
+    FACT_DAY = {
+        "fact_casino_session": ("session_date", "session_id"),
+        "fact_transaction": ("transaction_day", "transaction_id"),
+        "fact_sports_bet": ("bet_day", "bet_id"),
     }
 
-    def write(self, path: str, names: tuple[str, ...] | None = None, with_scores: bool = False) -> "Warehouse":
-        """Write each layer once as parquet under ``path`` and return a warehouse reading them.
+    def write(self, path: str, with_scores: bool = False) -> "Warehouse":
+        """Write the layers once as parquet under ``path``, layer by layer, each layer computed
+        from the written tables of the layer below; return a warehouse reading them.
 
-        Facts are partitioned by their event day; every scope predicate is written on that
-        day column, so date-scoped queries prune whole days. The written tables also cut
-        lineage for every later job.
+        Facts are partitioned by ``event_month`` and sorted by day inside each file, so parquet
+        row-group statistics prune days inside a month. The written tables also cut lineage for
+        every later job.
         """
-        names = tuple(names or self.MATERIALISED) + (("model_scores",) if with_scores else ())
-        for name in names:
-            df = getattr(self, name)
-            target = f"{path.rstrip('/')}/{name}"
-            if name in self.PARTITION_COLUMNS:
-                day = self.PARTITION_COLUMNS[name]
-                key = df.columns[0]
-                # range-partition on (day, unique id): a hot day is split over several tasks
-                # instead of landing in one, and each task writes few day folders
-                df.repartitionByRange(day, key).write.mode("overwrite").partitionBy(day).parquet(target)
-            else:
-                df.write.mode("overwrite").parquet(target)
-        return Warehouse.load(self.spark, path, names)
+        source: Warehouse = self
+        written: dict[str, DataFrame] = {}
+        self.write_seconds: dict[str, float] = {}
+        layers = list(self.LAYERS) + ([("model_scores",)] if with_scores else [])
+        for layer in layers:
+            for name in layer:
+                started = time.time()
+                df = getattr(source, name)
+                target = f"{path.rstrip('/')}/{name}"
+                if name in self.FACT_DAY:
+                    day, key = self.FACT_DAY[name]
+                    # REBALANCE: adaptive execution splits large months (a hot month is
+                    # written by several tasks) and merges small ones; no sampling pass
+                    (df.hint("rebalance", MONTH_COLUMN).sortWithinPartitions(MONTH_COLUMN, day)
+                       .write.mode("overwrite").partitionBy(MONTH_COLUMN).parquet(target))
+                else:
+                    df.write.mode("overwrite").parquet(target)
+                written[name] = self._read(self.spark, target, name)
+                self.write_seconds[name] = round(time.time() - started, 3)
+            source = Warehouse(self.spark, raw=self.raw, tables=dict(written))
+            source.scoring_cutoff = getattr(self, "scoring_cutoff", None)
+        return source
+
+    @classmethod
+    def _read(cls, spark: SparkSession, target: str, name: str) -> DataFrame:
+        return spark.read.parquet(target)
 
     @classmethod
     def load(cls, spark: SparkSession, path: str, names: tuple[str, ...] | None = None) -> "Warehouse":
-        names = tuple(names or cls.MATERIALISED)
-        tables = {}
-        for name in names:
-            df = spark.read.parquet(f"{path.rstrip('/')}/{name}")
-            if name in cls.PARTITION_COLUMNS:
-                day = cls.PARTITION_COLUMNS[name]
-                df = df.withColumn(day, F.col(day).cast("date"))
-            tables[name] = df
+        names = tuple(names or [n for layer in cls.LAYERS for n in layer])
+        tables = {name: cls._read(spark, f"{path.rstrip('/')}/{name}", name) for name in names}
         return cls(spark, raw=None, tables=tables)

@@ -10,7 +10,8 @@ from croupier.plans.warehouse import Warehouse
 from croupier.queries.overview import daily_ggr_trend
 from croupier.scope import Scope
 
-APPROVED = F.col("transaction_status") == "Approved"
+def _approved() -> F.Column:
+    return F.col("transaction_status") == "Approved"
 
 
 def _tx(wh: Warehouse, scope: Scope) -> DataFrame:
@@ -19,7 +20,7 @@ def _tx(wh: Warehouse, scope: Scope) -> DataFrame:
 
 def daily_approval_rate(wh: Warehouse, scope: Scope) -> DataFrame:
     return (_tx(wh, scope).groupBy(F.col("transaction_day").alias("date"))
-            .agg(avg_if(APPROVED).alias("approval_rate"), F.count(F.lit(1)).cast("bigint").alias("transactions")).orderBy("date"))
+            .agg(avg_if(_approved()).alias("approval_rate"), F.count(F.lit(1)).cast("bigint").alias("transactions")).orderBy("date"))
 
 
 def daily_ggr(wh: Warehouse, scope: Scope) -> DataFrame:
@@ -39,7 +40,7 @@ def gaming_summary(wh: Warehouse, scope: Scope) -> DataFrame:
 def payment_methods(wh: Warehouse, scope: Scope) -> DataFrame:
     return _tx(wh, scope).groupBy("payment_method").agg(
         out(F.sum("amount"), "Volume"), F.count(F.lit(1)).cast("bigint").alias("Transactions"),
-        avg_if(APPROVED).alias("Approved"), avg_if(F.col("transaction_status") == "Declined").alias("Declined"),
+        avg_if(_approved()).alias("Approved"), avg_if(F.col("transaction_status") == "Declined").alias("Declined"),
         out(F.sum("processing_fee"), "Fees"), ratio(F.sum("processing_fee"), F.sum("amount")).alias("Avg_fee"),
     ).orderBy(F.desc("Volume"), "payment_method")
 
@@ -48,15 +49,15 @@ def transactions_summary(wh: Warehouse, scope: Scope) -> DataFrame:
     zero = dec("0").cast(MONEY)
     t = F.col("transaction_type")
     return _tx(wh, scope).agg(
-        out(F.coalesce(F.sum(F.when(APPROVED & (t == "Deposit"), F.col("amount")).otherwise(zero)), zero), "deposits"),
-        out(F.coalesce(F.sum(F.when(APPROVED & (t == "Withdrawal"), F.col("amount")).otherwise(zero)), zero), "withdrawals"),
-        out(F.coalesce(F.sum(F.when(APPROVED, F.col("processing_fee")).otherwise(zero)), zero), "fees"),
-        avg_if(APPROVED).alias("approval"),
+        out(F.coalesce(F.sum(F.when(_approved() & (t == "Deposit"), F.col("amount")).otherwise(zero)), zero), "deposits"),
+        out(F.coalesce(F.sum(F.when(_approved() & (t == "Withdrawal"), F.col("amount")).otherwise(zero)), zero), "withdrawals"),
+        out(F.coalesce(F.sum(F.when(_approved(), F.col("processing_fee")).otherwise(zero)), zero), "fees"),
+        avg_if(_approved()).alias("approval"),
     )
 
 
 def weekly_deposits_withdrawals(wh: Warehouse, scope: Scope) -> DataFrame:
-    return (_tx(wh, scope).filter(APPROVED).groupBy(monday_week("transaction_day").alias("week"), "transaction_type")
+    return (_tx(wh, scope).filter(_approved()).groupBy(monday_week("transaction_day").alias("week"), "transaction_type")
             .agg(out(F.sum("amount"), "amount")).orderBy("week", "transaction_type"))
 
 

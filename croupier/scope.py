@@ -9,6 +9,14 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 ALL_MARKETS = "All markets"
+MONTH_COLUMN = "event_month"
+# Event-day columns of the facts; facts also carry ``event_month`` (yyyyMM) and are stored
+# partitioned by it, so a day predicate on these columns also gets a month predicate.
+FACT_DAY_COLUMNS = ("session_date", "transaction_day", "bet_day")
+
+
+def month_key(day: Column) -> Column:
+    return (F.year(day) * 100 + F.month(day)).cast("int")
 
 
 @dataclass(frozen=True)
@@ -73,7 +81,13 @@ class Scope:
 
     def date_in(self, col: str | Column) -> Column:
         c = F.col(col) if isinstance(col, str) else col
-        return (c >= self.lo_date) & (c < self.hi_date)
+        pred = (c >= self.lo_date) & (c < self.hi_date)
+        if isinstance(col, str) and col in FACT_DAY_COLUMNS:
+            # redundant month bounds: partition pruning on the stored facts
+            m = F.col(MONTH_COLUMN)
+            lo, hi = self.start_day, self.end_day
+            pred = (m >= F.lit(lo.year * 100 + lo.month)) & (m <= F.lit(hi.year * 100 + hi.month)) & pred
+        return pred
 
     @property
     def all_markets(self) -> bool:
