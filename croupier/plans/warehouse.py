@@ -455,15 +455,18 @@ class Warehouse:
                        .write.mode("overwrite").partitionBy(MONTH_COLUMN).parquet(target))
                 else:
                     df.write.mode("overwrite").parquet(target)
-                written[name] = self._read(self.spark, target, name)
+                written[name] = self._read(self.spark, target, name, df.schema)
                 self.write_seconds[name] = round(time.time() - started, 3)
             source = Warehouse(self.spark, raw=self.raw, tables=dict(written))
             source.scoring_cutoff = getattr(self, "scoring_cutoff", None)
         return source
 
     @classmethod
-    def _read(cls, spark: SparkSession, target: str, name: str) -> DataFrame:
-        return spark.read.parquet(target)
+    def _read(cls, spark: SparkSession, target: str, name: str, schema=None) -> DataFrame:
+        """Read a written layer; with the known schema an empty (file-less) table still reads."""
+        reader = spark.read if schema is None else spark.read.schema(schema)
+        df = reader.parquet(target)
+        return df.select(*schema.fieldNames()) if schema is not None else df
 
     @classmethod
     def load(cls, spark: SparkSession, path: str, names: tuple[str, ...] | None = None) -> "Warehouse":
