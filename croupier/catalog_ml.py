@@ -90,3 +90,17 @@ register("ai_next_best_action_summary", lambda wh: next_best_actions_table(wh).g
 register("pages_forecast_outlook", lambda wh: pages.forecast_outlook(wh, S_MAIN.with_country("NATION_7"), series.revenue_forecast(backtest(wh))), None)
 register("pages_weekly_forecast", lambda wh: pages.weekly_forecast(series.revenue_forecast(backtest(wh))), None)
 register("pages_ml_scorecard", lambda wh: pages.ml_scorecard(all_metrics(wh), anomaly_rows(wh), next_best_actions_table(wh)), None)
+
+
+def _streamed(wh) -> DataFrame:
+    import uuid
+
+    from croupier.session import shared_dir
+    from croupier.streaming.daily_refresh import stream_daily_revenue
+    return stream_daily_revenue(wh, shared_dir(wh.spark, f"croupier-stream-{uuid.uuid4().hex[:8]}"))
+
+
+register("streaming_daily_gaming_revenue", _streamed, q("""
+SELECT calendar_date, country, CAST(casino_bets AS DOUBLE) AS casino_bets, CAST(casino_payouts AS DOUBLE) AS casino_payouts,
+       CAST(casino_ggr AS DOUBLE) AS casino_ggr, CAST(sports_stake AS DOUBLE) AS sports_stake, CAST(sports_payout AS DOUBLE) AS sports_payout,
+       CAST(sports_ggr AS DOUBLE) AS sports_ggr FROM int_daily_gaming_revenue"""))
