@@ -29,18 +29,26 @@ class Entry:
 
 
 _ENTRIES: dict[str, Entry] = {}
-_WAREHOUSES: dict[tuple[int, str], Warehouse] = {}
+_WAREHOUSES: dict[tuple[str, str], Warehouse] = {}
 
 
 def warehouse(spark: SparkSession, sf_dir: str) -> Warehouse:
     """One lazily built warehouse per (session, data folder); its plans are reused, not data."""
     configure(spark)
-    key = (id(spark), sf_dir)
+    key = (_session_key(spark), sf_dir)
     if key not in _WAREHOUSES:
         _WAREHOUSES[key] = Warehouse.from_driver_tables(spark, sf_dir)
     return _WAREHOUSES[key]
 
 
+def _session_key(spark: SparkSession) -> str:
+    """Identity of a running session: a stopped and recreated session never reuses a cache entry."""
+    try:
+        return f"{spark.sparkContext.applicationId}:{id(spark)}"
+    except Exception:  # noqa: BLE001  (no SparkContext on this client)
+        return f"session:{id(spark)}"
+
+
 def register(name: str, fn: Callable[[Warehouse], DataFrame], sql: str | None) -> None:
     _ENTRIES[name] = Entry(name, lambda spark, sf_dir, fn=fn: fn(warehouse(spark, sf_dir)), sql)
 

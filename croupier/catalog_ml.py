@@ -19,7 +19,7 @@ from croupier.queries import overview, pages
 from croupier.scope import Scope
 
 S_ALL = Scope("1995-01-01", "2001-12-31")
-_CACHE: dict[tuple[int, str], DataFrame] = {}
+_CACHE: dict[tuple[int, str], DataFrame] = {}  # keyed by the warehouse object, itself cached per session
 
 
 def _cached(wh, key: str, build):

@@ -441,7 +441,7 @@ class Warehouse:
         source: Warehouse = self
         written: dict[str, DataFrame] = {}
         self.write_seconds: dict[str, float] = {}
-        layers = list(self.LAYERS) + ([("model_scores",)] if with_scores else [])
+        layers = list(self.LAYERS) + ([("model_scores",), ("mart_player_360",)] if with_scores else [])
         for layer in layers:
             for name in layer:
                 started = time.time()

@@ -54,7 +54,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
     Only when the session has none (local tests) is a fresh scratch folder set.
     """
-    sc = spark.sparkContext
+    try:
+        sc = spark.sparkContext
+    except Exception:  # noqa: BLE001  (client without a SparkContext: the server's setting applies)
+        return spark.conf.get("spark.checkpoint.dir", "")
     current = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not current:
         current = tempfile.mkdtemp(prefix="croupier-ckpt-")
