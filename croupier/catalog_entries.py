@@ -14,8 +14,9 @@ for tag, s in (("", M), ("_market", MN), ("_day", S_DAY)):
 SELECT metric_date AS date, CAST(SUM(total_ggr) AS DOUBLE) AS ggr FROM mart_executive_daily
 WHERE {d_in('metric_date', s)}{mk(s)} GROUP BY metric_date"""))
 
-for tag, s in (("", M), ("_market", MN), ("_day", S_DAY)):
-    register(f"overview_performance_summary{tag}", lambda wh, s=s: overview.performance_summary(wh, s), q(f"""
+def perf_sql(s) -> str:
+    """I1 as one SELECT over the warehouse CTEs."""
+    return f"""
 SELECT gaming.*, active.players, payments.deposits, ftd.ftd FROM
  (SELECT CAST(COALESCE(SUM(total_ggr), 0) AS DOUBLE) AS ggr, CAST(COALESCE(SUM(estimated_ngr), 0) AS DOUBLE) AS ngr,
          CAST(COALESCE(SUM(total_wagers), 0) AS DOUBLE) AS wagers, CAST(COALESCE(SUM(casino_payouts + sports_payout), 0) AS DOUBLE) AS payouts
@@ -26,7 +27,11 @@ SELECT gaming.*, active.players, payments.deposits, ftd.ftd FROM
   FROM v_transactions_enriched WHERE {t_in('transaction_date', s)}{mk(s)}) payments,
  (SELECT COUNT(*) AS ftd FROM (SELECT player_id, MIN(transaction_date) AS ftd_date FROM fact_transaction
     WHERE transaction_type = 'Deposit' AND transaction_status = 'Approved' GROUP BY player_id) f JOIN players p USING (player_id)
-  WHERE {t_in('f.ftd_date', s)}{mk(s, 'p.country')}) ftd"""))
+  WHERE {t_in('f.ftd_date', s)}{mk(s, 'p.country')}) ftd"""
+
+
+for tag, s in (("", M), ("_market", MN), ("_day", S_DAY)):
+    register(f"overview_performance_summary{tag}", lambda wh, s=s: overview.performance_summary(wh, s), q(perf_sql(s)))
 
 for tag, s in (("", M), ("_market", MN)):
     share = "1.0" if s.all_markets else (

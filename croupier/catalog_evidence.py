@@ -105,4 +105,10 @@ SELECT p.channel AS "Channel", COUNT(*) AS "Players",
 FROM players p JOIN v_player_scores v USING (player_id) WHERE {t_in('p.registration_date', s)} AND {mk_only(s, 'p.country')}
 GROUP BY p.channel""", SC))
 
-register("evidence_priority_actions", lambda wh: ev.priority_actions(wh, S_MAIN).select("Priority", "Owner", "Impact", "Confidence", "Signal"), None)
+def _priority_sql():
+    from croupier.catalog_rules import PRIORITY, _with_tail
+    return _with_tail(PRIORITY)
+
+
+register("evidence_priority_actions", lambda wh: ev.priority_actions(wh, S_MAIN).select("Priority", "Owner", "Impact", "Confidence", "Signal"),
+         _priority_sql())

@@ -141,7 +141,12 @@ SELECT player_id, recommended_action,
     WHEN 'Offer governed bonus' THEN 'High future value' ELSE 'No material intervention signal' END AS reason,
   CAST(model_confidence AS DOUBLE) AS action_confidence, CAST(estimated_value_at_stake AS DOUBLE) AS estimated_value_at_stake FROM model_scores""", SC))
 
-register("rules_register_kpis", lambda wh: _rules.register_kpis(_rules.alert_register(_rules.alerts(wh, M))), None)
+def _register_sql():
+    from croupier.catalog_rules import REGISTER, _with_tail
+    return _with_tail(REGISTER)
+
+
+register("rules_register_kpis", lambda wh: _rules.register_kpis(_rules.alert_register(_rules.alerts(wh, M))), _register_sql())
 register("semantic_lead_row_games", lambda wh: _sem.lead_row(
     _sem.compile_plan(wh, _sem.QueryPlan("casino", ("game",), ("ggr",), "ggr", "DESC", 10), M),
     _sem.QueryPlan("casino", ("game",), ("ggr",), "ggr", "DESC", 10)), q(f"""

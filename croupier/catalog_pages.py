@@ -86,7 +86,22 @@ SELECT player_id, lifetime_ggr, predicted_total_ltv_180d, churn_probability, rg_
   rg_risk / NULLIF(CAST(SUM(CAST(rg_risk AS DECIMAL(24,6))) OVER () AS DOUBLE) / COUNT(rg_risk) OVER (), 0) AS rg_risk_vs_segment
 FROM seg WHERE is_vip_active""", SC + "," + players_sql(S_MAIN)))
 
-register("pages_objectives", lambda wh: pages.objectives(wh, S_MAIN), None)
+def _objectives_sql(s) -> str:
+    from croupier.catalog_entries import perf_sql
+
+    def row(k, up):
+        obj = f"CASE WHEN COALESCE(CAST(p.{k} AS DOUBLE), 0.0) > 0 THEN CAST(p.{k} AS DOUBLE) * {up} ELSE GREATEST(COALESCE(CAST(c.{k} AS DOUBLE), 0.0), 1.0) END"
+        return (f"SELECT '{k}' AS kpi, CAST(c.{k} AS DOUBLE) AS current, CAST(p.{k} AS DOUBLE) AS previous, {obj} AS objective, "
+                f"LEAST(GREATEST(CAST(c.{k} AS DOUBLE) / ({obj}), 0.0), 1.0) AS progress FROM c, p")
+    rows = [row(k, up) for k, up in (("ggr", 1.05), ("ngr", 1.05), ("players", 1.03), ("deposits", 1.05), ("ftd", 1.05))]
+    rows.append("SELECT 'hold', CASE WHEN c.wagers <> 0 THEN c.ggr / c.wagers ELSE 0.0 END, CASE WHEN p.wagers <> 0 THEN p.ggr / p.wagers ELSE 0.0 END, "
+                "0.07, LEAST(GREATEST((CASE WHEN c.wagers <> 0 THEN c.ggr / c.wagers ELSE 0.0 END) / 0.07, 0.0), 1.0) FROM c, p")
+    return (f"WITH c AS ({perf_sql(s)}), p AS ({perf_sql(s.previous())}), o AS ({' UNION ALL '.join(rows)}) "
+            "SELECT *, CASE WHEN current IS NULL OR previous IS NULL OR abs(previous) < 1e-12 THEN NULL "
+            "ELSE (current - previous) / abs(previous) END AS delta FROM o")
+
+
+register("pages_objectives", lambda wh: pages.objectives(wh, S_MAIN), q(_objectives_sql(S_MAIN)))
 register("pages_timeline_recent", lambda wh: pages.timeline_recent(wh), q("""
 SELECT player_id, event_date, deposits, withdrawals, casino_ggr, sports_ggr, events, total_ggr FROM (
   SELECT *, casino_ggr + sports_ggr AS total_ggr, ROW_NUMBER() OVER (PARTITION BY player_id ORDER BY event_date DESC) AS rk FROM (
@@ -121,4 +136,18 @@ SELECT *, ggr / NULLIF(bets, 0) AS margin, payout / NULLIF(bets, 0) AS rtp FROM
          CAST(COALESCE(SUM(ggr), 0) AS DOUBLE) AS ggr, COUNT(DISTINCT game_id) AS games
   FROM mart_game_performance_daily WHERE {d_in('metric_date', s)}{mk(s)})"""))
 
-register("finance_waterfall", lambda wh: finance.waterfall(wh, S_MAIN), None)
+def _waterfall_sql(s) -> str:
+    def one(sc, period):
+        return f"""SELECT '{period}' AS period, bets, payout, fees FROM
+  (SELECT CAST(COALESCE(SUM(b), 0) AS DOUBLE) AS bets, CAST(COALESCE(SUM(p), 0) AS DOUBLE) AS payout FROM (
+     SELECT SUM(total_bet_amount) AS b, SUM(total_payout_amount) AS p FROM v_sessions_enriched WHERE {t_in('session_start', sc)}{mk(sc)}
+     UNION ALL SELECT SUM(stake), SUM(payout) FROM v_sports_bets_enriched WHERE {t_in('bet_date', sc)}{mk(sc)})),
+  (SELECT CAST(COALESCE(SUM(CASE WHEN transaction_status = 'Approved' THEN processing_fee ELSE 0 END), 0) AS DOUBLE) AS fees
+     FROM v_transactions_enriched WHERE {t_in('transaction_date', sc)}{mk(sc)})"""
+    w = f"WITH w0 AS ({one(s, 'current')} UNION ALL {one(s.previous(), 'previous')}), w AS (SELECT *, bets - payout AS ggr, GREATEST(bets - payout, 0.0) AS pos FROM w0) "
+    steps = [("bets", "bets"), ("payout", "payout"), ("ggr", "ggr"), ("bonus", "-pos * 0.065"), ("fees", "-fees"), ("tax", "-pos * 0.095"),
+             ("ngr", "ggr - fees - pos * 0.065 - pos * 0.095")]
+    return w + " UNION ALL ".join(f"SELECT period, '{k}' AS step, {e} AS value FROM w" for k, e in steps)
+
+
+register("finance_waterfall", lambda wh: finance.waterfall(wh, S_MAIN), q(_waterfall_sql(S_MAIN)))

@@ -155,6 +155,15 @@ def _with_tail(tail: str) -> str:
 
 register("rules_top_alerts", lambda wh: rules.top_alerts(rules.alerts(wh, S_MAIN)).select("rule_id", "market", "severity", "financial_impact"),
          _with_tail(TOP))
+PRIORITY = f""", cat AS (SELECT * FROM (VALUES {CATALOG_VALUES}) AS c(rule_id, title, team))
+SELECT a.priority AS "Priority", c.team AS "Owner", a.financial_impact AS "Impact", a.confidence AS "Confidence", c.title AS "Signal"
+FROM alerts_out a JOIN cat c USING (rule_id)
+ORDER BY CASE a.severity WHEN 'Critical' THEN 0 WHEN 'High' THEN 1 WHEN 'Medium' THEN 2 ELSE 3 END, a.financial_impact DESC, a.market, a.rule_id LIMIT 5"""
+REGISTER = """
+SELECT CAST(COUNT(*) AS BIGINT) AS active_alerts, CAST(COUNT(*) FILTER (WHERE severity = 'Critical') AS BIGINT) AS critical_alerts,
+       round(COALESCE(SUM(financial_impact), 0.0), 6) AS financial_impact, round(COALESCE(SUM(revenue_potential), 0.0), 6) AS revenue_potential,
+       CAST(0 AS BIGINT) AS reviewed FROM alerts_out"""
+
 register("rules_governance", lambda wh: rules.rule_governance(rules.alerts(wh, S_MAIN)).drop("definition"),
          _with_tail(GOV))
 register("rules_recovery_by_team", lambda wh: rules.recovery_by_team(rules.alerts(wh, S_MAIN)),

@@ -274,8 +274,8 @@ def register_kpis(register: DataFrame) -> DataFrame:
     return register.agg(
         F.count(F.when(~F.col("status").isin("Resolved", "Dismissed"), 1)).alias("active_alerts"),
         F.count(F.when(F.col("severity") == "Critical", 1)).alias("critical_alerts"),
-        F.coalesce(F.sum("financial_impact"), F.lit(0.0)).alias("financial_impact"),
-        F.coalesce(F.sum("revenue_potential"), F.lit(0.0)).alias("revenue_potential"),
+        F.round(F.coalesce(F.sum("financial_impact"), F.lit(0.0)), 6).alias("financial_impact"),
+        F.round(F.coalesce(F.sum("revenue_potential"), F.lit(0.0)), 6).alias("revenue_potential"),
         F.count(F.when(F.col("status") != "New", 1)).alias("reviewed"))
 
 
