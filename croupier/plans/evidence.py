@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from croupier.functions.exprs import dec, out, ratio, sum_if
+from croupier.operators.scalars import attach_scalars
 from croupier.plans import rules
 from croupier.queries.acquisition import channel_cost
 from croupier.scope import Scope
@@ -42,7 +43,7 @@ def ngr_change(wh, scope: Scope) -> DataFrame:
     summary = summary.select("ngr", "prior_ngr", (F.col("ngr") - F.col("prior_ngr")).alias("ngr_change"),
                              _rel(F.col("ngr"), F.col("prior_ngr")).alias("ngr_relative_change"))
     top = drivers.orderBy(F.abs("Absolute_change").desc(), "Driver").limit(1).select(F.col("Driver").alias("largest_driver"))
-    return drivers.crossJoin(summary).crossJoin(top)
+    return attach_scalars(attach_scalars(drivers, summary), top)
 
 
 def weakest_games(wh, scope: Scope, limit: int = 5) -> DataFrame:
@@ -125,7 +126,7 @@ def casino_summary(wh, scope: Scope) -> DataFrame:
     g = wh.mart_game_performance_daily.filter(scope.date_and_market("metric_date")).groupBy("game_name").agg(
         F.sum("ggr").alias("ggr"), F.sum("bets").alias("bets"), F.sum("sessions").alias("sessions"), F.sum("payouts").alias("payouts"))
     tot = g.agg(ratio(F.sum("payouts"), F.sum("bets")).alias("Portfolio_RTP"))
-    return g.crossJoin(tot).select(
+    return attach_scalars(g, tot).select(
         F.col("game_name").alias("Game"), out("ggr", "GGR"), out("bets", "Bets"), F.col("sessions").cast("bigint").alias("Sessions"),
         ratio("payouts", "bets").alias("RTP"), ratio("ggr", "bets").alias("Margin"), "Portfolio_RTP").orderBy(F.desc("GGR"), "Game")
 
@@ -135,7 +136,7 @@ def sportsbook_summary(wh, scope: Scope) -> DataFrame:
     g = wh.v_sports_bets_enriched.filter(scope.date_and_market("bet_day")).groupBy("sport").agg(
         F.sum("stake").alias("h"), F.sum("sportsbook_ggr").alias("g"), F.count(F.lit(1)).alias("n"))
     tot = g.agg(ratio(F.sum("g"), F.sum("h")).alias("Total_hold"))
-    return g.crossJoin(tot).select(F.col("sport").alias("Sport"), out("h", "Handle"), out("g", "GGR"), ratio("g", "h").alias("Hold"),
+    return attach_scalars(g, tot).select(F.col("sport").alias("Sport"), out("h", "Handle"), out("g", "GGR"), ratio("g", "h").alias("Hold"),
                                    F.col("n").cast("bigint").alias("Bets"), "Total_hold").orderBy(F.desc("Handle"), "Sport")
 
 
@@ -148,7 +149,7 @@ def payments_summary(wh, scope: Scope) -> DataFrame:
         F.sum(F.when(ok & (F.col("transaction_type") == "Deposit"), F.col("amount")).otherwise(z)).alias("dep"),
         F.sum(F.when(ok & (F.col("transaction_type") == "Withdrawal"), F.col("amount")).otherwise(z)).alias("wd"))
     tot = g.agg(ratio(F.sum("ok"), F.sum("n")).alias("Weighted_approval"))
-    return g.crossJoin(tot).select(
+    return attach_scalars(g, tot).select(
         F.col("payment_method").alias("Payment_method"), F.col("n").cast("bigint").alias("Transactions"), out("v", "Volume"),
         ratio("ok", "n").alias("Approval_rate"), out("dep", "Deposits"), out("wd", "Withdrawals"), "Weighted_approval",
     ).orderBy(F.desc("Volume"), "Payment_method")

@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from croupier.operators.scalars import attach_scalars
+
 
 class WarehouseQualityError(RuntimeError):
     pass
@@ -26,7 +28,7 @@ def _count(df: DataFrame, cond) -> DataFrame:
 
 
 def _delta(a: DataFrame, b: DataFrame) -> DataFrame:
-    return a.agg(F.count(F.lit(1)).alias("a")).crossJoin(b.agg(F.count(F.lit(1)).alias("b"))).select(
+    return attach_scalars(a.agg(F.count(F.lit(1)).alias("a")), b.agg(F.count(F.lit(1)).alias("b"))).select(
         F.abs(F.col("a") - F.col("b")).alias("value"))
 
 

@@ -172,10 +172,10 @@ def sports_exposure(wh, scope: Scope) -> DataFrame:
     """K7: the event with the largest handle holds >= 35 % of the market's handle."""
     e = (wh.v_sports_bets_enriched.filter(scope.date_in("bet_day"))
          .groupBy("country", "event_name").agg(F.sum("stake").alias("handle")))
-    w_all = Window.partitionBy("country")
+    totals = e.groupBy("country").agg(F.sum("handle").alias("total"))  # one row per market
     w = Window.partitionBy("country").orderBy(F.desc("handle"), "event_name")
-    top = (e.withColumn("total", F.sum("handle").over(w_all)).withColumn("rk", F.row_number().over(w))
-           .filter(F.col("rk") == 1).withColumn("share", F.try_divide(_d("handle"), _d("total"))))
+    top = (e.withColumn("rk", F.row_number().over(w)).filter(F.col("rk") == 1)  # WindowGroupLimit: top 1 per market
+           .join(totals, "country").withColumn("share", F.try_divide(_d("handle"), _d("total"))))
     share = F.coalesce(F.col("share"), F.lit(0.0))
     cause = F.concat(F.col("event_name"), F.lit(" concentrates an unusually large portion of handle in the selected scope."))
     return _alert(top, "SPORTS_EXPOSURE", share >= 0.35, severity(share, 0.45, 0.60), share, F.lit(0.35),

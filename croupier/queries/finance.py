@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from croupier.functions.exprs import MONEY, avg_if, dec, max2, monday_week, out, ratio
+from croupier.operators.scalars import attach_scalars
 from croupier.plans.warehouse import Warehouse
 from croupier.queries.overview import daily_ggr_trend
 from croupier.scope import Scope
@@ -71,7 +72,7 @@ def waterfall(wh: Warehouse, scope: Scope) -> DataFrame:
         f = transactions_summary(wh, sc).select("fees")
         ggr = F.col("bets") - F.col("payout")
         pos = F.greatest(ggr, F.lit(0.0))
-        return g.crossJoin(f).select(
+        return attach_scalars(g, f).select(
             F.lit(period).alias("period"), "bets", "payout", ggr.alias("ggr"), (-pos * 0.065).alias("bonus"),
             (-F.col("fees")).alias("fees"), (-pos * 0.095).alias("tax"), (ggr - F.col("fees") - pos * 0.065 - pos * 0.095).alias("ngr"))
     wide = one(scope, "current").unionByName(one(scope.previous(), "previous"))

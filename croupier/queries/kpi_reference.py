@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from croupier.functions.exprs import MONEY, dec, max2, out, ratio, sum_if
+from croupier.operators.scalars import attach_scalars
 from croupier.plans.warehouse import Warehouse
 from croupier.queries import acquisition, player
 from croupier.queries.overview import ftd_count
@@ -22,7 +23,7 @@ def ggr_ngr_margin(wh: Warehouse, scope: Scope) -> DataFrame:
             .agg(F.coalesce(F.sum("processing_fee"), dec("0").cast(MONEY)).alias("fees")))
     ggr = F.col("wagers") - F.col("payouts")
     pos = max2(ggr, dec("0"))
-    return totals.crossJoin(fees).select(
+    return attach_scalars(totals, fees).select(
         out("wagers", "wagers"), out("payouts", "payouts"), out(ggr, "ggr"), ratio(ggr, "wagers").alias("ggr_margin"),
         out(ggr - F.col("fees") - pos * dec("0.065") - pos * dec("0.095"), "estimated_ngr_mvp"))
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from croupier.functions.exprs import MONEY, dec, out
+from croupier.operators.scalars import combine_rows
 from croupier.plans.warehouse import Warehouse
 from croupier.scope import Scope
 
@@ -48,8 +49,7 @@ def ftd_count(wh: Warehouse, scope: Scope, name: str = "ftd") -> DataFrame:
 def performance_summary(wh: Warehouse, scope: Scope) -> DataFrame:
     """One row of GGR, NGR, wagers, payouts, active players, deposits and FTD."""
     return (
-        gaming_totals(wh, scope).crossJoin(active_players(wh, scope))
-        .crossJoin(approved_deposits(wh, scope)).crossJoin(ftd_count(wh, scope))
+        combine_rows(gaming_totals(wh, scope), active_players(wh, scope), approved_deposits(wh, scope), ftd_count(wh, scope))
     )
 
 
@@ -68,8 +68,8 @@ def market_share(wh: Warehouse, scope: Scope) -> DataFrame:
     The window start is a scalar subquery over the mart; the two sums come from one pass.
     """
     m = wh.mart_executive_daily
-    last = m.agg(F.date_sub(F.max("metric_date"), 29).alias("since"))
-    recent = m.join(last, F.col("metric_date") >= F.col("since"))  # one-row right side: broadcast nested loop
+    since = m.agg(F.date_sub(F.max("metric_date"), 29).alias("since")).scalar()
+    recent = m.filter(F.col("metric_date") >= since)
     agg = recent.agg(
         F.sum("total_ggr").cast("double").alias("total_recent"),
         F.sum(F.when(F.col("country") == F.lit(scope.country), F.col("total_ggr"))).cast("double").alias("market_recent"),

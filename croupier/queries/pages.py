@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from croupier.operators.quantiles import exact_quantile_row
+from croupier.operators.scalars import attach_scalars
 from croupier.plans.warehouse import Warehouse
 from croupier.queries import overview, player
 from croupier.scope import Scope
@@ -123,10 +124,10 @@ def peer_comparison(players: DataFrame, segment: str | None = None) -> DataFrame
     """J11 (re-aimed for every player): player value / segment average on four measures."""
     f = in_segment(players, segment)
     measures = ["lifetime_ggr", "predicted_total_ltv_180d", "churn_probability", "rg_risk"]
-    w = Window.partitionBy()
-    mean = lambda m: F.sum(F.col(m).cast(EXACT)).over(w).cast("double") / F.count(m).over(w)
-    cols = [F.try_divide(F.col(m), mean(m)).alias(f"{m}_vs_segment") for m in measures]
-    return f.select("player_id", *measures, *cols)
+    means = f.agg(*[(F.sum(F.col(m).cast(EXACT)).cast("double") / F.count(m)).alias(f"avg_{m}") for m in measures])
+    g = attach_scalars(f.select("player_id", *measures), means)
+    cols = [F.try_divide(F.col(m), F.col(f"avg_{m}")).alias(f"{m}_vs_segment") for m in measures]
+    return g.select("player_id", *measures, *cols)
 
 
 def behaviour(players: DataFrame, scope: Scope) -> DataFrame:
@@ -146,7 +147,7 @@ def objectives(wh: Warehouse, scope: Scope) -> DataFrame:
     to [0, 1] and blended hold, current vs previous."""
     cur = overview.performance_summary(wh, scope)
     prev = overview.performance_summary(wh, scope.previous()).select(*[F.col(c).alias(f"p_{c}") for c in ("ggr", "ngr", "wagers", "players", "deposits", "ftd")])
-    j = cur.crossJoin(prev)
+    j = attach_scalars(cur, prev)
     def target(c, up):  # noqa: E306
         pc = F.coalesce(F.col(f"p_{c}").cast("double"), F.lit(0.0))
         return F.when(pc > 0, pc * up).otherwise(F.greatest(F.coalesce(F.col(c).cast("double"), F.lit(0.0)), F.lit(1.0)))
@@ -168,12 +169,13 @@ def objectives(wh: Warehouse, scope: Scope) -> DataFrame:
 def forecast_outlook(wh: Warehouse, scope: Scope, forecast: DataFrame) -> DataFrame:
     """Market-scaled 7/30-day forecast sums, run-rate objective (GGR/days x 30 x 1.05) and gap."""
     share = overview.market_share(wh, scope)
-    w = Window.orderBy("forecast_date")
-    f = forecast.withColumn("k", F.row_number().over(w)).crossJoin(share)
-    sums = f.agg(F.sum(F.when(F.col("k") <= 7, F.col("predicted_revenue") * F.col("market_share"))).alias("forecast_7"),
-                 F.sum(F.when(F.col("k") <= 30, F.col("predicted_revenue") * F.col("market_share"))).alias("forecast_30"))
+    first = forecast.agg(F.min("forecast_date").alias("first_day"))
+    f = attach_scalars(attach_scalars(forecast, first), share)
+    k = F.datediff("forecast_date", "first_day")  # one forecast row per day: the k-th day is first + k
+    sums = f.agg(F.sum(F.when(k < 7, F.col("predicted_revenue") * F.col("market_share"))).alias("forecast_7"),
+                 F.sum(F.when(k < 30, F.col("predicted_revenue") * F.col("market_share"))).alias("forecast_30"))
     cur = overview.performance_summary(wh, scope).select(F.greatest(F.col("ggr") / max(scope.days, 1) * 30 * OBJECTIVE_UPLIFT, F.lit(0.0)).alias("run_rate_target_30"))
-    return sums.crossJoin(cur).withColumn("forecast_gap", F.col("forecast_30") - F.col("run_rate_target_30"))
+    return attach_scalars(sums, cur).withColumn("forecast_gap", F.col("forecast_30") - F.col("run_rate_target_30"))
 
 
 def weekly_forecast(forecast: DataFrame) -> DataFrame:
@@ -192,7 +194,7 @@ def ml_scorecard(metrics: DataFrame, anomalies: DataFrame, nba: DataFrame) -> Da
               (1 - pick("forecast_ggr", "wape")).alias("forecast_accuracy"))
     a = anomalies.agg(F.count(F.lit(1)).alias("anomalies"))
     n = nba.agg(F.count(F.when(F.col("recommended_action") != "Do nothing", 1)).alias("players_with_action"))
-    return m.crossJoin(a).crossJoin(n)
+    return attach_scalars(attach_scalars(m, a), n)
 
 
 def timeline_recent(wh: Warehouse, days: int = 50) -> DataFrame:

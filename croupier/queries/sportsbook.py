@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from croupier.functions.exprs import MONEY, dec, out, ratio
+from croupier.operators.scalars import attach_scalars
 from croupier.plans.warehouse import Warehouse
 from croupier.scope import Scope
 
@@ -34,14 +35,14 @@ def daily_mean_threshold(wh: Warehouse, scope: Scope) -> DataFrame:
 def event_liability(wh: Warehouse, scope: Scope) -> DataFrame:
     """Per-event exposure with a flag against the mean exposure of all events.
 
-    The mean is a window over the (small) per-event aggregate, not a second scan.
+    The mean over all events is a scalar subquery on the per-event aggregate.
     """
     e = _bets(wh, scope).groupBy("event_name", "sport").agg(
         F.sum("stake").alias("exp"), F.sum("sportsbook_ggr").alias("ggr"), F.count(F.lit(1)).alias("Bets"))
-    avg = F.sum("exp").over(Window.partitionBy()).cast("double") / F.count("exp").over(Window.partitionBy())
+    mean = e.agg((F.sum("exp").cast("double") / F.count("exp")).alias("avg_exp"))
     x = F.col("exp").cast("double")
     status = F.when(x > F.col("avg_exp") * 1.5, "HIGH").when(x > F.col("avg_exp"), "MEDIUM").otherwise("LOW")
-    return (e.withColumn("avg_exp", avg)
+    return (attach_scalars(e, mean)
             .select("event_name", "sport", out("exp", "Exposure"), out("ggr", "GGR"), F.col("Bets").cast("bigint"), status.alias("Status"))
             .orderBy(F.desc("Exposure"), "event_name", "sport"))
 
