@@ -56,7 +56,7 @@ def register(name: str, fn: Callable[[Warehouse], DataFrame], sql: str | None) -
 def entries() -> dict[str, Entry]:
     if not _ENTRIES:
         from croupier import (catalog_entries, catalog_evidence, catalog_more, catalog_rules,  # noqa: F401  (fill the registry)
-                              catalog_import, catalog_ml, catalog_pages, catalog_scores, catalog_semantic)
+                              catalog_import, catalog_layers, catalog_ml, catalog_pages, catalog_scores, catalog_semantic)
     return _ENTRIES
 
 
