@@ -9,6 +9,7 @@ queries scan pre-aggregated marts instead of recomputing them.
 from __future__ import annotations
 
 import time
+from concurrent.futures import ThreadPoolExecutor
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -424,6 +425,7 @@ class Warehouse:
         ("dim_date", "int_player_first_deposit", "int_player_first_activity", "int_player_activity_daily", "int_daily_gaming_revenue"),
         ("mart_executive_daily", "mart_game_performance_daily", "mart_acquisition_daily", "mart_payments_daily"),
     )
+    WRITE_THREADS = 4
     FACT_DAY = {
         "fact_casino_session": ("session_date", "session_id"),
         "fact_transaction": ("transaction_day", "transaction_id"),
@@ -442,23 +444,29 @@ class Warehouse:
         written: dict[str, DataFrame] = {}
         self.write_seconds: dict[str, float] = {}
         layers = list(self.LAYERS) + ([("model_scores",), ("mart_player_360",)] if with_scores else [])
-        for layer in layers:
-            for name in layer:
-                started = time.time()
-                df = getattr(source, name)
-                target = f"{path.rstrip('/')}/{name}"
-                if name in self.FACT_DAY:
-                    day, key = self.FACT_DAY[name]
-                    # REBALANCE: adaptive execution splits large months (a hot month is
-                    # written by several tasks) and merges small ones; no sampling pass
-                    (df.hint("rebalance", MONTH_COLUMN).sortWithinPartitions(MONTH_COLUMN, day)
-                       .write.mode("overwrite").partitionBy(MONTH_COLUMN).parquet(target))
-                else:
-                    df.write.mode("overwrite").parquet(target)
-                written[name] = self._read(self.spark, target, name, df.schema)
-                self.write_seconds[name] = round(time.time() - started, 3)
-            source = Warehouse(self.spark, raw=self.raw, tables=dict(written))
-            source.scoring_cutoff = getattr(self, "scoring_cutoff", None)
+
+        def write_one(src: "Warehouse", name: str) -> tuple[str, DataFrame]:
+            started = time.time()
+            df = getattr(src, name)
+            target = f"{path.rstrip('/')}/{name}"
+            if name in self.FACT_DAY:
+                day, _ = self.FACT_DAY[name]
+                # REBALANCE: adaptive execution splits large months (a hot month is
+                # written by several tasks) and merges small ones; no sampling pass
+                (df.hint("rebalance", MONTH_COLUMN).sortWithinPartitions(MONTH_COLUMN, day)
+                   .write.mode("overwrite").partitionBy(MONTH_COLUMN).parquet(target))
+            else:
+                df.write.mode("overwrite").parquet(target)
+            self.write_seconds[name] = round(time.time() - started, 3)
+            return name, self._read(self.spark, target, name, df.schema)
+
+        # tables of one layer only read layers below, so they are written as concurrent jobs
+        with ThreadPoolExecutor(max_workers=self.WRITE_THREADS) as pool:
+            for layer in layers:
+                for name, df in pool.map(lambda n, src=source: write_one(src, n), layer):
+                    written[name] = df
+                source = Warehouse(self.spark, raw=self.raw, tables=dict(written))
+                source.scoring_cutoff = getattr(self, "scoring_cutoff", None)
         return source
 
     @classmethod
