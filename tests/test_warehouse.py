@@ -1,4 +1,4 @@
-"""Layer integrity, reconciliation and idempotence (the reference's warehouse tests)."""
+"""Layer integrity, reconciliation and idempotence of the warehouse build."""
 
 import uuid
 
