@@ -34,7 +34,7 @@ pp AS (
          COALESCE(pv.casino_ggr, 0.0) AS previous_casino_ggr, COALESCE(pv.sports_ggr, 0.0) AS previous_sports_ggr,
          c.casino_ggr + c.sports_ggr AS period_ggr, COALESCE(pv.casino_ggr, 0.0) + COALESCE(pv.sports_ggr, 0.0) AS previous_ggr,
          c.sessions + c.sports_bets AS activity, COALESCE(pv.sessions, 0) + COALESCE(pv.sports_bets, 0) AS previous_activity,
-         GREATEST(COALESCE(date_diff('day', CAST(c.last_activity AS DATE), DATE '{s.end}'), 999), 0) AS recency_days
+         CAST(GREATEST(COALESCE(date_diff('day', CAST(c.last_activity AS DATE), DATE '{s.end}'), 999), 0) AS INTEGER) AS recency_days
   FROM cur_player_base c LEFT JOIN prv_player_base pv USING (player_id)),
 cut AS (
   SELECT GREATEST(COALESCE(quantile_cont(period_ggr, 0.70) FILTER (WHERE period_ggr > 0), 0.0), 1.0) AS mon,

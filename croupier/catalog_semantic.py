@@ -94,7 +94,7 @@ def kpi_sql(dataset: str, metric: str, s, previous: bool = True) -> str:
     label = sem.DATASETS[dataset].metrics[metric].label
     cur = plan_sql(sem.QueryPlan(dataset, (), (metric,), metric, "DESC", 1), s)
     prev = plan_sql(sem.QueryPlan(dataset, (), (metric,), metric, "DESC", 1), s.previous()) if previous else "SELECT NULL::DOUBLE"
-    return f"SELECT '{label}' AS label, ({cur}) AS current_value, CAST(({prev}) AS DOUBLE) AS previous_value"
+    return f"SELECT '{label}' AS label, ({cur}) AS current_value, ({prev}) AS previous_value"
 
 
 for ds, m in (("executive", "ggr"), ("executive", "estimated_ngr"), ("player_activity", "active_players"), ("payments", "approval_rate"),

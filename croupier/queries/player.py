@@ -25,7 +25,7 @@ def favorite_games(wh: Warehouse, top: int = 5, player_id: str | None = None) ->
         F.count(F.lit(1)).cast("bigint").alias("sessions"), F.sum("total_bet_amount").alias("b"), F.sum("casino_ggr").alias("g"))
     w = Window.partitionBy("player_id").orderBy(F.desc("sessions"), "game_name")
     return (g.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= top)
-            .select("player_id", "rank", "game_name", "sessions", out("b", "bets"), out("g", "ggr")))
+            .select("player_id", F.col("rank").cast("bigint").alias("rank"), "game_name", "sessions", out("b", "bets"), out("g", "ggr")))
 
 
 def _period_counts(wh: Warehouse, scope: Scope) -> DataFrame:
