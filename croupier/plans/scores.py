@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from croupier.functions.exprs import MONEY, SCORE, avg_if, clip, dec, sum_if
+from croupier.functions.exprs import MONEY, SCORE, avg_if, clip, dec, sum_if  # noqa: F401
 from croupier.operators.quantiles import exact_quantile_row
 
 # ---- fixed values ------------------------------------------------------------------
@@ -27,6 +27,7 @@ LTV_SCALE, LTV_BOUNDS = 75.0, (10.0, 15000.0)
 LTV_HORIZON_FACTOR = {30: 1.0 / 3.0, 90: 1.0, 180: 2.0}
 FRAUD_DECLINE_WEIGHT = 1.4
 RG_DURATION_WEIGHT, RG_DURATION_SCALE, RG_DEPOSIT_WEIGHT, RG_DEPOSIT_LIMIT = 0.45, 240.0, 0.35, 1500
+RG_DURATION_PER_MINUTE, RG_DEPOSIT_STEP = "0.001875", "0.35"   # 0.45 / 240 per minute of the longest session
 ACTIONS = [
     "Limit communications · RG review",
     "Manual fraud review",
@@ -49,7 +50,7 @@ NBA_QUANTILES = {
     "value_high": ("remaining_ltv_90d", 0.75),
     "future_high": ("remaining_ltv_180d", 0.90),
 }
-CONFIDENCE_BASE, CONFIDENCE_SLOPE, CONFIDENCE_BOUNDS = 0.62, 0.45, (0.62, 0.94)
+CONFIDENCE_BASE, CONFIDENCE_SLOPE, CONFIDENCE_BOUNDS = "0.62", "0.45", ("0.62", "0.94")
 RISK_THRESHOLD = 0.55
 LTV_TYPE = "decimal(18,6)"
 # ------------------------------------------------------------------------------------
@@ -141,9 +142,10 @@ def rule_scores(snap: DataFrame) -> DataFrame:
     for h, factor in LTV_HORIZON_FACTOR.items():
         cols.append((ltv * factor if factor != 1.0 else ltv).cast(LTV_TYPE).alias(f"remaining_ltv_{h}d"))
     cols.append(clip(F.col("decline_rate") * FRAUD_DECLINE_WEIGHT, F.lit(0.0), F.lit(1.0)).cast(SCORE).alias("fraud_risk"))
-    rg = ((F.col("max_duration") / RG_DURATION_SCALE) * RG_DURATION_WEIGHT
-          + (F.col("deposit_amount") > RG_DEPOSIT_LIMIT).cast("double") * RG_DEPOSIT_WEIGHT)
-    cols.append(clip(rg, F.lit(0.0), F.lit(1.0)).cast(SCORE).alias("rg_risk"))
+    # exact decimal arithmetic: duration x (0.45 / 240) = duration x 0.001875, then half-up to 6 places
+    rg = (F.col("max_duration").cast("decimal(18,2)") * dec(RG_DURATION_PER_MINUTE)
+          + F.when(F.col("deposit_amount") > RG_DEPOSIT_LIMIT, dec(RG_DEPOSIT_STEP)).otherwise(dec("0")))
+    cols.append(F.round(clip(rg, dec("0"), dec("1")), 6).cast(SCORE).alias("rg_risk"))
     return snap.select(*cols)
 
 
@@ -164,7 +166,10 @@ def next_best_action(scored: DataFrame, cut: dict[str, float] | None = None) ->
     for cond, a, r in reversed(list(zip(conds, ACTIONS, REASONS))):
         action = F.when(F.coalesce(cond, F.lit(False)), F.lit(a)).otherwise(action)
         reason = F.when(F.coalesce(cond, F.lit(False)), F.lit(r)).otherwise(reason)
-    conf = clip(F.lit(CONFIDENCE_BASE) + F.abs(c30 - 0.5) * CONFIDENCE_SLOPE, F.lit(CONFIDENCE_BOUNDS[0]), F.lit(CONFIDENCE_BOUNDS[1]))
+    # exact decimal arithmetic on the 6-place score, then half-up to 6 places
+    p30 = F.col("churn_probability_30d")
+    conf = F.round(clip(dec(CONFIDENCE_BASE) + F.abs(p30 - dec("0.5")) * dec(CONFIDENCE_SLOPE),
+                        dec(CONFIDENCE_BOUNDS[0]), dec(CONFIDENCE_BOUNDS[1])), 6)
     return scored.select(
         "*", action.alias("recommended_action"), reason.alias("reason"), conf.cast(SCORE).alias("action_confidence"),
         (F.col("remaining_ltv_90d") * F.col("churn_probability_30d")).alias("estimated_value_at_stake"),
