@@ -113,9 +113,10 @@ def portfolio(players: DataFrame, segment: str | None = None) -> DataFrame:
 
 
 def scatter_sample(players: DataFrame, segment: str | None = None) -> DataFrame:
-    """At most 1,500 players in a deterministic hash order (seed 7); bubble = max(GGR, 0) + 1."""
+    """At most 1,500 players in a deterministic hash order (SHA-256 of seed and id); bubble = max(GGR, 0) + 1."""
     f = in_segment(players, segment)
-    return (f.orderBy(F.xxhash64(F.lit(SCATTER_SEED), "player_id"), "player_id").limit(SCATTER_POINTS)
+    key = F.sha2(F.concat(F.lit(f"{SCATTER_SEED}:"), F.col("player_id")), 256)
+    return (f.orderBy(key, "player_id").limit(SCATTER_POINTS)
             .select("player_id", "vip_level", "churn_probability", "predicted_total_ltv_180d",
                     (F.greatest(F.col("lifetime_ggr"), F.lit(0.0)) + 1).alias("bubble_size")))
 
