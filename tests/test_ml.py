@@ -54,3 +54,22 @@ def test_forecast_and_anomalies_contracts(wh):
         per_metric[r["metric"]] = per_metric.get(r["metric"], 0) + 1
         assert 0 < r["anomaly_score"] <= 1 and r["severity"] in ("High", "Medium")
     assert all(v <= series.MAX_FLAGS for v in per_metric.values())
+
+
+def test_anomaly_flags_injected_outlier(spark):
+    import datetime as dt
+
+    import pandas as pd
+
+    from croupier.ml.series import _anomalies_one
+
+    days = [dt.date(2000, 1, 1) + dt.timedelta(days=i) for i in range(120)]
+    rng = np.random.default_rng(5)
+    values = 100 + rng.normal(0, 2, len(days))
+    values[77] = 400.0  # one extreme day
+    pdf = pd.DataFrame({"date": days, "metric": "ggr", "value": values, "usual": 100.0})
+    out = _anomalies_one(pdf)
+    assert days[77] in set(out["detected_date"])
+    top = out.sort_values("anomaly_score", ascending=False).iloc[0]
+    assert top["detected_date"] == days[77] and top["severity"] == "High"
+    assert len(out) <= 8
