@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from croupier.llm.common import HashedWords, mix64, shingles, written
+from croupier.llm.common import HashedWords, distinct, mix64, shingles, written
 
 WIDTH = 5
 THRESHOLD = 0.8
@@ -50,7 +50,7 @@ _MULTIPLIERS = mix64(np.arange(1, TREES * DEPTH + 1, dtype=np.uint64)) | np.uint
 
 def shingle_set(text: str | None, words: HashedWords, width: int = WIDTH) -> np.ndarray:
     """Sorted distinct shingle hashes of a text."""
-    return np.unique(shingles(words.of((text or "").lower().split()), width))
+    return distinct(shingles(words.of((text or "").lower().split()), width))
 
 
 def set_key(found: np.ndarray) -> bytes | None:
