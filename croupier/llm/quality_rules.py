@@ -108,7 +108,7 @@ def sketch(feats: DataFrame) -> DataFrame:
     values = F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), bucket(F.col(m)).alias("bucket")) for m in SLACK]))
     return (feats.filter(~F.col("base_failed")).select("lang", "source", values.alias("v"))
             .groupBy("lang", "source", F.col("v.metric").alias("metric"), F.col("v.bucket").alias("bucket"))
-            .agg(F.count("*").alias("n")))
+            .agg(F.count("*").alias("n")).withColumn("every", F.lit(1)))
 
 
 def _fences(merged: DataFrame, keys: list[str], spread: int) -> DataFrame:
@@ -134,16 +134,17 @@ def _fences(merged: DataFrame, keys: list[str], spread: int) -> DataFrame:
 def thresholds(feats: DataFrame, spread: int = SPREAD, min_docs: int = MIN_DOCS) -> DataFrame:
     """Fences for every (lang, source) of ``feats``, from the smallest sketch with enough documents."""
     base = written(sketch(feats), "quality-sketch")
-    every = base.withColumn("all", F.lit(1))
     own = _fences(base, ["lang", "source"], spread)
     by_lang = _fences(base, ["lang"], spread)
-    overall = _fences(every, ["all"], spread)
+    overall = _fences(base, ["every"], spread)
     fences = [c for c in own.columns if c.startswith(("hi_", "lo_"))]
-    own = own.select("lang", "source", F.struct("n_docs", *fences).alias("own"))
+    pairs = base.groupBy("lang", "source").agg(F.max("every").alias("e")).select(F.col("lang").alias("pl"), F.col("source").alias("ps"), "e")
+    own = (own.select("lang", "source", F.struct("n_docs", *fences).alias("own"))
+           .join(pairs, F.col("lang").eqNullSafe(F.col("pl")) & F.col("source").eqNullSafe(F.col("ps"))))
     by_lang = by_lang.select(F.col("lang").alias("l"), F.struct("n_docs", *fences).alias("by_lang"))
-    overall = overall.select("all", F.struct("n_docs", *fences).alias("overall"))
-    joined = (own.join(by_lang, F.col("lang").eqNullSafe(F.col("l")), "left").withColumn("all", F.lit(1))
-              .join(overall, "all", "left"))
+    overall = overall.select("every", F.struct("n_docs", *fences).alias("overall"))
+    joined = (own.join(by_lang, F.col("lang").eqNullSafe(F.col("l")), "left")
+              .join(overall, F.col("e") == F.col("every"), "left"))
     chosen = (F.when(F.col("own.n_docs") >= min_docs, F.col("own"))
               .when(F.col("by_lang.n_docs") >= min_docs, F.col("by_lang")).otherwise(F.col("overall")))
     return written(joined.select(F.col("lang").alias("t_lang"), F.col("source").alias("t_source"),
