@@ -43,7 +43,8 @@ from croupier.llm.common import written
 
 BLOCK_CHARS = 24_000_000
 BUCKETS_PER_PARTITION = 1
-_SPACE = "\t-\r \x85\xa0  -     　"  # white space of the Unicode standard
+# white space of the Unicode standard
+_SPACE = r"\t-\r \x85\xa0" + "".join(map(chr, (0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 _UNIT = re.compile(f" ?[^{_SPACE}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
 
 
