@@ -40,10 +40,10 @@ from croupier.llm.common import HashedWords, distinct, mix64, shingles, written
 
 WIDTH = 5
 THRESHOLD = 0.8
-TREES = 20
+TREES = 32
 DEPTH = 6
 MIN_DEPTH = 3
-TARGET = 0.999
+TARGET = 0.9999
 CHUNK = 256
 _MULTIPLIERS = mix64(np.arange(1, TREES * DEPTH + 1, dtype=np.uint64)) | np.uint64(1)
 
@@ -94,9 +94,8 @@ def _prefix(tree: int, depth: int) -> Column:
 
 
 def _nodes(classes: DataFrame, depth: int) -> DataFrame:
-    """(node, tree) rows of every class at one depth."""
-    at = F.posexplode(F.array(*[_prefix(t, depth) for t in range(TREES)])).alias("tree", "node")
-    return classes.select("key", "signature", "rep", "copies", at)
+    """(key, tree, node) rows of every class at one depth; signatures stay behind, they are long."""
+    return classes.select("key", F.posexplode(F.array(*[_prefix(t, depth) for t in range(TREES)])).alias("tree", "node"))
 
 
 def _units(classes: DataFrame, depth: int, chunk: int, name: str) -> DataFrame:
@@ -106,6 +105,7 @@ def _units(classes: DataFrame, depth: int, chunk: int, name: str) -> DataFrame:
     """
     shared = (_nodes(classes, depth).groupBy("node").agg(F.count("*").alias("members")).filter("members > 1"))
     rows = written(_nodes(classes, depth).join(shared, "node"), f"{name}-nodes")
+    rows = written(rows.join(classes, "key"), f"{name}-members")
     # a node is covered if all its classes share a node of an earlier tree, or of any tree one level deeper
     tests = [(t, _prefix(t, depth)) for t in range(TREES)]
     if depth < DEPTH:
