@@ -9,8 +9,8 @@ of a block by word number, that is by position.
 
 A block is at most ``BLOCK_CHARS`` characters (or one longer document), and a word crosses the
 network once per block however often it occurs, so a very common word is no hot key and a bucket
-holds ``1 / buckets`` of the distinct words. Words and positions travel compressed. Steps 1 and 2
-are written to the shared folder.
+holds ``1 / buckets`` of the distinct words. Words and positions are compressed. Step 1 is written
+to the shared folder as a table bucketed by block, so the documents are not shuffled for step 3.
 
 Words are the tokenizer's own pre-tokens joined at places where it always splits: before a single
 space that stands between two non-space characters, and around runs of white space. A special
@@ -29,6 +29,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+import uuid
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -39,10 +40,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from croupier.llm.common import written
+from croupier.llm.common import scratch_dir
 
-BLOCK_CHARS = 24_000_000
-BUCKETS_PER_PARTITION = 1
+BLOCK_CHARS = 12_000_000
+ROWS = 500  # texts taken out of Arrow at a time
 # white space of the Unicode standard
 _SPACE = r"\t-\r \x85\xa0" + "".join(map(chr, (0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 _UNIT = re.compile(f" ?[^{_SPACE}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
@@ -76,14 +77,23 @@ def splitter(tokenizer) -> Callable[[str], list[str]]:
     return split
 
 
+_SMALL = 255
+
+
 def _pack(values: np.ndarray) -> bytes:
-    """uint32 values, byte planes apart (the upper ones are nearly empty), compressed."""
-    return zstandard.compress(values.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), 3)
+    """Numbers below 2**32, small ones likelier: a byte each, and three more planes for the large."""
+    large = values[values >= _SMALL].astype("<u4") - np.uint32(_SMALL)
+    planes = large.view(np.uint8).reshape(-1, 4).T
+    return zstandard.compress(np.int64(len(values)).tobytes() + np.minimum(values, _SMALL).astype(np.uint8).tobytes() + planes.tobytes(), 3)
 
 
 def _unpack(data: bytes) -> np.ndarray:
-    planes = np.frombuffer(zstandard.decompress(data), np.uint8).reshape(4, -1)
-    return planes.T.copy().view("<u4").reshape(-1)
+    raw = np.frombuffer(zstandard.decompress(data), np.uint8)
+    n = int(raw[:8].view(np.int64)[0])
+    out = raw[8:8 + n].astype(np.uint32)
+    large = raw[8 + n:].reshape(4, -1).T.copy().view("<u4").reshape(-1)
+    out[out == _SMALL] = large + np.uint32(_SMALL)
+    return out
 
 
 class _Numbers(dict):
@@ -93,74 +103,82 @@ class _Numbers(dict):
 
 
 def _split_rows(docs: DataFrame, path: str, buckets: int) -> DataFrame:
-    """Rows (block, bucket, doc_id, numbers, words): documents (bucket -1) and distinct words."""
+    """Rows of a block, told apart by ``bucket``: documents (-1) with the numbers of their words,
+    one header (-2) with the bucket of every word, and per bucket its words in number order."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split = splitter(load(path))
         base, blocks = TaskContext.get().partitionId() << 32, 0
         words = _Numbers()
         ids: list = []
-        numbers: list[bytes] = []
+        numbers: list[np.ndarray] = []
         chars = 0
 
-        def close() -> Iterator[pa.RecordBatch]:
+        def close() -> pa.RecordBatch:
             nonlocal blocks, chars
             block = base + blocks
             blocks += 1
+            # renumber by falling frequency: small numbers pack well
+            count = np.bincount(np.concatenate(numbers), minlength=len(words))
+            order = np.argsort(-count, kind="stable")
+            rank = np.empty(len(words), np.uint32)
+            rank[order] = np.arange(len(words), dtype=np.uint32)
             listed = list(words)
-            encoded = [w.encode("utf-8", "surrogatepass") for w in listed]
-            bucket = np.fromiter((zlib.crc32(w) % buckets for w in encoded), np.int64, len(listed))
-            order = np.argsort(bucket, kind="stable")
-            rows = {"block": [block] * len(ids), "bucket": [-1] * len(ids), "doc_id": list(ids),
-                    "numbers": list(numbers), "words": [None] * len(ids)}
-            edges = np.flatnonzero(np.diff(bucket[order], prepend=-1))
-            for lo, hi in zip(edges, [*edges[1:], len(order)]):
-                own = order[lo:hi]
-                rows["block"].append(block)
-                rows["bucket"].append(int(bucket[own[0]]))
-                rows["doc_id"].append(None)
-                rows["numbers"].append(_pack(np.diff(own, prepend=0)))
-                rows["words"].append(zstandard.compress(json.dumps([listed[i] for i in own], ensure_ascii=False)
-                                                        .encode("utf-8", "surrogatepass"), 3))
+            listed = [listed[i] for i in order]
+            bucket = np.fromiter((zlib.crc32(w.encode("utf-8", "surrogatepass")) % buckets for w in listed), np.int64, len(listed))
+            of = np.argsort(bucket, kind="stable")
+            edges = np.flatnonzero(np.diff(bucket[of], prepend=-1))
+            groups = [of[lo:hi] for lo, hi in zip(edges, [*edges[1:], len(of)])]
+            rows = {
+                "block": pa.array([block] * (len(ids) + 1 + len(groups)), pa.int64()),
+                "bucket": pa.array([-1] * len(ids) + [-2] + [int(bucket[g[0]]) for g in groups], pa.int32()),
+                "doc_id": pa.array(ids + [None] * (1 + len(groups)), pa.int64()),
+                "data": pa.array([_pack(rank[n]) for n in numbers] + [_pack(bucket)] +
+                                 [zstandard.compress(json.dumps([listed[i] for i in g], ensure_ascii=False)
+                                                     .encode("utf-8", "surrogatepass"), 9) for g in groups], pa.binary())}
             words.clear(), ids.clear(), numbers.clear()
             chars = 0
-            types = {"block": pa.int64(), "bucket": pa.int32(), "doc_id": pa.int64(), "numbers": pa.binary(), "words": pa.binary()}
-            yield pa.record_batch({k: pa.array(v, types[k]) for k, v in rows.items()})
+            return pa.record_batch(rows)
 
         for batch in batches:
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-                text = text or ""
-                if ids and chars + len(text) > BLOCK_CHARS:
-                    yield from close()
-                found = split(text)
-                ids.append(doc_id)
-                numbers.append(_pack(np.fromiter(map(words.__getitem__, found), np.uint32, len(found))))
-                chars += len(text)
+            for lo in range(0, batch.num_rows, ROWS):
+                part = batch.slice(lo, ROWS)
+                for doc_id, text in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist()):
+                    text = text or ""
+                    if ids and chars + len(text) > BLOCK_CHARS:
+                        yield close()
+                    found = split(text)
+                    ids.append(doc_id)
+                    numbers.append(np.fromiter(map(words.__getitem__, found), np.uint32, len(found)))
+                    chars += len(text)
         if ids:
-            yield from close()
+            yield close()
 
     return (docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-            .mapInArrow(task, "block long, bucket int, doc_id long, numbers binary, words binary"))
+            .mapInArrow(task, "block long, bucket int, doc_id long, data binary"))
 
 
 def _encode_words(rows: DataFrame, path: str) -> DataFrame:
-    """(block, numbers, lengths, ids) for every (block, bucket): each distinct word is encoded once."""
+    """(block, bucket, lengths, ids) for every (block, bucket): each distinct word is encoded once."""
 
     def bucket(table: pa.Table) -> pa.Table:
         tokenizer = load(path)
-        listed = [json.loads(zstandard.decompress(w).decode("utf-8", "surrogatepass")) for w in table.column("words").to_pylist()]
         place = _Numbers()
-        at = [np.fromiter(map(place.__getitem__, w), np.int64, len(w)) for w in listed]
+        at = []
+        for data in table.column("data").to_pylist():
+            listed = json.loads(zstandard.decompress(data).decode("utf-8", "surrogatepass"))
+            at.append(np.fromiter(map(place.__getitem__, listed), np.int64, len(listed)))
         distinct = list(place)
         ids: list[np.ndarray] = []
         for lo in range(0, len(distinct), 2000):
             ids += [np.array(e.ids, np.uint32) for e in tokenizer.encode_batch_fast(distinct[lo:lo + 2000], add_special_tokens=False)]
-        size = np.array([len(i) for i in ids], np.uint32)
-        return pa.table({"block": table.column("block"), "numbers": table.column("numbers"),
+        size = np.array([len(i) for i in ids], np.int64)
+        flat, start = np.concatenate(ids), np.cumsum(size) - size
+        return pa.table({"block": table.column("block"), "bucket": table.column("bucket"),
                          "lengths": pa.array([_pack(size[a]) for a in at], pa.binary()),
-                         "ids": pa.array([_pack(np.concatenate([ids[i] for i in a])) for a in at], pa.binary())})
+                         "ids": pa.array([_pack(flat[_spread(start[a], size[a])]) for a in at], pa.binary())})
 
-    return rows.groupBy("bucket").applyInArrow(bucket, "block long, numbers binary, lengths binary, ids binary")
+    return rows.groupBy("bucket").applyInArrow(bucket, "block long, bucket int, lengths binary, ids binary")
 
 
 def _spread(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -169,39 +187,52 @@ def _spread(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(starts - (ends - lengths), lengths)
 
 
-def _join_back(rows: DataFrame, answers: DataFrame, finish: Callable[[list[np.ndarray]], dict], schema: str) -> DataFrame:
-    """doc_id plus ``finish(ids of each document)``, block by block."""
+def _join_back(rows: DataFrame, answers: DataFrame, finish: Callable[[np.ndarray], tuple], schema: pa.Schema, ddl: str) -> DataFrame:
+    """doc_id plus ``finish(ids of the document)``, block by block."""
 
     def block(docs: pa.Table, words: pa.Table) -> pa.Table:
-        parts = [(np.cumsum(_unpack(n)), _unpack(k).astype(np.int64), _unpack(i)) for n, k, i in
-                 zip(*(words.column(c).to_pylist() for c in ("numbers", "lengths", "ids")))]
-        total = sum(len(p[0]) for p in parts)
-        start, length = np.zeros(total, np.int64), np.zeros(total, np.int64)
-        at = 0
-        for number, size, ids in parts:
-            length[number] = size
-            start[number] = np.cumsum(size) - size + at
-            at += len(ids)
-        flat = np.concatenate([p[2] for p in parts]) if parts else np.empty(0, np.uint32)
+        header = docs.column("data")[docs.column("bucket").to_pylist().index(-2)].as_py()
+        bucket = _unpack(header)
+        start, length = np.zeros(len(bucket), np.int64), np.zeros(len(bucket), np.int64)
+        flat, at = [], 0
+        for b, size, ids in zip(*(words.column(c).to_pylist() for c in ("bucket", "lengths", "ids"))):
+            own, size = np.flatnonzero(bucket == b), _unpack(size).astype(np.int64)
+            length[own] = size
+            start[own] = np.cumsum(size) - size + at
+            flat.append(_unpack(ids))
+            at += len(flat[-1])
+        ids = np.concatenate(flat) if flat else np.empty(0, np.uint32)
         out = []
-        for packed in docs.column("numbers").to_pylist():
-            number = _unpack(packed)
-            out.append(flat[_spread(start[number], length[number])])
-        return pa.table({"doc_id": docs.column("doc_id"), **finish(out)})
+        for b, doc_id, data in zip(docs.column("bucket").to_pylist(), docs.column("doc_id").to_pylist(), docs.column("data")):
+            if b == -1:
+                number = _unpack(data.as_py())
+                out.append((doc_id, *finish(ids[_spread(start[number], length[number])])))
+        return pa.table([pa.array(c, t) for c, t in zip(zip(*out), schema.types)], schema=schema)
+
+    return rows.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(block, ddl)
+
 
-    return (rows.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(block, "doc_id long, " + schema))
+def _bucketed(df: DataFrame, name: str, buckets: int) -> DataFrame:
+    """Written into the shared folder, bucketed by block: a later grouping by block needs no shuffle."""
+    spark = df.sparkSession
+    table = f"{name}_{uuid.uuid4().hex}"
+    df.write.bucketBy(buckets, "block").option("path", scratch_dir(spark, name)).format("parquet").saveAsTable(table)
+    read = spark.table(table)
+    spark.sql(f"DROP TABLE {table}")  # the catalog entry only; the files stay
+    return read
 
 
-def _encoded(docs: DataFrame, path: str, finish: Callable[[list[np.ndarray]], dict], schema: str) -> DataFrame:
-    buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) * BUCKETS_PER_PARTITION
-    rows = written(_split_rows(docs, path, buckets), "bpe-words")
-    answers = _encode_words(rows.filter("bucket >= 0").select("block", "bucket", "numbers", "words"), path)
-    return _join_back(rows.filter("bucket < 0").select("block", "doc_id", "numbers"), answers, finish, schema)
+def _encoded(docs: DataFrame, path: str, finish: Callable[[np.ndarray], tuple], schema: pa.Schema, ddl: str) -> DataFrame:
+    buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = _bucketed(_split_rows(docs, path, buckets), "bpe_words", buckets)
+    answers = _encode_words(rows.filter("bucket >= 0").select("block", "bucket", "data"), path)
+    return _join_back(rows.filter("bucket < 0"), answers, finish, schema, ddl)
 
 
 def encode(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, ids (array of int): the ids of every whole text."""
-    return _encoded(docs, path, lambda found: {"ids": pa.array([f.astype(np.int32) for f in found], pa.list_(pa.int32()))}, "ids array<int>")
+    schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))])
+    return _encoded(docs, path, lambda ids: (ids.astype(np.int32),), schema, "doc_id long, ids array<int>")
 
 
 def pieces(path: str) -> list[bytes]:
@@ -237,9 +268,9 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256: encoded and decoded again."""
     by_id = pieces(path)
 
-    def finish(found: list[np.ndarray]) -> dict:
-        return {"n_tokens": pa.array([len(f) for f in found], pa.int64()),
-                "ids_sha256": pa.array([hashlib.sha256(f.astype("<u4").tobytes()).hexdigest() for f in found], pa.string()),
-                "decoded_sha256": pa.array([hashlib.sha256(decode_ids(f, by_id).encode("utf-8")).hexdigest() for f in found], pa.string())}
+    def finish(ids: np.ndarray) -> tuple:
+        return (len(ids), hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest(),
+                hashlib.sha256(decode_ids(ids, by_id).encode("utf-8")).hexdigest())
 
-    return _encoded(docs, path, finish, "n_tokens long, ids_sha256 string, decoded_sha256 string")
+    schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
+    return _encoded(docs, path, finish, schema, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
