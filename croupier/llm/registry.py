@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from croupier.llm import bpe, decontam, langid, lsh_forest, oracles, pii, quality_rules
+from croupier.llm import bpe, decontam, langid, lsh_forest, oracles, pii, quality_cnn, quality_rules
 from croupier.llm.common import documents
 
 
@@ -19,6 +19,10 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(documents(spark, sf_dir))
 
 
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_cnn.classify(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op6_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -38,6 +42,7 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_pii": op2_pii,
+    "op3_quality_classifier": op3_quality_classifier,
     "op6_bpe_round_trip": op6_bpe_round_trip,
     "op7_quality_rules": op7_quality_rules,
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
