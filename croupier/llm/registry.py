@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from croupier.llm import bpe, decontam, langid, lsh_forest, oracles, pii, quality_cnn, quality_rules
+from croupier.llm import bpe, decontam, huffman, langid, lsh_forest, oracles, pii, quality_cnn, quality_rules
 from croupier.llm.common import documents
 
 
@@ -23,6 +23,10 @@ def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_cnn.classify(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op4_huffman_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return huffman.round_trip(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op6_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -43,6 +47,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_pii": op2_pii,
     "op3_quality_classifier": op3_quality_classifier,
+    "op4_huffman_files": op4_huffman_files,
     "op6_bpe_round_trip": op6_bpe_round_trip,
     "op7_quality_rules": op7_quality_rules,
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
