@@ -28,10 +28,11 @@ from __future__ import annotations
 
 import hashlib
 import json
+import os
 import re
-import uuid
 import zlib
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -40,7 +41,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from croupier.llm.common import scratch_dir
+from croupier.llm.common import bucketed, pack, unpack
 
 BLOCK_CHARS = 12_000_000
 ROWS = 500  # texts taken out of Arrow at a time
@@ -49,19 +50,24 @@ _SPACE = r"\t-\r \x85\xa0" + "".join(map(chr, (0x1680, *range(0x2000, 0x200B), 0
 _UNIT = re.compile(f" ?[^{_SPACE}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
 
 
+@lru_cache(1)
 def load(path: str):
-    """The tokenizer of a file, without truncation and padding."""
+    """The tokenizer of a file, without truncation and padding; one per process, one thread."""
     from tokenizers import Tokenizer
 
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark deals out the cores
     tokenizer = Tokenizer.from_file(path)
     tokenizer.no_truncation()
     tokenizer.no_padding()
     return tokenizer
 
 
-def splitter(tokenizer) -> Callable[[str], list[str]]:
+def special_tokens(path: str) -> list[str]:
+    return [t.content for t in load(path).get_added_tokens_decoder().values()]
+
+
+def splitter(special: list[str]) -> Callable[[str], list[str]]:
     """text -> its words; their encodings, one after the other, are the encoding of the text."""
-    special = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
     if not special:
         return _UNIT.findall
     cut = re.compile("(" + "|".join(map(re.escape, sorted(special, key=len, reverse=True))) + ")")
@@ -77,37 +83,18 @@ def splitter(tokenizer) -> Callable[[str], list[str]]:
     return split
 
 
-_SMALL = 255
-
-
-def _pack(values: np.ndarray) -> bytes:
-    """Numbers below 2**32, small ones likelier: a byte each, and three more planes for the large."""
-    large = values[values >= _SMALL].astype("<u4") - np.uint32(_SMALL)
-    planes = large.view(np.uint8).reshape(-1, 4).T
-    return zstandard.compress(np.int64(len(values)).tobytes() + np.minimum(values, _SMALL).astype(np.uint8).tobytes() + planes.tobytes(), 3)
-
-
-def _unpack(data: bytes) -> np.ndarray:
-    raw = np.frombuffer(zstandard.decompress(data), np.uint8)
-    n = int(raw[:8].view(np.int64)[0])
-    out = raw[8:8 + n].astype(np.uint32)
-    large = raw[8 + n:].reshape(4, -1).T.copy().view("<u4").reshape(-1)
-    out[out == _SMALL] = large + np.uint32(_SMALL)
-    return out
-
-
 class _Numbers(dict):
     def __missing__(self, word: str) -> int:
         n = self[word] = len(self)
         return n
 
 
-def _split_rows(docs: DataFrame, path: str, buckets: int) -> DataFrame:
+def _split_rows(docs: DataFrame, special: list[str], buckets: int) -> DataFrame:
     """Rows of a block, told apart by ``bucket``: documents (-1) with the numbers of their words,
     one header (-2) with the bucket of every word, and per bucket its words in number order."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split = splitter(load(path))
+        split = splitter(special)
         base, blocks = TaskContext.get().partitionId() << 32, 0
         words = _Numbers()
         ids: list = []
@@ -133,7 +120,7 @@ def _split_rows(docs: DataFrame, path: str, buckets: int) -> DataFrame:
                 "block": pa.array([block] * (len(ids) + 1 + len(groups)), pa.int64()),
                 "bucket": pa.array([-1] * len(ids) + [-2] + [int(bucket[g[0]]) for g in groups], pa.int32()),
                 "doc_id": pa.array(ids + [None] * (1 + len(groups)), pa.int64()),
-                "data": pa.array([_pack(rank[n]) for n in numbers] + [_pack(bucket)] +
+                "data": pa.array([pack(rank[n]) for n in numbers] + [pack(bucket)] +
                                  [zstandard.compress(json.dumps([listed[i] for i in g], ensure_ascii=False)
                                                      .encode("utf-8", "surrogatepass"), 9) for g in groups], pa.binary())}
             words.clear(), ids.clear(), numbers.clear()
@@ -175,8 +162,8 @@ def _encode_words(rows: DataFrame, path: str) -> DataFrame:
         size = np.array([len(i) for i in ids], np.int64)
         flat, start = np.concatenate(ids), np.cumsum(size) - size
         return pa.table({"block": table.column("block"), "bucket": table.column("bucket"),
-                         "lengths": pa.array([_pack(size[a]) for a in at], pa.binary()),
-                         "ids": pa.array([_pack(flat[_spread(start[a], size[a])]) for a in at], pa.binary())})
+                         "lengths": pa.array([pack(size[a]) for a in at], pa.binary()),
+                         "ids": pa.array([pack(flat[_spread(start[a], size[a])]) for a in at], pa.binary())})
 
     return rows.groupBy("bucket").applyInArrow(bucket, "block long, bucket int, lengths binary, ids binary")
 
@@ -192,39 +179,29 @@ def _join_back(rows: DataFrame, answers: DataFrame, finish: Callable[[np.ndarray
 
     def block(docs: pa.Table, words: pa.Table) -> pa.Table:
         header = docs.column("data")[docs.column("bucket").to_pylist().index(-2)].as_py()
-        bucket = _unpack(header)
+        bucket = unpack(header)
         start, length = np.zeros(len(bucket), np.int64), np.zeros(len(bucket), np.int64)
         flat, at = [], 0
         for b, size, ids in zip(*(words.column(c).to_pylist() for c in ("bucket", "lengths", "ids"))):
-            own, size = np.flatnonzero(bucket == b), _unpack(size).astype(np.int64)
+            own, size = np.flatnonzero(bucket == b), unpack(size).astype(np.int64)
             length[own] = size
             start[own] = np.cumsum(size) - size + at
-            flat.append(_unpack(ids))
+            flat.append(unpack(ids))
             at += len(flat[-1])
         ids = np.concatenate(flat) if flat else np.empty(0, np.uint32)
         out = []
         for b, doc_id, data in zip(docs.column("bucket").to_pylist(), docs.column("doc_id").to_pylist(), docs.column("data")):
             if b == -1:
-                number = _unpack(data.as_py())
+                number = unpack(data.as_py())
                 out.append((doc_id, *finish(ids[_spread(start[number], length[number])])))
         return pa.table([pa.array(c, t) for c, t in zip(zip(*out), schema.types)], schema=schema)
 
     return rows.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(block, ddl)
 
 
-def _bucketed(df: DataFrame, name: str, buckets: int) -> DataFrame:
-    """Written into the shared folder, bucketed by block: a later grouping by block needs no shuffle."""
-    spark = df.sparkSession
-    table = f"{name}_{uuid.uuid4().hex}"
-    df.write.bucketBy(buckets, "block").option("path", scratch_dir(spark, name)).format("parquet").saveAsTable(table)
-    read = spark.table(table)
-    spark.sql(f"DROP TABLE {table}")  # the catalog entry only; the files stay
-    return read
-
-
 def _encoded(docs: DataFrame, path: str, finish: Callable[[np.ndarray], tuple], schema: pa.Schema, ddl: str) -> DataFrame:
     buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = _bucketed(_split_rows(docs, path, buckets), "bpe_words", buckets)
+    rows = bucketed(_split_rows(docs, special_tokens(path), buckets), "bpe_words", buckets)
     answers = _encode_words(rows.filter("bucket >= 0").select("block", "bucket", "data"), path)
     return _join_back(rows.filter("bucket < 0"), answers, finish, schema, ddl)
 

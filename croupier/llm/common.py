@@ -38,6 +38,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, name: str, buckets: int) -> DataFrame:
+    """Written into the shared folder, bucketed by block: a later grouping by block needs no shuffle."""
+    spark = df.sparkSession
+    table = f"{name}_{uuid.uuid4().hex}"
+    df.write.bucketBy(buckets, "block").option("path", scratch_dir(spark, name)).format("parquet").saveAsTable(table)
+    read = spark.table(table)
+    spark.sql(f"DROP TABLE {table}")  # the catalog entry only; the files stay
+    return read
+
+
 def fold(doc_id: Column, modulus: int) -> Column:
     """crc32 of the id as text, modulo ``modulus`` (NULL for a NULL id)."""
     return F.crc32(doc_id.cast("string").cast("binary")) % modulus
@@ -69,6 +79,29 @@ class HashedWords(dict):
         return np.fromiter(map(self.__getitem__, words), dtype=np.uint64, count=len(words))
 
 
+_SMALL = 255
+
+
+def pack(values: np.ndarray) -> bytes:
+    """Numbers below 2**32, small ones likelier: a byte each, and four more planes for the large."""
+    import zstandard
+
+    large = values[values >= _SMALL].astype("<u4") - np.uint32(_SMALL)
+    planes = large.view(np.uint8).reshape(-1, 4).T
+    return zstandard.compress(np.int64(len(values)).tobytes() + np.minimum(values, _SMALL).astype(np.uint8).tobytes() + planes.tobytes(), 3)
+
+
+def unpack(data: bytes) -> np.ndarray:
+    import zstandard
+
+    raw = np.frombuffer(zstandard.decompress(data), np.uint8)
+    n = int(raw[:8].view(np.int64)[0])
+    out = raw[8:8 + n].astype(np.uint32)
+    large = raw[8 + n:].reshape(4, -1).T.copy().view("<u4").reshape(-1)
+    out[out == _SMALL] = large + np.uint32(_SMALL)
+    return out
+
+
 def distinct(values: np.ndarray) -> np.ndarray:
     """Sorted distinct values (plain sort: quicker than numpy's hash table on short arrays)."""
     if len(values) < 2:

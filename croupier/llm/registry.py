@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from croupier.llm import bpe, decontam, huffman, langid, lsh_forest, oracles, pii, quality_cnn, quality_rules
+from croupier.llm import bpe, decontam, huffman, langid, lm_score, lsh_forest, oracles, pii, quality_cnn, quality_rules
 from croupier.llm.common import documents
 
 
@@ -35,6 +35,11 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.assess(documents(spark, sf_dir))
 
 
+def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    wanted = spark.read.parquet(f"{sf_dir}/labels.parquet").filter("quality = 1")
+    return lm_score.score(documents(spark, sf_dir), wanted)
+
+
 def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.matches(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
@@ -50,6 +55,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_huffman_files": op4_huffman_files,
     "op6_bpe_round_trip": op6_bpe_round_trip,
     "op7_quality_rules": op7_quality_rules,
+    "op8_lm_scoring": op8_lm_scoring,
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
 }
