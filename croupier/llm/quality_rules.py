@@ -176,5 +176,8 @@ def clean(docs: DataFrame) -> DataFrame:
     limits = thresholds(written(features(docs, ["lang", "source"]), "quality-features"))
     columns = docs.columns
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("_row"), "text", "lang", "source")
-    kept = judge(features(packed, ["_row", "lang", "source"]), limits).filter("kept")
+    feats = features(packed, ["_row", "lang", "source"])
+    # one row out per row in: a filter above it is not pushed below, where it would repeat every step
+    feats = feats.select(F.inline(F.array(F.struct(*feats.columns))))
+    kept = judge(feats, limits).filter("kept")
     return kept.select(*[F.col("_row")[c].alias(c) for c in columns])

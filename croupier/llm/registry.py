@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from croupier.llm import bpe, decontam, huffman, langid, lm_score, lsh_forest, oracles, pii, quality_cnn, quality_rules
+from croupier.llm import bpe, decontam, huffman, langid, lm_score, lsh_forest, oracles, pii, quality_cnn, quality_rules, secrets
 from croupier.llm.common import documents
 
 
@@ -27,6 +27,10 @@ def op4_huffman_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return huffman.round_trip(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(documents(spark, sf_dir))
+
+
 def op6_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -48,16 +52,24 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lsh_forest.near_duplicates(documents(spark, sf_dir))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_pii": op2_pii,
     "op3_quality_classifier": op3_quality_classifier,
     "op4_huffman_files": op4_huffman_files,
+    "op5_secret_scan": op5_secret_scan,
     "op6_bpe_round_trip": op6_bpe_round_trip,
     "op7_quality_rules": op7_quality_rules,
     "op8_lm_scoring": op8_lm_scoring,
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
+    "pipeline": pipeline,
 }
 
 ORACLE_SQL: dict[str, str] = {
