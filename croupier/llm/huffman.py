@@ -1,7 +1,7 @@
 """Token ids in files of canonical, length-limited Huffman code, decoded by table in blocks.
 
-1. All texts are encoded once to count every id (tasks add up, Spark sums; one row per id of the
-   vocabulary reaches the driver). Package-merge gives the best code lengths of at most
+1. All texts are encoded once and every id is counted (tasks add up, Spark sums; one row per id of
+   the vocabulary reaches the driver). Package-merge gives the best code lengths of at most
    ``MAX_BITS``; ids of one length get consecutive codes in id order (canonical), so the lengths
    alone describe the code.
 2. The documents are range-partitioned by id and each partition is encoded in ascending order and
@@ -24,16 +24,20 @@ code of one bit. A very long text is a block of its own. Further columns are ign
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from croupier.llm.common import scratch_dir
+from croupier.llm.bpe import load, special_tokens
+from croupier.llm.common import scratch_dir, written
 
 MAX_BITS = 20
 LANE = 256
@@ -42,43 +46,77 @@ END_ID = 1
 ROWS = 500  # texts taken out of Arrow at a time
 
 
-class WordIds(dict):
-    """Word -> its ids as little-endian uint16 or uint32 bytes; encodes what it has not met.
+# Texts in Latin-1: lower-casing and composing them is the same everywhere, so their letter runs and
+# symbol runs can be looked up on their own. A word with an apostrophe stays whole ('s, 'll, ...).
+_LETTER = "a-z\\xaa\\xb5\\xba\\xdf-\\xf6\\xf8-\\xff"
+_BLANK = "\\t-\\r \\x85\\xa0"
+_RUNS = re.compile(f"[{_LETTER}]+(?![{_LETTER}'])|[^{_BLANK}{_LETTER}']+(?![^{_BLANK}{_LETTER}])|[^{_BLANK}]+")
 
-    A text is cut at blanks and newlines only. This tokenizer drops white space before it looks
-    at anything else, so the pieces encode to the ids of the text.
+
+class WordIds:
+    """Ids of texts through a bounded table of words; each new word is encoded by the tokenizer.
+
+    The tokenizer drops white space before it looks at anything else and splits between letters
+    and symbols, so the parts of a text encode to the ids of the text. Other texts, and texts that
+    spell a special token, are cut at blanks and newlines only.
     """
 
-    def __init__(self, path: str, limit: int = 300_000) -> None:
-        from croupier.llm.bpe import load
+    MARK = "\x02"  # stands between words in one call; its id ends each word's ids
 
-        super().__init__()
-        self.tokenizer, self.limit = load(path), limit
+    def __init__(self, path: str, limit: int = 400_000) -> None:
+        self.tokenizer, self.special, self.limit = load(path), special_tokens(path), limit
         self.dtype = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
-
-    def __missing__(self, word: str) -> bytes:
-        if len(self) >= self.limit:
-            self.clear()
-        ids = self.tokenizer.encode(word, add_special_tokens=False).ids
-        out = self[word] = np.array(ids, self.dtype).tobytes()
-        return out
-
-    def fill(self, texts: list[list[str]]) -> None:
-        """Encode the new words of many texts in one call."""
-        new = list({w for words in texts for w in words}.difference(self))
-        if len(self) + len(new) > self.limit:
-            self.clear()
-        if len(new) <= self.limit:
-            for word, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-                self[word] = np.array(e.ids, self.dtype).tobytes()
+        self.mark = self.tokenizer.encode(self.MARK, add_special_tokens=False).ids
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+
+    def cut(self, text: str) -> list[str]:
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return text.replace("\n", " ").split(" ")
+        if any(s in text for s in self.special):
+            return text.replace("\n", " ").split(" ")
+        return _RUNS.findall(text.lower())
+
+    def _learn(self, words: set[str]) -> None:
+        again = words.intersection(self.older)
+        self.known.update((w, self.older[w]) for w in again)
+        new = list(words - again)
+        for lo in range(0, len(new), 1000):
+            part = new[lo:lo + 1000]
+            alone = len(self.mark) != 1 or any(self.MARK in w for w in part)
+            if not alone:
+                joined = f" {self.MARK} ".join(part) + f" {self.MARK}"
+                ids = np.array(self.tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, self.dtype)
+                ends = np.flatnonzero(ids == self.mark[0]).tolist()
+                alone = len(ends) != len(part)
+            if alone:
+                for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
+                    self.known[w] = np.array(e.ids, self.dtype).tobytes()
+                continue
+            raw, size, start = ids.tobytes(), ids.itemsize, 0
+            for w, end in zip(part, ends):
+                self.known[w] = raw[start * size:end * size]
+                start = end + 1
 
     def of(self, texts: list[str | None]) -> Iterator[np.ndarray]:
         """The ids of each text with the end id."""
-        cut = [(t or "").replace("\n", " ").split(" ") for t in texts]
-        self.fill(cut)
+        cut = [self.cut(t or "") for t in texts]
+        words = set().union(*cut)
+        if len(self.known) + len(words) > self.limit:  # what is still in use comes back from the older half
+            self.older, self.known = self.known, {}
+        words.difference_update(self.known)
+        self._learn(words)
         end = np.array([END_ID], self.dtype).tobytes()
-        for words in cut:
-            yield np.frombuffer(b"".join(map(self.__getitem__, words)) + end, self.dtype)
+        for part in cut:
+            yield np.frombuffer(b"".join(map(self.known.__getitem__, part)) + end, self.dtype)
+
+
+@lru_cache(1)
+def word_ids(path: str) -> WordIds:
+    """One table per worker process: later tasks find most of their words."""
+    return WordIds(path)
 
 
 def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -87,21 +125,42 @@ def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch.slice(lo, ROWS)
 
 
-def count_ids(docs: DataFrame, path: str) -> DataFrame:
+def _squeeze(ids: np.ndarray) -> bytes:
+    """Byte planes of the ids, compressed: what lies between encoding and the files."""
+    return zstandard.compress(ids.view(np.uint8).reshape(-1, ids.itemsize).T.tobytes(), 1)
+
+
+def _stretch(data: bytes, dtype: str) -> np.ndarray:
+    planes = np.frombuffer(zstandard.decompress(data), np.uint8).reshape(np.dtype(dtype).itemsize, -1)
+    return planes.T.copy().view(dtype).reshape(-1)
+
+
+def token_ids(docs: DataFrame, path: str) -> DataFrame:
+    """doc_id, order (a hash of the text, for equal ids), ids of every whole text."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = word_ids(path)
+        for part in _slices(batches):
+            yield pa.record_batch({"doc_id": part.column("doc_id"), "order": part.column("order"),
+                                   "ids": pa.array([_squeeze(x) for x in words.of(part.column("text").to_pylist())], pa.binary())})
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("order"), "text")
+    return rows.mapInArrow(task, "doc_id long, order long, ids binary")
+
+
+def count_ids(encoded: DataFrame, dtype: str) -> DataFrame:
     """(id, n) over all texts, end ids included."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordIds(path)
         total = np.zeros(0, np.int64)
         for part in _slices(batches):
-            found = list(words.of(part.column("text").to_pylist()))
-            n = np.bincount(np.concatenate(found), minlength=len(total))
+            n = np.bincount(np.concatenate([_stretch(x, dtype) for x in part.column("ids").to_pylist()]), minlength=len(total))
             n[:len(total)] += total
             total = n
         ids = np.flatnonzero(total)
         yield pa.record_batch({"id": ids.astype(np.int32), "n": total[ids]})
 
-    return docs.select("text").mapInArrow(task, "id int, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    return encoded.select("ids").mapInArrow(task, "id int, n long").groupBy("id").agg(F.sum("n").alias("n"))
 
 
 def code_lengths(counts: np.ndarray, limit: int = MAX_BITS) -> np.ndarray:
@@ -193,7 +252,9 @@ BLOCK_SCHEMA = ("shard int, block int, n_ids long, doc_ids array<long>, doc_leng
 def write(docs: DataFrame, path: str, folder: str, block_ids: int = BLOCK_IDS) -> None:
     """Encode every whole text and write the files of the format into ``folder``."""
     spark = docs.sparkSession
-    counts = count_ids(docs, path).orderBy("id").collect()  # one row per id of the vocabulary
+    dtype = "<u2" if load(path).get_vocab_size() <= 1 << 16 else "<u4"
+    encoded = written(token_ids(docs, path), "huffman-ids")
+    counts = count_ids(encoded, dtype).orderBy("id").collect()  # one row per id of the vocabulary
     ids, n = np.array([r.id for r in counts], np.int64), np.array([r.n for r in counts], np.int64)
     lengths = code_lengths(n)
     pairs = [f"{i}:{k}" for i, k in zip(ids.tolist(), lengths.tolist())]
@@ -202,7 +263,7 @@ def write(docs: DataFrame, path: str, folder: str, block_ids: int = BLOCK_IDS) -
     ).coalesce(1).write.parquet(f"{folder}/code")
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code, words = Code(ids, lengths), WordIds(path)
+        code = Code(ids, lengths)
         shard, block = TaskContext.get().partitionId(), 0
         held: list[np.ndarray] = []
         owners: list = []
@@ -221,7 +282,8 @@ def write(docs: DataFrame, path: str, folder: str, block_ids: int = BLOCK_IDS) -
             return pa.record_batch(row)
 
         for part in _slices(batches):
-            for doc_id, found in zip(part.column("doc_id").to_pylist(), words.of(part.column("text").to_pylist())):
+            for doc_id, packed in zip(part.column("doc_id").to_pylist(), part.column("ids").to_pylist()):
+                found = _stretch(packed, dtype)
                 if held and size + len(found) > block_ids:
                     yield close()
                 held.append(found)
@@ -231,10 +293,9 @@ def write(docs: DataFrame, path: str, folder: str, block_ids: int = BLOCK_IDS) -
             yield close()
 
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text").asc()]
-    rows = (docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-            .repartitionByRange(parts, *order).sortWithinPartitions(*order))
-    rows.mapInArrow(task, BLOCK_SCHEMA).write.parquet(f"{folder}/blocks")
+    order = [F.col("doc_id").asc_nulls_first(), F.col("order").asc()]
+    rows = encoded.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    rows.select("doc_id", "ids").mapInArrow(task, BLOCK_SCHEMA).write.parquet(f"{folder}/blocks")
 
     # one row per shard: the list of files, as any sharded format keeps it
     totals = spark.read.parquet(f"{folder}/blocks").groupBy("shard").agg(F.sum("n_ids").alias("n_ids")).orderBy("shard").collect()
