@@ -29,15 +29,15 @@ SELECT CAST(strftime(d, '%Y%m%d') AS INTEGER) AS date_key, d AS calendar_date, C
 register("layer_dim_player", lambda wh: wh.dim_player, q("SELECT * FROM dim_player"))
 register("layer_dim_game", lambda wh: _doubles(wh.dim_game, MONEY_FACT), q(
     "SELECT game_id, game_name, game_family, CAST(theoretical_rtp AS DOUBLE) AS theoretical_rtp, provider FROM dim_game"))
-register("layer_fact_casino_session", lambda wh: _doubles(wh.fact_casino_session.drop("session_id", "event_month"), MONEY_FACT), q("""
+register("layer_fact_casino_session", lambda wh: _doubles(wh.sessions.drop("session_id", "event_month"), MONEY_FACT), q("""
 SELECT player_id, game_id, CAST(strftime(session_date, '%Y%m%d') AS INTEGER) AS date_key, session_start, session_date, duration_minutes,
        CAST(total_bet_amount AS DOUBLE) AS total_bet_amount, CAST(total_payout_amount AS DOUBLE) AS total_payout_amount,
        CAST(casino_ggr AS DOUBLE) AS casino_ggr, bet_count FROM fact_casino_session"""))
-register("layer_fact_transaction", lambda wh: _doubles(wh.fact_transaction.drop("event_month"), MONEY_FACT), q("""
+register("layer_fact_transaction", lambda wh: _doubles(wh.transactions.drop("event_month"), MONEY_FACT), q("""
 SELECT transaction_id, player_id, CAST(strftime(transaction_day, '%Y%m%d') AS INTEGER) AS date_key, transaction_date, transaction_day,
        transaction_type, CAST(amount AS DOUBLE) AS amount, transaction_status, payment_method, CAST(processing_fee AS DOUBLE) AS processing_fee
 FROM fact_transaction"""))
-register("layer_fact_sports_bet", lambda wh: _doubles(wh.fact_sports_bet.drop("event_month"), MONEY_FACT), q("""
+register("layer_fact_sports_bet", lambda wh: _doubles(wh.sports_bets.drop("event_month"), MONEY_FACT), q("""
 SELECT bet_id, player_id, CAST(strftime(bet_day, '%Y%m%d') AS INTEGER) AS date_key, bet_date, bet_day, sport, is_live,
        CAST(odds AS DOUBLE) AS odds, CAST(stake AS DOUBLE) AS stake, CAST(payout AS DOUBLE) AS payout,
        CAST(sportsbook_ggr AS DOUBLE) AS sportsbook_ggr, event_name FROM fact_sports_bet"""))

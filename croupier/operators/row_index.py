@@ -1,24 +1,31 @@
 """Contiguous 0-based row index in file order, without a global sort or a single task.
 
-``monotonically_increasing_id`` encodes (partition, position); one small aggregate counts the
-rows of each partition (one row per partition), the running offsets are turned into a map
-literal, and each row's index is its partition offset plus its position.
+``monotonically_increasing_id`` encodes (partition, position). One aggregate counts the rows of
+each partition; a running sum over those counts (one row per partition) gives every partition's
+first index, which joins back by partition.
 """
 
 from __future__ import annotations
 
-from itertools import accumulate
-
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from croupier.operators.scalars import attach_scalars
+
+CHUNK = 4096  # partitions summed in one window
+
 
 def with_row_index(df: DataFrame, name: str = "row_index") -> DataFrame:
-    tagged = df.withColumn("__mid", F.monotonically_increasing_id()).withColumn("__pid", F.spark_partition_id())
-    counts = sorted((r["__pid"], r["n"]) for r in tagged.groupBy("__pid").agg(F.count(F.lit(1)).alias("n")).collect())
-    starts = [0] + list(accumulate(n for _, n in counts))[:-1]
-    offsets = F.create_map(*[x for (pid, _), s in zip(counts, starts) for x in (F.lit(pid), F.lit(s))]) if counts else None
-    if offsets is None:
-        return df.withColumn(name, F.lit(None).cast("long"))
-    position = F.col("__mid") - F.shiftleft(F.col("__pid").cast("long"), 33)
-    return tagged.withColumn(name, (F.element_at(offsets, F.col("__pid")) + position).cast("long")).drop("__mid", "__pid")
+    tagged = df.withColumn("__mid", F.monotonically_increasing_id())
+    pid = F.shiftright("__mid", 33)
+    tagged = tagged.withColumn("__pid", pid)
+    counts = tagged.groupBy("__pid").agg(F.count(F.lit(1)).alias("n")).withColumn("chunk", F.floor(F.col("__pid") / CHUNK))
+    before = Window.partitionBy("chunk").orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)
+    within = counts.withColumn("inside", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    # chunk totals: one entry per CHUNK partitions, kept as one array
+    totals = counts.groupBy("chunk").agg(F.sum("n").alias("t")).agg(F.collect_list(F.struct("chunk", "t")).alias("all"))
+    earlier = F.aggregate(F.filter("all", lambda c: c["chunk"] < F.col("chunk")), F.lit(0).cast("bigint"), lambda a, c: a + c["t"])
+    starts = attach_scalars(within, totals).select(F.col("__pid").alias("__p"), (F.col("inside") + earlier).alias("__first"))
+    position = F.col("__mid") - F.shiftleft("__pid", 33)
+    return (tagged.join(starts, tagged["__pid"] == starts["__p"])
+            .withColumn(name, (F.col("__first") + position).cast("long")).drop("__mid", "__pid", "__p", "__first"))

@@ -8,62 +8,55 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from croupier.operators.scalars import attach_scalars
-
 
 class WarehouseQualityError(RuntimeError):
     pass
 
 
-def _dupes(df: DataFrame, key: str) -> DataFrame:
-    return df.agg((F.count(F.lit(1)) - F.countDistinct(key)).alias("value"))
+def _count(cond) -> F.Column:
+    return F.count(F.when(F.expr(cond) if isinstance(cond, str) else cond, 1))
 
 
-def _orphans(df: DataFrame, dim: DataFrame, key: str) -> DataFrame:
-    return df.select(key).join(dim.select(key), key, "left_anti").agg(F.count(F.lit(1)).alias("value"))
+def _gate(df: DataFrame, **checks: F.Column) -> DataFrame:
+    """One pass over a table: each keyword is a check and its aggregate; one row per check out."""
+    row = df.agg(*[agg.alias(name) for name, agg in checks.items()])
+    pairs = F.array(*[F.struct(F.lit(name).alias("check"), F.coalesce(F.col(name), F.lit(0)).cast("bigint").alias("value")) for name in checks])
+    return row.select(F.inline(pairs))
 
 
-def _count(df: DataFrame, cond) -> DataFrame:
-    return df.agg(F.count(F.when(cond, 1)).alias("value"))
+def _duplicates(key: str) -> F.Column:
+    return F.count(F.lit(1)) - F.countDistinct(key)
 
 
-def _delta(a: DataFrame, b: DataFrame) -> DataFrame:
-    return attach_scalars(a.agg(F.count(F.lit(1)).alias("a")), b.agg(F.count(F.lit(1)).alias("b"))).select(
-        F.abs(F.col("a") - F.col("b")).alias("value"))
+def _lost(raw: DataFrame, fact: DataFrame, name: str) -> DataFrame:
+    """Difference of two row counts."""
+    sizes = raw.select(F.lit(1).alias("n")).unionByName(fact.select(F.lit(-1).alias("n")))
+    return _gate(sizes, **{name: F.abs(F.sum("n"))})
 
 
 def quality_checks(wh, include_ml: bool = False) -> DataFrame:
-    """``check, value`` rows; every value must be 0 for a healthy build."""
-    checks: list[tuple[str, DataFrame]] = [
-        ("duplicate_players", _dupes(wh.dim_player, "player_id")),
-        ("duplicate_sessions", _dupes(wh.fact_casino_session, "session_id")),
-        ("duplicate_transactions", _dupes(wh.fact_transaction, "transaction_id")),
-        ("duplicate_sports_bets", _dupes(wh.fact_sports_bet, "bet_id")),
-        ("orphan_session_players", _orphans(wh.fact_casino_session, wh.dim_player, "player_id")),
-        ("orphan_session_games", _orphans(wh.fact_casino_session, wh.dim_game, "game_id")),
-        ("orphan_transaction_players", _orphans(wh.fact_transaction, wh.dim_player, "player_id")),
-        ("orphan_sports_players", _orphans(wh.fact_sports_bet, wh.dim_player, "player_id")),
-        ("casino_ggr_mismatch", _count(wh.fact_casino_session,
-                                       F.abs(F.col("casino_ggr") - (F.col("total_bet_amount") - F.col("total_payout_amount"))) > 0.01)),
-        ("sports_ggr_mismatch", _count(wh.fact_sports_bet, F.abs(F.col("sportsbook_ggr") - (F.col("stake") - F.col("payout"))) > 0.01)),
-        ("invalid_rtp", _count(wh.dim_game, ~F.col("theoretical_rtp").between(0, 1))),
+    """``check, value`` rows; every value must be 0 for a healthy build. Duplicates, orphans and
+    mismatches of a table come out of one aggregate: the facts know whether their keys are known."""
+    money_gap = lambda ggr, inn, outt: F.abs(F.col(ggr) - (F.col(inn) - F.col(outt))) > 0.01
+    frames = [
+        _gate(wh.dim_player, duplicate_players=_duplicates("player_id")),
+        _gate(wh.dim_game, invalid_rtp=_count(~F.col("theoretical_rtp").between(0, 1))),
+        _gate(wh.fact_casino_session, duplicate_sessions=_duplicates("session_id"), orphan_session_players=_count("NOT player_known"),
+              orphan_session_games=_count("NOT game_known"),
+              casino_ggr_mismatch=_count(money_gap("casino_ggr", "total_bet_amount", "total_payout_amount"))),
+        _gate(wh.fact_transaction, duplicate_transactions=_duplicates("transaction_id"), orphan_transaction_players=_count("NOT player_known")),
+        _gate(wh.fact_sports_bet, duplicate_sports_bets=_duplicates("bet_id"), orphan_sports_players=_count("NOT player_known"),
+              sports_ggr_mismatch=_count(money_gap("sportsbook_ggr", "stake", "payout"))),
     ]
     if wh.raw is not None:
-        checks += [
-            ("raw_fact_session_delta", _delta(wh.raw.sessions, wh.fact_casino_session)),
-            ("raw_fact_transaction_delta", _delta(wh.raw.transactions, wh.fact_transaction)),
-            ("raw_fact_sports_delta", _delta(wh.raw.sports_bets, wh.fact_sports_bet)),
-        ]
+        frames += [_lost(wh.raw.sessions, wh.fact_casino_session, "raw_fact_session_delta"),
+                   _lost(wh.raw.transactions, wh.fact_transaction, "raw_fact_transaction_delta"),
+                   _lost(wh.raw.sports_bets, wh.fact_sports_bet, "raw_fact_sports_delta")]
     if include_ml:
-        ms = wh.model_scores
-        bad = (~F.col("churn_probability").between(0, 1)) | (~F.col("fraud_risk").between(0, 1)) | (~F.col("rg_risk").between(0, 1))
-        checks += [
-            ("invalid_ml_probability", _count(ms, bad)),
-            ("duplicate_ml_players", _dupes(ms, "player_id")),
-            ("orphan_ml_players", _orphans(ms, wh.dim_player, "player_id")),
-        ]
-    frames = [df.select(F.lit(name).alias("check"), F.coalesce(F.col("value"), F.lit(0)).cast("bigint").alias("value"))
-              for name, df in checks]
+        known = wh.dim_player.select("player_id").distinct().withColumn("known", F.lit(True))
+        outside = [~F.col(c).between(0, 1) for c in ("churn_probability", "fraud_risk", "rg_risk")]
+        frames.append(_gate(wh.model_scores.join(known, "player_id", "left"), invalid_ml_probability=_count(outside[0] | outside[1] | outside[2]),
+                            duplicate_ml_players=_duplicates("player_id"), orphan_ml_players=_count("known IS NULL")))
     return reduce(DataFrame.unionByName, frames)
 
 
@@ -83,7 +76,7 @@ def run_log_row(spark: SparkSession, name: str, started: dt.datetime, status: st
     """One ``pipeline_runs`` row; append it to the run log table."""
     done = dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
     rid = f"{name}-{started.strftime('%Y%m%dT%H%M%S%f')}"
-    return spark.createDataFrame([(rid, name, started, done, status, rows, (error or "")[:1000] or None)], RUN_SCHEMA)
+    return spark.createDataFrame([(rid, name, started, done, status, rows, error)], RUN_SCHEMA)
 
 
 def build_and_check(wh, path: str, include_ml: bool = False, log_path: str | None = None) -> dict[str, int]:

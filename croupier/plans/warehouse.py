@@ -117,6 +117,19 @@ def dim_date(players: DataFrame, sessions: DataFrame, transactions: DataFrame, b
     )
 
 
+PLAYER_ATTRIBUTES = ("country", "channel", "device", "vip_level", "kyc_status")
+GAME_ATTRIBUTES = ("game_name", "game_family", "theoretical_rtp", "provider")
+
+
+def with_attributes(fact: DataFrame, dim: DataFrame, key: str, attributes: tuple[str, ...], flag: str) -> DataFrame:
+    """Add a dimension's columns to a fact, once, when the fact is written. ``flag`` tells whether
+    the key is known: rows without a dimension row stay in the fact (the quality gate counts them)
+    and are left out of the enriched selections."""
+    side = dim.select(F.col(key).alias("__key"), *attributes).dropDuplicates(["__key"]).withColumn(flag, F.lit(True))
+    joined = fact.join(side, fact[key] == side["__key"], "left").drop("__key")
+    return joined.withColumn(flag, F.coalesce(F.col(flag), F.lit(False)))
+
+
 class Warehouse:
     """Lazily built layers over five raw tables (or over materialised parquet layers)."""
 
@@ -173,29 +186,32 @@ class Warehouse:
     def dim_game(self) -> DataFrame:
         return self._get("dim_game", lambda: self.stg_games)
 
-    # facts (D1-D3) ----------------------------------------------------------------------
+    # facts (D1-D3): measures, keys, and the player's and game's columns -----------------
+    FACT_COLUMNS = {
+        "fact_casino_session": ("session_id", "player_id", "game_id", "date_key", "session_start", "session_date", "duration_minutes",
+                                "total_bet_amount", "total_payout_amount", "casino_ggr", "bet_count"),
+        "fact_transaction": ("transaction_id", "player_id", "date_key", "transaction_date", "transaction_day", "transaction_type",
+                             "amount", "transaction_status", "payment_method", "processing_fee"),
+        "fact_sports_bet": ("bet_id", "player_id", "date_key", "bet_date", "bet_day", "sport", "is_live", "odds", "stake", "payout",
+                            "sportsbook_ggr", "event_name"),
+    }
+
+    def _fact(self, name: str, staged: DataFrame, day: str, game: bool = False) -> DataFrame:
+        rows = staged.withColumn("date_key", date_key(day)).select(*self.FACT_COLUMNS[name], event_month(day))
+        rows = with_attributes(rows, self.dim_player, "player_id", PLAYER_ATTRIBUTES, "player_known")
+        return with_attributes(rows, self.dim_game, "game_id", GAME_ATTRIBUTES, "game_known") if game else rows
+
     @property
     def fact_casino_session(self) -> DataFrame:
-        return self._get("fact_casino_session", lambda: self.stg_sessions.select(
-            "session_id", "player_id", "game_id", date_key("session_date").alias("date_key"), "session_start",
-            "session_date", "duration_minutes", "total_bet_amount", "total_payout_amount", "casino_ggr", "bet_count",
-            event_month("session_date"),
-        ))
+        return self._get("fact_casino_session", lambda: self._fact("fact_casino_session", self.stg_sessions, "session_date", game=True))
 
     @property
     def fact_transaction(self) -> DataFrame:
-        return self._get("fact_transaction", lambda: self.stg_transactions.select(
-            "transaction_id", "player_id", date_key("transaction_day").alias("date_key"), "transaction_date",
-            "transaction_day", "transaction_type", "amount", "transaction_status", "payment_method", "processing_fee",
-            event_month("transaction_day"),
-        ))
+        return self._get("fact_transaction", lambda: self._fact("fact_transaction", self.stg_transactions, "transaction_day"))
 
     @property
     def fact_sports_bet(self) -> DataFrame:
-        return self._get("fact_sports_bet", lambda: self.stg_sports_bets.select(
-            "bet_id", "player_id", date_key("bet_day").alias("date_key"), "bet_date", "bet_day", "sport", "is_live",
-            "odds", "stake", "payout", "sportsbook_ggr", "event_name", event_month("bet_day"),
-        ))
+        return self._get("fact_sports_bet", lambda: self._fact("fact_sports_bet", self.stg_sports_bets, "bet_day"))
 
     # compatibility projections (E9) -----------------------------------------------------
     @property
@@ -206,17 +222,21 @@ class Warehouse:
             "vip_level", "kyc_status", "age_group",
         )
 
+    @property
+    def games(self) -> DataFrame:
+        return self.dim_game.select("game_id", "game_name", "game_family", "theoretical_rtp", "provider")
+
     @property
     def sessions(self) -> DataFrame:
-        return self.fact_casino_session
+        return self.fact_casino_session.select(*self.FACT_COLUMNS["fact_casino_session"], MONTH_COLUMN)
 
     @property
     def transactions(self) -> DataFrame:
-        return self.fact_transaction
+        return self.fact_transaction.select(*self.FACT_COLUMNS["fact_transaction"], MONTH_COLUMN)
 
     @property
     def sports_bets(self) -> DataFrame:
-        return self.fact_sports_bet
+        return self.fact_sports_bet.select(*self.FACT_COLUMNS["fact_sports_bet"], MONTH_COLUMN)
 
     # intermediate (E1-E8) ---------------------------------------------------------------
     @property
@@ -258,39 +278,29 @@ class Warehouse:
 
     @property
     def v_sessions_enriched(self) -> DataFrame:
-        def build():
-            g = self.dim_game.select("game_id", "game_name", "game_family", "theoretical_rtp", "provider")
-            p = self.dim_player.select("player_id", "country", "channel", "device", "vip_level", "kyc_status")
-            return self.fact_casino_session.join(g, "game_id").join(p, "player_id")
-        return self._get("v_sessions_enriched", build)
+        return self._get("v_sessions_enriched", lambda: self.fact_casino_session.filter("player_known AND game_known"))
 
     @property
     def v_transactions_enriched(self) -> DataFrame:
-        return self._get("v_transactions_enriched", lambda: self.fact_transaction.join(
-            self.dim_player.select("player_id", "country", "channel", "device", "vip_level", "kyc_status"), "player_id"))
+        return self._get("v_transactions_enriched", lambda: self.fact_transaction.filter("player_known"))
 
     @property
     def v_sports_bets_enriched(self) -> DataFrame:
-        return self._get("v_sports_bets_enriched", lambda: self.fact_sports_bet.join(
-            self.dim_player.select("player_id", "country", "channel", "device", "vip_level"), "player_id"))
+        return self._get("v_sports_bets_enriched", lambda: self.fact_sports_bet.filter("player_known"))
 
     @property
     def int_daily_gaming_revenue(self) -> DataFrame:
-        """Day x market revenue of both products. Each fact is aggregated per (day, player)
-        before the player join, so the join sees one row per active player-day."""
+        """Day x market revenue of both products, straight from the facts."""
         def build():
-            p = self.dim_player.select("player_id", "country")
             zero = dec("0").cast(MONEY)
             casino = (
-                self.fact_casino_session.groupBy(F.col("session_date").alias("calendar_date"), "player_id")
+                self.fact_casino_session.filter("player_known").groupBy(F.col("session_date").alias("calendar_date"), "country")
                 .agg(F.sum("total_bet_amount").alias("cb"), F.sum("total_payout_amount").alias("cp"), F.sum("casino_ggr").alias("cg"))
-                .join(p, "player_id")
                 .select("calendar_date", "country", "cb", "cp", "cg", zero.alias("ss"), zero.alias("sp"), zero.alias("sg"))
             )
             sports = (
-                self.fact_sports_bet.groupBy(F.col("bet_day").alias("calendar_date"), "player_id")
+                self.fact_sports_bet.filter("player_known").groupBy(F.col("bet_day").alias("calendar_date"), "country")
                 .agg(F.sum("stake").alias("ss"), F.sum("payout").alias("sp"), F.sum("sportsbook_ggr").alias("sg"))
-                .join(p, "player_id")
                 .select("calendar_date", "country", zero.alias("cb"), zero.alias("cp"), zero.alias("cg"), "ss", "sp", "sg")
             )
             return casino.unionByName(sports).groupBy("calendar_date", "country").agg(
@@ -311,7 +321,7 @@ class Warehouse:
             approved = F.col("transaction_status") == "Approved"
             zero = dec("0").cast(MONEY)
             payments = (
-                self.fact_transaction.join(p, "player_id")
+                self.fact_transaction.filter("player_known")
                 .groupBy(F.col("transaction_day").alias("metric_date"), "country").agg(
                     F.sum(F.when(approved & (F.col("transaction_type") == "Deposit"), F.col("amount")).otherwise(zero)).alias("deposits"),
                     F.sum(F.when(approved & (F.col("transaction_type") == "Withdrawal"), F.col("amount")).otherwise(zero)).alias("withdrawals"),
@@ -344,18 +354,16 @@ class Warehouse:
     @property
     def mart_game_performance_daily(self) -> DataFrame:
         def build():
-            p = self.dim_player.select("player_id", "country")
-            g = self.dim_game.select("game_id", "game_name", "game_family", "provider", "theoretical_rtp")
             agg = (
-                self.fact_casino_session.join(p, "player_id")
-                .groupBy(F.col("session_date").alias("metric_date"), "country", "game_id").agg(
+                self.v_sessions_enriched
+                .groupBy(F.col("session_date").alias("metric_date"), "country", "game_id", "game_name", "game_family", "provider", "theoretical_rtp").agg(
                     F.count(F.lit(1)).alias("sessions"), F.countDistinct("player_id").alias("active_players"),
                     F.sum("total_bet_amount").alias("bets"), F.sum("total_payout_amount").alias("payouts"),
                     F.sum("casino_ggr").alias("ggr"),
                 )
             )
             actual = ratio("payouts", "bets")
-            return agg.join(g, "game_id").select(
+            return agg.select(
                 "metric_date", "country", "game_id", "game_name", "game_family", "provider", "theoretical_rtp",
                 "sessions", "active_players", "bets", "payouts", "ggr",
                 ratio("ggr", "bets").alias("ggr_margin"), actual.alias("actual_rtp"),
@@ -388,7 +396,7 @@ class Warehouse:
         def build():
             approved = F.col("transaction_status") == "Approved"
             return (
-                self.fact_transaction.join(self.dim_player.select("player_id", "country"), "player_id")
+                self.fact_transaction.filter("player_known")
                 .groupBy(F.col("transaction_day").alias("metric_date"), "country", "payment_method", "transaction_type").agg(
                     F.count(F.lit(1)).alias("transactions"), F.sum("amount").alias("volume"),
                     avg_if(approved).alias("approval_rate"),
@@ -421,7 +429,8 @@ class Warehouse:
 
     # materialisation --------------------------------------------------------------------
     LAYERS = (
-        ("dim_player", "dim_game", "fact_casino_session", "fact_transaction", "fact_sports_bet"),
+        ("dim_player", "dim_game"),
+        ("fact_casino_session", "fact_transaction", "fact_sports_bet"),
         ("dim_date", "int_player_first_deposit", "int_player_first_activity", "int_player_activity_daily", "int_daily_gaming_revenue"),
         ("mart_executive_daily", "mart_game_performance_daily", "mart_acquisition_daily", "mart_payments_daily"),
     )

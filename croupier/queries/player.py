@@ -127,9 +127,8 @@ def retention_d30(wh: Warehouse, scope: Scope) -> DataFrame:
     """Players activated in scope (mature: activation <= bound - 37 days) who came back
     on days 30-36 after activation. Activity is de-duplicated per (player, day) before the
     interval join, so a heavy player contributes at most one row per day."""
-    activity = (wh.sessions.select("player_id", F.col("session_date").alias("activity_date"))
-                .unionByName(wh.sports_bets.select("player_id", F.col("bet_day").alias("activity_date"))).distinct())
-    first = activity.groupBy("player_id").agg(F.min("activity_date").alias("activation_date"))
+    activity = wh.int_player_activity_daily.select("player_id", "activity_date")
+    first = wh.int_player_first_activity.select("player_id", F.col("first_activity_date").alias("activation_date"))
     latest = F.date_sub(scope.hi_date, ACTIVATION_MATURITY_DAYS)
     eligible = (first.filter(scope.date_in("activation_date") & (F.col("activation_date") <= latest))
                 .join(wh.dim_player.filter(scope.market()).select("player_id"), "player_id"))

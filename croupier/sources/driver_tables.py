@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from croupier.functions.exprs import MONEY, RATE, dec, player_key, to_money
 
 # ---- fixed values ------------------------------------------------------------------
+# Day from which the registration of a customer without orders is derived.
+NO_ORDER_DAY = "1992-01-01"
 # Acquisition channels by customer key modulo 7.
 CHANNELS = ["Google", "Meta", "Organic", "Affiliate Alpha", "Affiliate Nova", "Influencers", "Partner"]
 # Devices by customer key modulo 3.
@@ -60,12 +62,12 @@ def raw_players(customer: DataFrame, nation: DataFrame, orders: DataFrame) -> Da
     age = F.create_map(*[F.lit(x) for kv in AGE_GROUPS.items() for x in kv])
     k = F.col("c_custkey")
     return (
-        customer.join(first_order, customer.c_custkey == first_order.o_custkey)
-        # nation is a fixed 25-row code table
-        .join(F.broadcast(nation), customer.c_nationkey == nation.n_nationkey)
+        customer.join(first_order, customer.c_custkey == first_order.o_custkey, "left")
+        .join(nation, customer.c_nationkey == nation.n_nationkey)
         .select(
             player_key(k).alias("player_id"),
-            F.date_sub(F.to_date("first_order_at"), (k % 45).cast("int")).cast("timestamp_ntz").alias("registration_date"),
+            F.date_sub(F.coalesce(F.to_date("first_order_at"), F.lit(NO_ORDER_DAY).cast("date")), (k % 45).cast("int"))
+            .cast("timestamp_ntz").alias("registration_date"),
             F.col("n_name").alias("country"),
             _pick(CHANNELS, k % 7).alias("channel"),
             _pick(DEVICES, k % 3).alias("device"),
