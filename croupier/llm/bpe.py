@@ -212,12 +212,17 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
     return _encoded(docs, path, lambda ids: (ids.astype(np.int32),), schema, "doc_id long, ids array<int>")
 
 
+def byte_characters() -> dict[int, str]:
+    """How a byte-level vocabulary spells each byte: printable bytes as themselves, the others as
+    the characters from 256 on."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]  # fixed values
+    return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in own)}
+
+
 def pieces(path: str) -> list[bytes]:
-    """id -> bytes of its piece; a byte-level vocabulary spells each byte as one printable character."""
+    """id -> bytes of its piece."""
     tokenizer = load(path)
-    # fixed values: printable bytes stand for themselves, the others for the characters from 256 on
-    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    spelled = {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in own)}
+    spelled = {c: b for b, c in byte_characters().items()}
     out = [b""] * tokenizer.get_vocab_size(with_added_tokens=True)
     for piece, i in tokenizer.get_vocab(with_added_tokens=True).items():
         known = all(c in spelled for c in piece)

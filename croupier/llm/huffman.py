@@ -25,6 +25,7 @@ code of one bit. A very long text is a block of its own. Further columns are ign
 from __future__ import annotations
 
 import re
+import struct
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -36,7 +37,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from croupier.llm.bpe import load, special_tokens
+from croupier.llm.bpe import byte_characters, load, special_tokens
 from croupier.llm.common import scratch_dir, written
 
 MAX_BITS = 20
@@ -53,20 +54,23 @@ _BLANK = "\\t-\\r \\x85\\xa0"
 _RUNS = re.compile(f"[{_LETTER}]+(?![{_LETTER}'])|[^{_BLANK}{_LETTER}']+(?![^{_BLANK}{_LETTER}])|[^{_BLANK}]+")
 
 
+_PLAIN = re.compile("[a-z\\xb5\\xdf-\\xf6\\xf8-\\xff]+|[!-&(-/:-@\\[-`{-~]+")  # one pre-token: no digit, no apostrophe
+
+
 class WordIds:
     """Ids of texts through a bounded table of words; each new word is encoded by the tokenizer.
 
     The tokenizer drops white space before it looks at anything else and splits between letters
     and symbols, so the parts of a text encode to the ids of the text. Other texts, and texts that
-    spell a special token, are cut at blanks and newlines only.
+    spell a special token, are cut at blanks and newlines only. A part that is a single run of
+    letters or symbols goes straight to the tokenizer's BPE model, the others through all of it.
     """
 
-    MARK = "\x02"  # stands between words in one call; its id ends each word's ids
-
     def __init__(self, path: str, limit: int = 400_000) -> None:
         self.tokenizer, self.special, self.limit = load(path), special_tokens(path), limit
+        self.model = self.tokenizer.model
         self.dtype = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
-        self.mark = self.tokenizer.encode(self.MARK, add_special_tokens=False).ids
+        self.spelled = byte_characters()
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
@@ -79,38 +83,33 @@ class WordIds:
             return text.replace("\n", " ").split(" ")
         return _RUNS.findall(text.lower())
 
-    def _learn(self, words: set[str]) -> None:
-        again = words.intersection(self.older)
-        self.known.update((w, self.older[w]) for w in again)
-        new = list(words - again)
-        for lo in range(0, len(new), 1000):
-            part = new[lo:lo + 1000]
-            alone = len(self.mark) != 1 or any(self.MARK in w for w in part)
-            if not alone:
-                joined = f" {self.MARK} ".join(part) + f" {self.MARK}"
-                ids = np.array(self.tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, self.dtype)
-                ends = np.flatnonzero(ids == self.mark[0]).tolist()
-                alone = len(ends) != len(part)
-            if alone:
-                for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                    self.known[w] = np.array(e.ids, self.dtype).tobytes()
-                continue
-            raw, size, start = ids.tobytes(), ids.itemsize, 0
-            for w, end in zip(part, ends):
-                self.known[w] = raw[start * size:end * size]
-                start = end + 1
+    def _encode(self, word: str) -> bytes:
+        if _PLAIN.fullmatch(word):
+            spelled = word if word.isascii() else "".join(map(self.spelled.__getitem__, word.encode()))
+            ids = [t.id for t in self.model.tokenize(spelled)]
+        else:
+            ids = self.tokenizer.encode(word, add_special_tokens=False).ids
+        return struct.pack(f"<{len(ids)}{'H' if self.dtype == '<u2' else 'I'}", *ids)
 
     def of(self, texts: list[str | None]) -> Iterator[np.ndarray]:
         """The ids of each text with the end id."""
-        cut = [self.cut(t or "") for t in texts]
-        words = set().union(*cut)
-        if len(self.known) + len(words) > self.limit:  # what is still in use comes back from the older half
+        if len(self.known) > self.limit:  # words still in use come back from the older half
             self.older, self.known = self.known, {}
-        words.difference_update(self.known)
-        self._learn(words)
+        known, older = self.known, self.older
         end = np.array([END_ID], self.dtype).tobytes()
-        for part in cut:
-            yield np.frombuffer(b"".join(map(self.known.__getitem__, part)) + end, self.dtype)
+        for text in texts:
+            words = self.cut(text or "")
+            found = list(map(known.get, words))
+            found.append(None)  # where the search for new words ends
+            i = found.index(None)
+            while i < len(words):
+                word = words[i]
+                if word not in known:
+                    known[word] = older.get(word) or self._encode(word)
+                found[i] = known[word]
+                i = found.index(None, i)
+            found[-1] = end
+            yield np.frombuffer(b"".join(found), self.dtype)
 
 
 @lru_cache(1)
@@ -195,7 +194,7 @@ def code_lengths(counts: np.ndarray, limit: int = MAX_BITS) -> np.ndarray:
 
 
 class Code:
-    """Canonical code of (ids, lengths): both directions as tables."""
+    """Canonical code of (ids, lengths): both directions as tables. Ids are below 2**24."""
 
     def __init__(self, ids: np.ndarray, lengths: np.ndarray) -> None:
         order = np.lexsort((ids, lengths))
@@ -205,24 +204,21 @@ class Code:
         space = np.int64(1) << (self.bits - self.lengths)
         starts = np.cumsum(space) - space
         size = int(self.ids.max()) + 1 if len(ids) else 0
-        self.code_of = np.zeros(size, np.uint64)
-        self.length_of = np.zeros(size, np.int64)
-        self.code_of[self.ids] = (starts >> (self.bits - self.lengths)).astype(np.uint64)
-        self.length_of[self.ids] = self.lengths
-        self.table_id = np.repeat(self.ids, space).astype(np.uint32)
-        self.table_length = np.repeat(self.lengths, space).astype(np.uint8)
-        rest = (1 << self.bits) - len(self.table_id)  # a one-code table is not full
-        self.table_id = np.concatenate((self.table_id, np.zeros(rest, np.uint32)))
-        self.table_length = np.concatenate((self.table_length, np.ones(rest, np.uint8)))
+        # id -> length and code, and the next bits -> length and id, each in one number
+        self.of_id = np.zeros(size, np.int64)
+        self.of_id[self.ids] = (self.lengths << 32) | (starts >> (self.bits - self.lengths))
+        self.of_bits = np.full(1 << self.bits, 1 << 24, np.uint32)  # a one-code table is not full
+        self.of_bits[:int(space.sum())] = np.repeat((self.lengths << 24) | self.ids, space)
 
     def encode(self, ids: np.ndarray) -> tuple[bytes, np.ndarray]:
         """Payload and the bit offset of every LANE-th id."""
-        length, code = self.length_of[ids], self.code_of[ids]
+        found = self.of_id[ids]
+        length = found >> 32
         end = np.cumsum(length)
         at = end - length
         word = at >> 5
         # a code lies in at most two 32-bit words; codes do not overlap, so sums set the bits
-        shifted = code << (64 - length - (at & 31)).astype(np.uint64)
+        shifted = ((found & 0xFFFFFFFF) << (64 - length - (at & 31))).view(np.uint64)
         n_words = (int(end[-1]) + 31) // 32 + 1 if len(ids) else 1
         out = np.zeros(n_words, np.uint64)
         first = np.flatnonzero(np.concatenate(([True], word[1:] != word[:-1]))) if len(ids) else np.empty(0, np.int64)
@@ -236,13 +232,14 @@ class Code:
         words = np.frombuffer(payload, ">u4").astype(np.uint64)
         words = (words << np.uint64(32)) | np.concatenate((words[1:], np.zeros(1, np.uint64)))  # 64 bits from each 32-bit word on
         at = checkpoints.astype(np.int64)
-        out = np.zeros((len(at), LANE), np.uint32)
+        out = np.empty((LANE, len(at)), np.uint32)
         drop = np.uint64(64 - self.bits)
         for k in range(LANE):
             bits = (words[np.minimum(at >> 5, len(words) - 1)] << (at & 31).astype(np.uint64)) >> drop
-            out[:, k] = self.table_id[bits]
-            at = at + self.table_length[bits]
-        return out.reshape(-1)[:n]
+            found = self.of_bits[bits]
+            out[k] = found
+            at += found >> 24
+        return (out & 0xFFFFFF).T.reshape(-1)[:n]
 
 
 BLOCK_SCHEMA = ("shard int, block int, n_ids long, doc_ids array<long>, doc_lengths array<long>, "
