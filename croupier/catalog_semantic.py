@@ -63,7 +63,7 @@ def plan_sql(plan: sem.QueryPlan, s) -> str:
     nulls = "NULLS FIRST" if plan.order_direction == "ASC" else "NULLS LAST"
     ties = "".join(f', "{sem.dimension_label(d)}"' for d in plan.dimensions)
     return (f"SELECT {', '.join(sel)} FROM {table} WHERE {' AND '.join(where)}{group} "
-            f'ORDER BY "{plan.order_metric}" {plan.order_direction} {nulls}{ties} LIMIT {plan.limit}')
+            f'ORDER BY "{plan.order_metric}" {plan.order_direction} {nulls}{ties}' + (f" LIMIT {plan.limit}" if plan.limit is not None else ""))
 
 
 PLANS = {
@@ -102,6 +102,6 @@ for ds, m in (("executive", "ggr"), ("executive", "estimated_ngr"), ("player_act
     register(f"semantic_kpi_{ds}_{m}", lambda wh, ds=ds, m=m: sem.kpi(wh, ds, m, S_MAIN), q(kpi_sql(ds, m, S_MAIN)))
 
 register("semantic_distinct_providers", lambda wh: sem.distinct_values(wh, "casino", "provider"), q("""
-SELECT DISTINCT CAST(provider AS VARCHAR) AS value FROM mart_game_performance_daily WHERE provider IS NOT NULL ORDER BY 1 LIMIT 200"""))
+SELECT DISTINCT CAST(provider AS VARCHAR) AS value FROM mart_game_performance_daily WHERE provider IS NOT NULL"""))
 register("semantic_distinct_events", lambda wh: sem.distinct_values(wh, "sportsbook", "event"), q("""
-SELECT DISTINCT CAST(event_name AS VARCHAR) AS value FROM v_sports_bets_enriched WHERE event_name IS NOT NULL ORDER BY 1 LIMIT 200"""))
+SELECT DISTINCT CAST(event_name AS VARCHAR) AS value FROM v_sports_bets_enriched WHERE event_name IS NOT NULL"""))

@@ -141,7 +141,9 @@ class Warehouse:
     # construction ---------------------------------------------------------------------
     @classmethod
     def from_driver_tables(cls, spark: SparkSession, sf_dir: str) -> "Warehouse":
-        return cls(spark, raw=load_raw_tables(spark, sf_dir))
+        wh = cls(spark, raw=load_raw_tables(spark, sf_dir))
+        wh.sf_dir = sf_dir
+        return wh
 
     @classmethod
     def from_raw(cls, spark: SparkSession, raw: RawTables) -> "Warehouse":

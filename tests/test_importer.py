@@ -3,6 +3,12 @@ orphans, delimiter, RTP range, training gate, activation)."""
 
 import uuid
 
+import pytest
+from pyspark.sql import functions as F
+
+
+from croupier.plans.quality import WarehouseQualityError
+from croupier.sources import activation as act
 from croupier.sources import csv_import as ci
 
 
@@ -60,7 +66,7 @@ def test_orphans_and_summary(spark, tmp_path):
 
 def test_semicolon_delimiter(spark, tmp_path):
     df = ci.read_csv(spark, _csv(tmp_path, "export.csv", "customer_id;signup_date;market\nC9;2026-02-01;Spain\n"))
-    assert df.columns == ["customer_id", "signup_date", "market"]
+    assert df.columns[:-1] == ["customer_id", "signup_date", "market"]
     assert ci.infer_dataset("export.csv", df.columns) == "players"
 
 
@@ -81,10 +87,10 @@ def test_rtp_range_and_unknown_game(spark, tmp_path):
 def test_training_gate(spark, tmp_path):
     _, s = _load(spark, tmp_path, "sessions.csv",
                  "session_id,player_id,game_id,started_at,wager_amount,win_amount\nS1,C1,G1,2026-04-01 10:00:00,10,5\n")
-    assert not ci.training_gate({"casino_sessions": s.frame}, "2026-01-15", "2026-08-04")
+    assert not act.training_gate({"casino_sessions": s.frame}, "2026-01-15", "2026-08-04")
     _, s2 = _load(spark, tmp_path, "sessions.csv",
                   "session_id,player_id,game_id,started_at,wager_amount,win_amount\nS1,C1,G1,2026-01-01 10:00:00,10,5\nS2,C1,G1,2026-08-04 10:00:00,1,1\n")
-    assert ci.training_gate({"casino_sessions": s2.frame}, "2026-01-15", "2026-08-04")
+    assert act.training_gate({"casino_sessions": s2.frame}, "2026-01-15", "2026-08-04")
 
 
 def test_activation_writes_versioned_warehouse_and_registry(spark, tmp_path):
@@ -92,10 +98,73 @@ def test_activation_writes_versioned_warehouse_and_registry(spark, tmp_path):
     _, t = _load(spark, tmp_path, "transactions.csv", TX)
     root = str(tmp_path / "imports")
     issues = p.issues.unionByName(t.issues)
-    run_id, path = ci.activate(spark, {"players": p.frame, "transactions": t.frame}, issues, ["players.csv", "transactions.csv"],
+    run_id, path = act.activate(spark, {"players": p.frame, "transactions": t.frame}, issues, ["players.csv", "transactions.csv"],
                                root, "2026-01-15", "2026-08-04")
-    hist = ci.import_history(spark, root).collect()
+    hist = act.import_history(spark, root).collect()
     assert hist[0]["run_id"] == run_id and hist[0]["status"] == "SUCCESS"
-    assert ci.active_warehouse(spark, root) == path
+    assert act.active_warehouse(spark, root) == path
     scores = spark.read.parquet(f"{path}/model_scores").collect()
     assert len(scores) == 1 and scores[0]["recommended_action"] == "Missing data"
+
+
+def test_quotes_newlines_ragged_rows_and_empty_files(spark, tmp_path):
+    text = 'game_id,name,rtp\nG1,"Big ""Win"", x",0.95\nG2,"two\nlines",0.96\n'
+    _, g = _load(spark, tmp_path, "games.csv", text)
+    assert sorted(r["game_name"] for r in g.frame.collect()) == ['Big "Win", x', "two\nlines"]
+    _, bad = _load(spark, tmp_path, "games.csv", "game_id,name,rtp\nG1,Roulette,0.95,extra\nG2,Poker,0.96\n")
+    assert [(r["code"], r["row"]) for r in bad.issues.collect() if r["code"] == "MALFORMED_ROW"] == [("MALFORMED_ROW", 2)]
+    for empty in ("game_id,name,rtp\n", ""):
+        with pytest.raises(Exception):
+            ci.read_csv(spark, _csv(tmp_path, "games.csv", empty))
+
+
+def test_files_with_different_separators_are_refused(spark, tmp_path):
+    folder = tmp_path / "many"
+    folder.mkdir()
+    (folder / "a.csv").write_text("game_id,name\nG1,A\n")
+    (folder / "b.csv").write_text("game_id;name\nG2,B\n")
+    with pytest.raises(ValueError):
+        ci.read_csv(spark, str(folder))
+    assert ci.read_csv(spark, str(folder), sep=",").count() == 2
+
+
+def test_every_wrong_cell_is_an_issue(spark, tmp_path):
+    rows = "".join(f"T{i},C1,2026-01-04,Deposit,x{i},Approved,Visa\n" for i in range(60))
+    df = ci.read_csv(spark, _csv(tmp_path, "transactions.csv", TX.splitlines()[0] + "\n" + rows))
+    mapping = ci.suggest_mapping("transactions", df.columns)
+    assert ci.validate(spark, "transactions", df, mapping).issues.filter("code = 'INVALID_TYPE'").count() == 60
+    few = ci.validate(spark, "transactions", df, mapping, sample=25).issues.filter("code = 'INVALID_TYPE'")
+    assert sorted(r["row"] for r in few.collect()) == list(range(2, 27))
+
+
+def test_mapping_one_column_twice(spark, tmp_path):
+    df = ci.read_csv(spark, _csv(tmp_path, "games.csv", "game_id,name\nG1,A\n"))
+    v = ci.validate(spark, "games", df, {"game_id": "game_id", "game_name": "game_id"})
+    assert ("DUPLICATE_MAPPING", "game_id") in _codes(v)
+
+
+def test_failed_gate_keeps_the_active_warehouse(spark, tmp_path):
+    """Rows that staging refuses change the row counts, so the gate stops the activation."""
+    _, p = _load(spark, tmp_path, "players.csv", PLAYERS)
+    _, t = _load(spark, tmp_path, "transactions.csv", TX)
+    root = str(tmp_path / "imports")
+    none = p.issues.filter("severity = 'ERROR'")
+    _, first = act.activate(spark, {"players": p.frame, "transactions": t.frame}, none, ["a"], root, "2026-01-15", "2026-08-04")
+    refused = t.frame.withColumn("transaction_status", F.lit("approved"))  # staging knows 'Approved' only
+    with pytest.raises(WarehouseQualityError):
+        act.activate(spark, {"players": p.frame, "transactions": refused}, none, ["b"], root, "2026-01-15", "2026-08-04")
+    assert act.active_warehouse(spark, root) == first
+    assert sorted(r["status"] for r in act.import_history(spark, root).collect()) == ["FAILED", "SUCCESS"]
+    import os
+    assert len([d for d in os.listdir(root) if d.startswith("warehouse_")]) == 1
+
+
+def test_activation_with_training_span_scores_players(spark, tmp_path):
+    _, p = _load(spark, tmp_path, "players.csv", PLAYERS)
+    tx = TX + "T2,C1,2026-08-05 10:00:00,Deposit,10,Approved,Visa\nT3,C1,2025-12-01 10:00:00,Deposit,10,Approved,Visa\n"
+    _, t = _load(spark, tmp_path, "transactions.csv", tx)
+    _, path = act.activate(spark, {"players": p.frame, "transactions": t.frame}, p.issues.filter("severity = 'ERROR'"), ["a"],
+                           str(tmp_path / "imports"), "2026-01-15", "2026-08-04")
+    meta = {r["key"]: r["value"] for r in spark.read.parquet(f"{path}/app_metadata").collect()}
+    assert meta["model_status"] == "available"
+    assert spark.read.parquet(f"{path}/mart_player_360").count() == spark.read.parquet(f"{path}/model_scores").count()
