@@ -42,7 +42,7 @@ WIDTH = 5
 THRESHOLD = 0.8
 TREES = 32
 DEPTH = 6
-MIN_DEPTH = 3
+MIN_DEPTH = 1
 TARGET = 0.9999
 CHUNK = 256
 _MULTIPLIERS = mix64(np.arange(1, TREES * DEPTH + 1, dtype=np.uint64)) | np.uint64(1)
@@ -266,19 +266,16 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, target: float
         F.first("signature").alias("signature"), F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "forest-classes")
 
     found: DataFrame | None = None
-    pairs = estimate = 0.0
+    pairs = missing = 0.0
     for depth in range(DEPTH, MIN_DEPTH - 1, -1):
         name = f"forest-{depth}"
         got = written(_verify(_units(classes.filter("rep IS NOT NULL"), depth, chunk, name), texts, depth, threshold), name)
         found = got if found is None else found.union(got)
         total = got.agg(F.sum("pairs").alias("pairs"), F.sum("estimate").alias("estimate")).first()
-        if depth == DEPTH:
-            pairs, estimate = total.pairs or 0.0, total.estimate or 0.0
-        else:
-            # found at this or a longer prefix: re-weight by the new depth through what was added
-            pairs += total.pairs or 0.0
-            estimate = max(pairs, pairs + (estimate - pairs) * _left(depth, threshold))
-        if pairs >= target * estimate:
+        # the shorter prefix finds most of what was estimated to be missing, at the threshold the least
+        missing = (total.estimate or 0.0) - (total.pairs or 0.0) if depth == DEPTH else missing * _left(depth, threshold)
+        pairs += total.pairs or 0.0
+        if pairs >= target * (pairs + missing):
             break
 
     groups = components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")))
