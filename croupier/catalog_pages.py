@@ -77,8 +77,10 @@ SELECT player_id, sessions / {max(s.days, 1)} * 30 AS sessions_per_30d, minutes
        minutes / GREATEST(sessions, 1) >= 75 AS long_average_sessions, rg_risk >= 0.55 AS marketing_suppression FROM seg""",
                                                                                                       SC + "," + players_sql(s)))
     register(f"pages_scatter_sample{tag}", lambda wh, s=s: pages.scatter_sample(pages.prepare_players(wh, s)), q(f"""
+SELECT player_id, vip_level, churn_probability, predicted_total_ltv_180d, GREATEST(lifetime_ggr, 0.0) + 1 AS bubble_size FROM seg""", SC + "," + players_sql(s)))
+    register(f"pages_scatter_draw{tag}", lambda wh, s=s: pages.scatter_sample(pages.prepare_players(wh, s), points=100), q(f"""
 SELECT player_id, vip_level, churn_probability, predicted_total_ltv_180d, GREATEST(lifetime_ggr, 0.0) + 1 AS bubble_size FROM seg
-ORDER BY sha256('{pages.SCATTER_SEED}:' || player_id), player_id LIMIT {pages.SCATTER_POINTS}""", SC + "," + players_sql(s)))
+ORDER BY sha256('{pages.SCATTER_SEED}:' || player_id), player_id LIMIT 100""", SC + "," + players_sql(s)))
 
 register("pages_peer_comparison_vip_active", lambda wh: pages.peer_comparison(pages.prepare_players(wh, S_MAIN), "VIP active"), q("""
 SELECT player_id, lifetime_ggr, predicted_total_ltv_180d, churn_probability, rg_risk,

@@ -23,7 +23,7 @@ PORTFOLIO_COLUMNS = ["player_id", "country", "vip_level", "rfm_segment", "segmen
                      "churn_probability", "fraud_risk", "rg_risk", "recommended_action"]
 MISSING_RECENCY = 999
 OBJECTIVE_UPLIFT, PLAYER_OBJECTIVE_UPLIFT, HOLD_OBJECTIVE = 1.05, 1.03, 0.07
-SCATTER_POINTS, SCATTER_SEED, PORTFOLIO_ROWS = 1500, 7, 250
+SCATTER_SEED, PORTFOLIO_ROWS = 7, 250
 EXACT = "decimal(24,6)"  # doubles of 6-place scores/money round-trip exactly, so their sums are exact
 # ------------------------------------------------------------------------------------
 
@@ -112,13 +112,14 @@ def portfolio(players: DataFrame, segment: str | None = None) -> DataFrame:
             .orderBy(F.desc("rg_risk"), F.desc("churn_probability"), F.desc("predicted_ltv_90d"), "player_id").limit(PORTFOLIO_ROWS))
 
 
-def scatter_sample(players: DataFrame, segment: str | None = None) -> DataFrame:
-    """At most 1,500 players in a deterministic hash order (SHA-256 of seed and id); bubble = max(GGR, 0) + 1."""
+def scatter_sample(players: DataFrame, segment: str | None = None, points: int | None = None) -> DataFrame:
+    """The players of a chart, bubble = max(GGR, 0) + 1. ``points`` draws so many of them in a
+    deterministic hash order (SHA-256 of seed and id); without it all are returned."""
     f = in_segment(players, segment)
     key = F.sha2(F.concat(F.lit(f"{SCATTER_SEED}:"), F.col("player_id")), 256)
-    return (f.orderBy(key, "player_id").limit(SCATTER_POINTS)
-            .select("player_id", "vip_level", "churn_probability", "predicted_total_ltv_180d",
-                    (F.greatest(F.col("lifetime_ggr"), F.lit(0.0)) + 1).alias("bubble_size")))
+    drawn = f if points is None else f.orderBy(key, "player_id").limit(points)
+    return drawn.select("player_id", "vip_level", "churn_probability", "predicted_total_ltv_180d",
+                        (F.greatest(F.col("lifetime_ggr"), F.lit(0.0)) + 1).alias("bubble_size"))
 
 
 def peer_comparison(players: DataFrame, segment: str | None = None) -> DataFrame:

@@ -52,7 +52,9 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder the cluster names in ``spark.checkpoint.dir``.
 
-    Only when the session has none (local tests) is a fresh scratch folder set.
+    Only a local session that names none (tests, the bench) gets a scratch folder of its own; a
+    cluster session without the setting is an error, because a machine-local folder would be
+    invisible to the other machines.
     """
     try:
         sc = spark.sparkContext
@@ -60,6 +62,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return spark.conf.get("spark.checkpoint.dir", "")
     current = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not current:
+        if not sc.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         current = tempfile.mkdtemp(prefix="croupier-ckpt-")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(current)
