@@ -285,3 +285,44 @@ FROM raw_transactions WHERE transaction_status = 'Pending' HAVING count(*) > 0""
 
 register("import_derived_games", derived_games, q("""
 SELECT DISTINCT game_id, game_id AS game_name, 'Unknown' AS game_family, CAST(0.96 AS DOUBLE) AS theoretical_rtp, 'Unknown' AS provider FROM raw_sessions"""))
+
+
+# ---- the quality gate over raw tables with bad rows ---------------------------------------------
+def faulty_warehouse(wh):
+    """Every 500th player twice, unknown players and games, rows that staging refuses, one id for many rows."""
+    from croupier.plans.warehouse import Warehouse
+    from croupier.sources.driver_tables import RawTables
+
+    r = wh.raw
+    players = r.players.unionByName(r.players.filter(_tail("player_id") % 500 == 1))
+    order = F.regexp_extract("session_id", r"^S-(\d+)-", 1).cast("bigint") % 100
+    sessions = (r.sessions.withColumn("player_id", F.when(order == 7, "GHOST").otherwise(F.col("player_id")))
+                .withColumn("game_id", F.when(order == 3, "Brand#99").otherwise(F.col("game_id")))
+                .withColumn("duration_minutes", F.when(order == 1, -1.0).otherwise(F.col("duration_minutes"))))
+    n = _tail("transaction_id") % 100
+    transactions = (r.transactions.withColumn("transaction_type", F.when(n == 3, "Refund").otherwise(F.col("transaction_type")))
+                    .withColumn("player_id", F.when(n == 5, "GHOST").otherwise(F.col("player_id")))
+                    .withColumn("transaction_id", F.when(n == 4, "TRX-SAME").otherwise(F.col("transaction_id"))))
+    b = _tail("bet_id") % 100
+    bets = (r.sports_bets.withColumn("odds", F.when(b == 6, 0.5).otherwise(F.col("odds")))
+            .withColumn("player_id", F.when(b == 2, "GHOST").otherwise(F.col("player_id"))))
+    return Warehouse.from_raw(wh.spark, RawTables(players=players, games=r.games, sessions=sessions, transactions=transactions, sports_bets=bets))
+
+
+def _faulty_gate(wh) -> DataFrame:
+    from croupier.plans.quality import quality_checks
+
+    return quality_checks(faulty_warehouse(wh))
+
+
+register("quality_checks_faulty", _faulty_gate, q(f"""
+SELECT unnest(['duplicate_players', 'invalid_rtp', 'duplicate_sessions', 'orphan_session_players', 'orphan_session_games', 'casino_ggr_mismatch',
+               'duplicate_transactions', 'orphan_transaction_players', 'duplicate_sports_bets', 'orphan_sports_players', 'sports_ggr_mismatch',
+               'raw_fact_session_delta', 'raw_fact_transaction_delta', 'raw_fact_sports_delta']) AS "check",
+       unnest([(SELECT count(*) FROM {_P} WHERE n % 500 = 1), 0, 0, s.ghosts, s.games, 0, t.same, t.ghosts, 0, b.ghosts, 0, s.refused, t.refused, b.refused])::BIGINT AS value
+FROM (SELECT count(*) FILTER (n <> 1 AND (n = 7 OR p IS NULL)) AS ghosts, count(*) FILTER (n = 3) AS games, count(*) FILTER (n = 1) AS refused
+      FROM (SELECT CAST(regexp_extract(session_id, '^S-(\\d+)-', 1) AS BIGINT) % 100 AS n, x.player_id AS p FROM raw_sessions s LEFT JOIN raw_players x USING (player_id))) s,
+     (SELECT count(*) FILTER (n <> 3 AND (n = 5 OR p IS NULL)) AS ghosts, greatest(count(*) FILTER (n = 4) - 1, 0) AS same, count(*) FILTER (n = 3) AS refused
+      FROM (SELECT n % 100 AS n, x.player_id AS p FROM {_T} t LEFT JOIN raw_players x ON x.player_id = t.player_id)) t,
+     (SELECT count(*) FILTER (n <> 6 AND (n = 2 OR p IS NULL)) AS ghosts, count(*) FILTER (n = 6) AS refused
+      FROM (SELECT n % 100 AS n, x.player_id AS p FROM {_B} t LEFT JOIN raw_players x ON x.player_id = t.player_id)) b"""))

@@ -35,3 +35,21 @@ def test_scope_prunes_month_partitions(spark, tmp_path):
     plan = casino.sessions_heatmap(built, S_MAIN)._jdf.queryExecution().executedPlan().toString()
     parts = re.findall(r"PartitionFilters: \[([^\]]*)\]", plan)
     assert any("event_month" in p and "200001" in p and "200003" in p for p in parts)
+
+
+def test_fact_queries_need_no_join(spark, tmp_path):
+    """On the written warehouse, with broadcasts off: the facts carry the market."""
+    from croupier.catalog import S_HALF
+    from croupier.queries import finance, freshness, sportsbook
+
+    built = Warehouse.from_driver_tables(spark, "/root/testdata/sf0.001").write(str(tmp_path / uuid.uuid4().hex))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for df in (casino.sessions_heatmap(built, S_MAIN), sportsbook.bet_composition(built, S_HALF), sportsbook.daily_handle_by_sport(built, S_HALF),
+                   sportsbook.sport_performance(built, S_HALF), finance.payment_methods(built, S_MAIN), finance.weekly_deposits_withdrawals(built, S_MAIN),
+                   finance.transactions_summary(built, S_MAIN), freshness.event_count(built, S_MAIN), built.mart_payments_daily,
+                   built.mart_game_performance_daily):
+            assert "Join" not in df._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
