@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from croupier.llm.bpe import byte_characters, load, special_tokens
-from croupier.llm.common import scratch_dir, written
+from croupier.llm.common import arrow_rows, scratch_dir, written
 
 MAX_BITS = 20
 LANE = 256
@@ -66,7 +66,7 @@ class WordIds:
     letters or symbols goes straight to the tokenizer's BPE model, the others through all of it.
     """
 
-    def __init__(self, path: str, limit: int = 400_000) -> None:
+    def __init__(self, path: str, limit: int = 300_000) -> None:
         self.tokenizer, self.special, self.limit = load(path), special_tokens(path), limit
         self.model = self.tokenizer.model
         self.dtype = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
@@ -250,8 +250,9 @@ def write(docs: DataFrame, path: str, folder: str, block_ids: int = BLOCK_IDS) -
     """Encode every whole text and write the files of the format into ``folder``."""
     spark = docs.sparkSession
     dtype = "<u2" if load(path).get_vocab_size() <= 1 << 16 else "<u4"
-    encoded = written(token_ids(docs, path), "huffman-ids")
-    counts = count_ids(encoded, dtype).orderBy("id").collect()  # one row per id of the vocabulary
+    with arrow_rows(spark, ROWS):
+        encoded = written(token_ids(docs, path), "huffman-ids")
+        counts = count_ids(encoded, dtype).orderBy("id").collect()  # one row per id of the vocabulary
     ids, n = np.array([r.id for r in counts], np.int64), np.array([r.n for r in counts], np.int64)
     lengths = code_lengths(n)
     pairs = [f"{i}:{k}" for i, k in zip(ids.tolist(), lengths.tolist())]
@@ -292,7 +293,8 @@ def write(docs: DataFrame, path: str, folder: str, block_ids: int = BLOCK_IDS) -
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     order = [F.col("doc_id").asc_nulls_first(), F.col("order").asc()]
     rows = encoded.repartitionByRange(parts, *order).sortWithinPartitions(*order)
-    rows.select("doc_id", "ids").mapInArrow(task, BLOCK_SCHEMA).write.parquet(f"{folder}/blocks")
+    with arrow_rows(spark, ROWS):
+        rows.select("doc_id", "ids").mapInArrow(task, BLOCK_SCHEMA).write.parquet(f"{folder}/blocks")
 
     # one row per shard: the list of files, as any sharded format keeps it
     totals = spark.read.parquet(f"{folder}/blocks").groupBy("shard").agg(F.sum("n_ids").alias("n_ids")).orderBy("shard").collect()
