@@ -37,7 +37,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from croupier.llm.common import bucketed, fold, pack, unpack
+from croupier.llm.common import bucketed, fold, pack, unpack, written
+from croupier.llm.quality_rules import bucket
 
 VOCABULARY = 50_000
 MU = 50.0
@@ -74,8 +75,18 @@ def vocabulary(docs: DataFrame, size: int = VOCABULARY) -> list[str]:
                 count.clear()
         yield pa.record_batch({"word": pa.array(list(count), pa.string()), "n": pa.array(list(count.values()), pa.int64())})
 
+    size = min(size, (1 << 16) - FIRST_WORD)
     counts = docs.select("doc_id", "text").mapInArrow(task, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return [r.word for r in counts.orderBy(F.desc("n"), "word").limit(min(size, (1 << 16) - FIRST_WORD)).collect()]
+    counts = written(counts.withColumn("b", bucket(F.col("n"))), "lm-words")
+    # a plain top-k would return its k rows from every task; the histogram of the counts (a few
+    # hundred buckets) tells which words can be in it, and only those are ordered
+    left, lowest = size, 0
+    for r in sorted(counts.groupBy("b").agg(F.count(F.lit(1)).alias("words")).collect(), reverse=True):
+        left, lowest = left - r.words, r.b
+        if left <= 0:
+            break
+    chosen = counts.filter(F.col("b") >= lowest).orderBy(F.desc("n"), "word").limit(size)
+    return [r.word for r in chosen.collect()]
 
 
 def _blocks(docs: DataFrame, words: list[str], buckets: int) -> DataFrame:

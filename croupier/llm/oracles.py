@@ -56,3 +56,68 @@ def quality_rules_ctes(docs: str) -> str:
 QUALITY_RULES = f"""WITH {quality_rules_ctes('documents')}
     SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept,
            symbols, dup_lines, repeats, word_length FROM judged"""
+
+
+#: crc32 of a column ``key`` of ASCII text, bit by bit.
+CRC32 = """xor(list_reduce(list_concat([4294967295::UBIGINT], list_transform(string_split(key, ''), lambda ch: ascii(ch)::UBIGINT)),
+        lambda a, b: list_reduce(list_concat([xor(a, b)], [0::UBIGINT, 0, 0, 0, 0, 0, 0, 0]),
+        lambda x, y: CASE WHEN (x & 1::UBIGINT) = 1 THEN xor(x >> 1, 3988292384::UBIGINT) ELSE x >> 1 END)), 4294967295::UBIGINT)"""
+
+
+def _ranked(source: str, by: str, top: int) -> str:
+    """The ``top`` most frequent grams per ``by``: by count, then by length and code points."""
+    return f"""SELECT {by}, gram, row_number() OVER (PARTITION BY {by} ORDER BY n DESC, length(gram), gram) - 1 AS place
+            FROM (SELECT {by}, gram, count(*) AS n FROM {source} GROUP BY {by}, gram) QUALIFY place < {top}"""
+
+
+# A word boundary is chr(1), which sorts below every letter; grams that are a boundary alone or have
+# one in the middle do not count.
+LANGUAGE_ID = f"""WITH
+    docs AS (SELECT row_number() OVER () AS rid, doc_id, lang, CAST(doc_id AS VARCHAR) AS key,
+                    chr(1) || trim(regexp_replace(lower(coalesce(text, '')), '[^\\p{{L}}]+', chr(1), 'g'), chr(1)) || chr(1) AS t FROM documents),
+    lettered AS (SELECT * FROM docs WHERE length(t) > 2),
+    grams AS (SELECT rid, lang, doc_id, substr(t, i, k) AS gram
+              FROM (SELECT *, unnest(generate_series(1, length(t))) AS i FROM lettered), (VALUES (1), (2), (3)) AS s(k) WHERE i + k - 1 <= length(t)),
+    useful AS (SELECT * FROM grams WHERE gram <> chr(1) AND NOT (length(gram) = 3 AND substr(gram, 2, 1) = chr(1))),
+    held AS (SELECT rid, doc_id, {CRC32} % 5 = 0 AS held_out FROM docs),
+    learned AS (SELECT u.lang, u.gram FROM useful u JOIN held h USING (rid) WHERE NOT h.held_out AND u.lang IS NOT NULL),
+    profile AS ({_ranked('learned', 'lang', 400)}),
+    own AS ({_ranked('useful', 'rid', 400)}),
+    langs AS (SELECT DISTINCT lang FROM profile),
+    far AS (SELECT o.rid, l.lang, sum(CASE WHEN p.place IS NULL THEN 400 ELSE abs(o.place - p.place) END) AS d
+            FROM own o CROSS JOIN langs l LEFT JOIN profile p ON p.lang = l.lang AND p.gram = o.gram GROUP BY o.rid, l.lang),
+    best AS (SELECT rid, lang, d, lead(d) OVER (PARTITION BY rid ORDER BY d, lang) AS second, row_number() OVER (PARTITION BY rid ORDER BY d, lang) AS r FROM far)
+    SELECT h.doc_id, h.held_out, coalesce(b.lang, 'und') AS lang_pred,
+           CASE WHEN b.lang IS NULL THEN 0.0 ELSE CAST(b.second AS DOUBLE) / CAST(b.second + b.d AS DOUBLE) END AS score
+    FROM held h LEFT JOIN best b ON b.rid = h.rid AND b.r = 1"""
+
+
+# Every pair that shares a shingle is compared, so this is exact where the Spark side is an LSH forest.
+NGRAM_JACCARD_JOIN = r"""WITH RECURSIVE
+    docs AS (SELECT row_number() OVER () AS rid, doc_id, [x FOR x IN regexp_split_to_array(lower(coalesce(text, '')), '\s+') IF x <> ''] AS ws FROM documents),
+    shingles AS (SELECT DISTINCT rid, array_to_string(ws[i:i + 4], ' ') AS s FROM (SELECT rid, ws, unnest(generate_series(1, greatest(len(ws) - 4, 1))) AS i FROM docs WHERE len(ws) > 0)),
+    sizes AS (SELECT rid, count(*) AS n FROM shingles GROUP BY rid),
+    common AS (SELECT a.rid AS a, b.rid AS b, count(*) AS c FROM shingles a JOIN shingles b ON a.s = b.s AND a.rid <> b.rid GROUP BY 1, 2),
+    links AS (SELECT a, b, c = x.n AND c = y.n AS same FROM common JOIN sizes x ON x.rid = a JOIN sizes y ON y.rid = b WHERE 10 * c >= 8 * (x.n + y.n - c)),
+    reach AS (SELECT a AS rid, b AS other FROM links UNION SELECT r.rid, l.b FROM reach r JOIN links l ON l.a = r.other),
+    classes AS (SELECT r.rid, min(d.doc_id) AS low FROM reach r JOIN docs d ON d.rid = r.other GROUP BY r.rid),
+    counted AS (SELECT a AS rid, count(*) AS n_links, count(*) FILTER (same) AS twins FROM links GROUP BY a)
+    SELECT d.doc_id, least(d.doc_id, coalesce(k.low, d.doc_id)) AS class_id, coalesce(c.n_links, 0) AS n_links, coalesce(c.twins, 0) + 1 AS n_copies
+    FROM docs d LEFT JOIN classes k USING (rid) LEFT JOIN counted c USING (rid)"""
+
+
+# Every window of a document that shares a shingle with an item is compared; items have five words or more here.
+DECONTAMINATION = r"""WITH
+    cut_docs AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}_]+') AS w FROM documents),
+    cut_items AS (SELECT row_number() OVER () AS iid, item_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}_]+') AS w FROM benchmark),
+    docs AS (SELECT rid, doc_id, [array_to_string(w[i:i + 4], ' ') FOR i IN generate_series(1, len(w) - 4)] AS s FROM cut_docs WHERE len(w) >= 5),
+    items AS (SELECT iid, item_id, [array_to_string(w[i:i + 4], ' ') FOR i IN generate_series(1, len(w) - 4)] AS s FROM cut_items WHERE len(w) >= 5),
+    bag AS (SELECT iid, t, count(*) AS n FROM (SELECT iid, unnest(s) AS t FROM items) GROUP BY ALL),
+    near AS (SELECT DISTINCT d.rid, b.iid FROM (SELECT rid, unnest(s) AS t FROM docs) d JOIN bag b USING (t)),
+    starts AS (SELECT n.rid, n.iid, len(i.s) AS m, d.s, unnest(generate_series(0, greatest(len(d.s) - len(i.s), 0))) AS lo FROM near n JOIN docs d USING (rid) JOIN items i USING (iid)),
+    windows AS (SELECT rid, iid, m, least(m, len(s)) AS size, lo, unnest(s[lo + 1:lo + m]) AS t FROM starts),
+    counted AS (SELECT rid, iid, m, size, lo, t, count(*) AS n FROM windows GROUP BY ALL),
+    shared AS (SELECT c.rid, c.iid, c.m, c.size, c.lo, sum(least(c.n, b.n)) AS k FROM counted c JOIN bag b USING (iid, t) GROUP BY ALL),
+    best AS (SELECT *, CAST(k AS DOUBLE) / CAST(m + size - k AS DOUBLE) AS similarity FROM shared
+             QUALIFY row_number() OVER (PARTITION BY rid, iid ORDER BY similarity DESC, lo) = 1)
+    SELECT d.doc_id, i.item_id, similarity, lo AS start_word FROM best JOIN docs d USING (rid) JOIN items i USING (iid) WHERE similarity >= 0.8"""

@@ -73,5 +73,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_language_id": oracles.LANGUAGE_ID,
     "op7_quality_rules": oracles.QUALITY_RULES,
+    "op9_benchmark_decontamination": oracles.DECONTAMINATION,
+    "op10_ngram_jaccard_join": oracles.NGRAM_JACCARD_JOIN,
 }
