@@ -80,7 +80,7 @@ def features(docs: DataFrame, keep: list[str]) -> DataFrame:
     df = docs.select(*[F.col(f"`{c}`") for c in dict.fromkeys([*keep, "text"])])
     for name, sql in _STEPS.items():
         df = df.withColumn(name, F.expr(sql))
-    return df.select(
+    df = df.select(
         *[F.col(f"`{c}`") for c in keep], *BASE,
         ((F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))).alias("base_failed"),
         F.expr("n_symbols * 1000 div greatest(n_words, 1)").alias("symbols"),
@@ -88,6 +88,8 @@ def features(docs: DataFrame, keep: list[str]) -> DataFrame:
         F.expr("n_repeat_words * 1000 div greatest(n_words, 1)").alias("repeats"),
         F.expr("word_chars * 100 div greatest(n_words, 1)").alias("word_length"),
     )
+    # one row out per row in: a filter above is not pushed below it, where it would repeat every step
+    return df.select(F.inline(F.array(F.struct(*[F.col(f"`{c}`") for c in df.columns]))))
 
 
 def bucket(value: Column) -> Column:
@@ -176,8 +178,5 @@ def clean(docs: DataFrame) -> DataFrame:
     limits = thresholds(written(features(docs, ["lang", "source"]), "quality-features"))
     columns = docs.columns
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("_row"), "text", "lang", "source")
-    feats = features(packed, ["_row", "lang", "source"])
-    # one row out per row in: a filter above it is not pushed below, where it would repeat every step
-    feats = feats.select(F.inline(F.array(F.struct(*feats.columns))))
-    kept = judge(feats, limits).filter("kept")
+    kept = judge(features(packed, ["_row", "lang", "source"]), limits).filter("kept")
     return kept.select(*[F.col("_row")[c].alias(c) for c in columns])
