@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from croupier.llm.common import HashedWords, distinct, mix64, shingles, written
+from croupier.llm.common import HashedWords, arrow_rows, distinct, mix64, shingles, written
 
 WIDTH = 5
 THRESHOLD = 0.8
@@ -45,6 +45,7 @@ DEPTH = 6
 MIN_DEPTH = 1
 TARGET = 0.9999
 CHUNK = 256
+ROWS = 500  # rows sent to Python at a time
 _MULTIPLIERS = mix64(np.arange(1, TREES * DEPTH + 1, dtype=np.uint64)) | np.uint64(1)
 
 
@@ -261,7 +262,8 @@ def components(edges: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, target: float = TARGET, chunk: int = CHUNK) -> DataFrame:
     """doc_id, class_id, n_links, n_copies; one row per row of ``docs``."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    signed = written(texts.mapInArrow(_sign_task, "doc_id long, key binary, signature binary"), "forest-signatures")
+    with arrow_rows(docs.sparkSession, ROWS):
+        signed = written(texts.mapInArrow(_sign_task, "doc_id long, key binary, signature binary"), "forest-signatures")
     classes = written(signed.filter("key IS NOT NULL").groupBy("key").agg(
         F.first("signature").alias("signature"), F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "forest-classes")
 
@@ -269,7 +271,8 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, target: float
     pairs = missing = 0.0
     for depth in range(DEPTH, MIN_DEPTH - 1, -1):
         name = f"forest-{depth}"
-        got = written(_verify(_units(classes.filter("rep IS NOT NULL"), depth, chunk, name), texts, depth, threshold), name)
+        with arrow_rows(docs.sparkSession, ROWS):
+            got = written(_verify(_units(classes.filter("rep IS NOT NULL"), depth, chunk, name), texts, depth, threshold), name)
         found = got if found is None else found.union(got)
         total = got.agg(F.sum("pairs").alias("pairs"), F.sum("estimate").alias("estimate")).first()
         # the shorter prefix finds most of what was estimated to be missing, at the threshold the least
