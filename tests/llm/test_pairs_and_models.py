@@ -223,6 +223,19 @@ def test_scores_equal_brute_force(documents, labels, size):
         assert abs(r.h_target - t) < 1e-5 and abs(r.h_background - b) < 1e-5 and abs(r.score - (t - b)) < 2e-5
 
 
+def test_scores_with_every_word(spark):
+    """More words than 16 bits can number, nearly all of them rare; each keeps its own counts."""
+    r = random.Random(4)
+    rows = [(i, " ".join(["word%d" % r.randrange(300_000) for _ in range(900)] * (1 + i % 2))) for i in range(90)]
+    assert len({w for _, t in rows for w in t.split()}) > 1 << 16
+    wanted = [(i,) for i in range(0, 90, 3)]
+    want = brute_scores(rows, {i for i, in wanted}, 1 << 60, lm_score.MU)
+    got = {x.doc_id: x for x in lm_score.score(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(wanted, "doc_id long")).collect()}
+    assert len(got) == len(rows)
+    for k, (t, b) in want.items():
+        assert abs(got[k].h_target - t) < 1e-9 and abs(got[k].h_background - b) < 1e-9
+
+
 def test_scores_odd_rows(odd, nothing, spark):
     none = spark.createDataFrame([], "doc_id long")
     got = lm_score.score(odd, none).collect()
