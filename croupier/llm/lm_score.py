@@ -17,7 +17,7 @@ Work: 1. every task writes blocks of documents as numbers into the block's own s
 words; a word is known by its 64-bit hash, a bigram by a 64-bit hash of both. The table is bucketed
 by block. 2. The labels join the (block, document) list, not the texts. 3. Per block and bucket,
 one hash range of words and bigrams, one row holds the counts per class; a word or bigram is in it
-once, however often the block repeats it. 4. Each bucket adds its rows up and answers every block
+once, however often the block repeats it, and the number of buckets grows with the input. 4. Each bucket adds its rows up and answers every block
 with the totals of the block's own words and bigrams, which are written. 5. The totals go back to
 the blocks, where the losses are added per document. What reaches the driver is N and V.
 
@@ -44,6 +44,8 @@ from croupier.llm.quality_rules import bucket
 MU = 50.0
 BLOCK_CHARS = 12_000_000
 BLOCK_DOCS = 50_000
+# text per bucket: the counts of a bucket are added up in one Python group
+BUCKET_BYTES = 16_000_000
 ROWS = 500
 UNKNOWN, EDGE = 0, 1
 CLASSES = 4
@@ -237,9 +239,10 @@ def losses(pair: np.ndarray, history: np.ndarray, word: np.ndarray, total: int,
 
 def score(docs: DataFrame, target: DataFrame, vocabulary_size: int | None = None, mu: float = MU) -> DataFrame:
     """doc_id, n_tokens, h_target, h_background, score; ``target`` names the wanted documents by doc_id."""
-    buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    buckets = max(partitions, (docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // BUCKET_BYTES)
     words = None if vocabulary_size is None else vocabulary(docs, vocabulary_size)
-    blocks = bucketed(_blocks(docs, words), "lm_blocks", buckets)
+    blocks = bucketed(_blocks(docs, words), "lm_blocks", partitions)
     classes = _classes(blocks, target)
     totals = written(_totals(_counts(blocks, classes, buckets)), "lm-totals")
     sums = totals.filter("of_block IS NULL").agg(*[F.sum(F.col("sizes")[i]).alias(f"n{i}") for i in range(1 + CLASSES)]).first()

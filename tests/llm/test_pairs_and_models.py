@@ -236,6 +236,23 @@ def test_scores_with_every_word(spark):
         assert abs(got[k].h_target - t) < 1e-9 and abs(got[k].h_background - b) < 1e-9
 
 
+def test_scores_group_counts_not_occurrences(spark, monkeypatch):
+    """A hot bigram is one entry per block in its bucket; smaller buckets hold less and score the same."""
+    rows = [(i, "hot pair " * 4000 + words(i, 50)) for i in range(12)]
+    docs, wanted = spark.createDataFrame(rows, "doc_id long, text string").repartition(3), spark.createDataFrame([(1,), (5,)], "doc_id long")
+    blocks = lm_score._blocks(docs, None).localCheckpoint()
+    groups = lm_score._counts(blocks, lm_score._classes(blocks, wanted), 4).collect()
+    entries = sum(lm_score._unpack64(r.pairs, 5).shape[1] for r in groups if r.pairs)
+    assert blocks.count() <= 3 and entries <= 12 * 52 + 3 * 3
+    plain = {r.doc_id: r for r in lm_score.score(docs, wanted).collect()}
+    seen, of = [], lm_score._counts
+    monkeypatch.setattr(lm_score, "_counts", lambda blocks, classes, buckets: seen.append(buckets) or of(blocks, classes, buckets))
+    monkeypatch.setattr(lm_score, "BUCKET_BYTES", 5_000)
+    split = {r.doc_id: r for r in lm_score.score(docs, wanted).collect()}
+    assert seen[0] == sum(len(t) for _, t in rows) // 5_000
+    assert plain.keys() == split.keys() and all(abs(plain[i].score - split[i].score) < 1e-12 for i in plain)
+
+
 def test_scores_odd_rows(odd, nothing, spark):
     none = spark.createDataFrame([], "doc_id long")
     got = lm_score.score(odd, none).collect()
