@@ -86,7 +86,7 @@ def _supplier(wh) -> DataFrame:
 
 def _bonuses(wh) -> DataFrame:
     k = F.col("o_orderkey")
-    return read_table(wh.spark, wh.sf_dir, "orders").filter(k % 10 == 0).select(
+    return read_table(wh.spark, wh.sf_dir, "orders").select(
         F.concat(F.lit("BON-"), k.cast("string")).alias("bonus_id"), F.lit("PLR-0000001").alias("player_id"), F.lit("2026-01-05").alias("granted_at"),
         F.lit("Free bet").alias("type"), F.when(k % 70 == 0, "-3").otherwise("5").alias("amount"),
         F.when(k % 30 == 0, None).otherwise(F.concat(F.lit("CMP-"), (k % 400).cast("string"))).alias("campaignid"))
@@ -94,7 +94,7 @@ def _bonuses(wh) -> DataFrame:
 
 def _risk_events(wh) -> DataFrame:
     k = F.col("event_id")
-    return read_table(wh.spark, wh.sf_dir, "events").filter(k % 50 == 0).select(
+    return read_table(wh.spark, wh.sf_dir, "events").select(
         F.concat(F.lit("EV-"), k.cast("string")).alias("case_id"), F.lit("GHOST").alias("customer_id"), F.lit("2026-01-05").alias("detected_at"),
         F.lit("AML").alias("risk_type"), F.lit("High").alias("risk_level"),
         F.when(k % 350 == 0, "1.5").when(k % 450 == 0, "").otherwise("0.5").alias("score"))

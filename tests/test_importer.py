@@ -168,3 +168,12 @@ def test_activation_with_training_span_scores_players(spark, tmp_path):
     meta = {r["key"]: r["value"] for r in spark.read.parquet(f"{path}/app_metadata").collect()}
     assert meta["model_status"] == "available"
     assert spark.read.parquet(f"{path}/mart_player_360").count() == spark.read.parquet(f"{path}/model_scores").count()
+
+
+def test_planted_orphans_cover_every_event_and_order(spark, wh):
+    from croupier import catalog_import as cat
+
+    events, orders = (spark.read.parquet(f"{wh.sf_dir}/{t}.parquet").count() for t in ("events", "orders"))
+    found = {(r.dataset, r.code): r.message for r in cat.planted_orphans(wh).collect()}
+    assert found["kyc_risk_events", "ORPHAN_PLAYER"].startswith(f"{events:,} rows")
+    assert found["bonuses", "ORPHAN_PLAYER"].startswith(f"{orders:,} rows")
