@@ -2,8 +2,8 @@
 
 Training data is the union of player snapshots at several cutoffs before the scoring
 cutoff (train / validation / test, latest window untouched until metrics are recorded),
-fitted with MLlib pipelines: median imputation + scaling for numbers, index + one-hot for
-categories (unknown categories kept in their own bucket), gradient-boosted trees.
+fitted with MLlib pipelines: median imputation + scaling for numbers, mode imputation, index
+and one-hot for categories (unknown categories kept in their own bucket), gradient-boosted trees.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from functools import reduce
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
-from pyspark.ml.feature import Imputer, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
+from pyspark.ml.feature import Imputer, OneHotEncoder, SQLTransformer, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame
@@ -63,14 +63,17 @@ def _numeric(df: DataFrame) -> DataFrame:
 
 
 def preprocess_stages() -> list:
-    """Median impute + standardise numbers; index (unknown kept) + one-hot categories."""
+    """Median impute + standardise numbers; index (unknown kept), mode impute + one-hot categories."""
     num_in = [f"n_{c}" for c in NUMERIC_FEATURES]
     imputed = [f"i_{c}" for c in NUMERIC_FEATURES]
     stages = [Imputer(strategy="median", inputCols=num_in, outputCols=imputed),
               VectorAssembler(inputCols=imputed, outputCol="num_vec", handleInvalid="keep"),
               StandardScaler(inputCol="num_vec", outputCol="num_scaled", withMean=True, withStd=True)]
     idx = [f"x_{c}" for c in CATEGORICAL_FEATURES]
-    stages += [StringIndexer(inputCols=CATEGORICAL_FEATURES, outputCols=idx, handleInvalid="keep"),
+    # the index orders labels by frequency, so 0 is the mode of the fitted data
+    filled = ", ".join(f"IF({c} IS NULL, 0D, k_{c}) AS x_{c}" for c in CATEGORICAL_FEATURES)
+    stages += [StringIndexer(inputCols=CATEGORICAL_FEATURES, outputCols=[f"k_{c}" for c in CATEGORICAL_FEATURES], handleInvalid="keep"),
+               SQLTransformer(statement=f"SELECT *, {filled} FROM __THIS__"),
                OneHotEncoder(inputCols=idx, outputCols=[f"o_{c}" for c in CATEGORICAL_FEATURES], handleInvalid="keep"),
                VectorAssembler(inputCols=["num_scaled", *[f"o_{c}" for c in CATEGORICAL_FEATURES]], outputCol="features")]
     return stages

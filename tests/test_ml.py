@@ -85,3 +85,17 @@ def test_forecast_follows_a_weekly_pattern(spark):
     future = series.forecast_backtest(None, daily).filter("split = 'future' AND metric = 'ggr'").collect()
     assert len(future) == 30
     assert max(abs(r["predicted_value"] - (100 + 30 * r["forecast_date"].weekday())) for r in future) < 10
+
+
+def test_missing_category_becomes_the_mode(spark, tmp_path):
+    from pyspark.ml import Pipeline
+
+    def rows(*countries):
+        return spark.createDataFrame([(x,) for x in countries], "country string").select(
+            "country", *[F.lit("same").alias(c) for c in models.CATEGORICAL_FEATURES if c != "country"],
+            *[F.lit(1.0).alias(f"n_{c}") for c in models.NUMERIC_FEATURES])
+
+    Pipeline(stages=models.preprocess_stages()).fit(rows("DE", "FR", "FR", None)).write().save(str(tmp_path / "m"))
+    fitted = models.load_model(str(tmp_path / "m"))
+    seen = [tuple(r.features.toArray()) for r in fitted.transform(rows("FR", None, "DE", "unseen")).select("features").collect()]
+    assert seen[1] == seen[0] and len(set(seen)) == 3
