@@ -7,7 +7,9 @@ the bitwise majority over its shingles, so a shingle weighs as often as it occur
 
 Windows are taken wherever the text holds at least one shingle of the benchmark (any item's): a
 window without one has similarity 0 to every item, so this loses nothing, and it leaves most
-texts without a window. Which item a window resembles is found by the fingerprints alone.
+texts without a window. A window with fewer shingles of the benchmark than a match must share with
+an item of the size is passed over, which loses nothing either. Which item a window resembles is
+found by the fingerprints alone.
 
 Search: a fingerprint is cut into ``BLOCKS`` blocks. If two fingerprints differ in at most
 ``RADIUS`` bits, then in at least one block they differ in at most ``RADIUS // BLOCKS`` bits. Each
@@ -17,7 +19,7 @@ verified by exact weighted Jaccard similarity (sum of the smaller shingle counts
 the larger). A match is a similarity of at least ``THRESHOLD``.
 
 A pair at the threshold is expected to differ in about 19 of the 128 bits, with a deviation of 4;
-``RADIUS`` leaves three deviations. Equal passages differ in none.
+``RADIUS`` leaves more than six deviations. Equal passages differ in none.
 
 Items are the small side: at most ``MAX_ITEMS`` of them reach the driver and the tasks at a time;
 a larger benchmark is dealt over several passes. Documents are read row by row without a shuffle;
@@ -47,7 +49,7 @@ WIDTH = 5
 THRESHOLD = 0.8
 BITS = 128
 BLOCKS = 16
-RADIUS = 31
+RADIUS = 47
 PIECE = 4096  # shingles whose windows are in memory at a time
 MAX_ITEMS = 100_000
 _WORD = re.compile(r"\w+")
@@ -63,11 +65,20 @@ def votes(hashes: np.ndarray) -> np.ndarray:
     return np.unpackbits(both.view(np.uint8), axis=1)
 
 
+def running(bits: np.ndarray) -> np.ndarray:
+    sums = np.zeros((len(bits) + 1, *bits.shape[1:]), np.int32)
+    np.cumsum(bits, axis=0, out=sums[1:])
+    return sums
+
+
 def window_prints(bits: np.ndarray, size: int) -> np.ndarray:
     """Fingerprints of all windows of ``size`` rows, as BLOCKS bytes each: the bitwise majority."""
-    sums = np.zeros((len(bits) + 1, BITS), np.int32)
-    np.cumsum(bits, axis=0, out=sums[1:])
-    return np.packbits(2 * (sums[size:] - sums[:-size]) > size, axis=1)
+    return _prints(running(bits), size, np.arange(len(bits) - size + 1))
+
+
+def _prints(sums: np.ndarray, size: int, rows: np.ndarray) -> np.ndarray:
+    """Fingerprints of the windows that begin at ``rows``, from the running sums of the votes."""
+    return np.packbits(2 * (sums[rows + size] - sums[rows]) > size, axis=1)
 
 
 class Item:
@@ -148,18 +159,30 @@ class Matcher:
             hits = hits[known[np.minimum(np.searchsorted(known, hashes[hits]), len(known) - 1)] == hashes[hits]]
             if not len(hits):
                 continue
+            held = np.zeros(len(hashes), bool)
+            held[hits] = True
             largest = max(sizes)
             for group in np.split(hits, np.flatnonzero(np.diff(hits) > largest) + 1):
                 lo, hi = max(0, int(group[0]) - largest + 1), min(len(hashes), int(group[-1]) + largest)
                 for at in range(lo, max(lo + 1, hi - largest + 1), PIECE):
-                    self._scan(hashes[at:min(hi, at + PIECE + largest - 1)], at, sizes, best)
+                    end = min(hi, at + PIECE + largest - 1)
+                    self._scan(hashes[at:end], held[at:end], at, sizes, best)
         return best
 
-    def _scan(self, piece: np.ndarray, at: int, sizes: dict[int, HammingIndex], best: dict) -> None:
-        bits = votes(piece)
-        for size, index in sizes.items():
-            size = min(size, len(piece))
-            for row, item in index.within(window_prints(bits, size)):
+    def _scan(self, piece: np.ndarray, held: np.ndarray, at: int, sizes: dict[int, HammingIndex], best: dict) -> None:
+        """``held``: which shingles of the piece are in the benchmark."""
+        known, sums = running(held), None
+        for full, index in sizes.items():
+            size = min(full, len(piece))
+            # similarity is shared / (full + size - shared), and only benchmark shingles are shared
+            least = self.threshold * (full + size) / (1 + self.threshold) - 1e-6
+            rows = np.flatnonzero(known[size:] - known[:-size] >= least)
+            if not len(rows):
+                continue
+            if sums is None:
+                sums = running(votes(piece))
+            for k, item in index.within(_prints(sums, size, rows)):
+                row = int(rows[k])
                 value = item.similarity(piece[row:row + size])
                 old = best.get(item.number)
                 if value >= self.threshold and (old is None or (-value, at + row) < (-old[0], old[1])):

@@ -179,6 +179,14 @@ def test_index_finds_every_fingerprint_within_the_radius():
     assert {(i, x.number) for i, x in index.within(prints)} == want
 
 
+@pytest.mark.parametrize("seed", [393, 50012, 56921])
+def test_pair_at_the_threshold_with_far_fingerprints(seed):
+    """22 words with the last two changed share 16 of 18 shingles, similarity 0.8; these differ in 32 to 36 bits."""
+    text = words(seed, 22)
+    changed = " ".join(text.split()[:20] + [f"new{seed}", f"end{seed}"])
+    assert decontam.Matcher([(7, text)]).search(changed) == {7: (0.8, 0)}
+
+
 def test_decontamination_odd_rows(odd, nothing, benchmark_items, spark):
     assert decontam.matches(odd, benchmark_items).count() == 0 and decontam.clean(odd, benchmark_items).count() == odd.count()
     assert decontam.clean(odd, benchmark_items).columns == odd.columns
