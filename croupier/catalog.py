@@ -54,9 +54,9 @@ def register(name: str, fn: Callable[[Warehouse], DataFrame], sql: str | None) -
 
 
 def entries() -> dict[str, Entry]:
-    if not _ENTRIES:
-        from croupier import (catalog_entries, catalog_evidence, catalog_more, catalog_rules,  # noqa: F401  (fill the registry)
-                              catalog_import, catalog_layers, catalog_ml, catalog_pages, catalog_scores, catalog_semantic)
+    """All entries: every catalog module is imported here, whichever of them was imported before."""
+    from croupier import (catalog_entries, catalog_evidence, catalog_more, catalog_rules,  # noqa: F401  (fill the registry)
+                          catalog_import, catalog_layers, catalog_ml, catalog_pages, catalog_scores, catalog_semantic)
     return _ENTRIES
 
 
