@@ -121,3 +121,31 @@ DECONTAMINATION = r"""WITH
     best AS (SELECT *, CAST(k AS DOUBLE) / CAST(m + size - k AS DOUBLE) AS similarity FROM shared
              QUALIFY row_number() OVER (PARTITION BY rid, iid ORDER BY similarity DESC, lo) = 1)
     SELECT d.doc_id, i.item_id, similarity, lo AS start_word FROM best JOIN docs d USING (rid) JOIN items i USING (iid) WHERE similarity >= 0.8"""
+
+
+def _centroid_clustering(rounds: int = 3) -> str:
+    """Plain Lloyd rounds: every vector against every centroid, in whole numbers."""
+    near = """SELECT rid, any_value(vec_id) AS vec_id, any_value(v) AS v, min({{'d': d, 'c': c}}) AS m FROM (
+                SELECT k.rid, k.vec_id, k.v, z.c, list_sum([(k.v[i] - z.v[i]) * (k.v[i] - z.v[i]) FOR i IN range(1, 65)])::BIGINT AS d
+                FROM kept k, c{r} z) GROUP BY rid"""
+    steps = []
+    for r in range(rounds):
+        steps.append(f"""a{r} AS ({near.format(r=r)}),
+        s{r} AS (SELECT c, i, sum(x) AS t, count(*) AS n
+                 FROM (SELECT m.c AS c, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM a{r}) GROUP BY c, i),
+        m{r} AS (SELECT c, list(((t - ((t % n) + n) % n) // n)::BIGINT ORDER BY i) AS v FROM s{r} GROUP BY c),
+        c{r + 1} AS (SELECT o.c, coalesce(w.v, o.v) AS v FROM c{r} o LEFT JOIN m{r} w USING (c))""")
+    return f"""WITH kept AS (
+            SELECT row_number() OVER () AS rid, vec_id, [floor(64 * x::DOUBLE)::BIGINT FOR x IN embedding] AS v FROM embeddings
+            WHERE len(embedding) = 64 AND len([1 FOR x IN embedding IF x IS NOT NULL AND isfinite(x) AND abs(x) <= 1000000]) = 64),
+        c0 AS (SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id), v) - 1 AS c, v FROM kept
+               QUALIFY row_number() OVER (ORDER BY sha256('1:' || vec_id), v) <= 16),
+        {", ".join(steps)},
+        last AS ({near.format(r=rounds)}),
+        per AS (SELECT m.c AS c, sum(m.d)::BIGINT AS own FROM last GROUP BY 1)
+        SELECT vec_id, m.c::INT AS cluster, m.d AS distance, own AS cluster_inertia, (SELECT sum(own)::BIGINT FROM per) AS inertia,
+               sha256(array_to_string(z.v, ',')) AS centroid_sha256
+        FROM last JOIN per ON per.c = last.m.c JOIN c{rounds} z ON z.c = last.m.c"""
+
+
+CENTROID_CLUSTERING = _centroid_clustering()

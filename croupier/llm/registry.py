@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from croupier.llm import bpe, decontam, huffman, langid, lm_score, lsh_forest, oracles, pii, quality_cnn, quality_rules, secrets
+from croupier.llm import bpe, decontam, heap_kmeans, huffman, langid, lm_score, lsh_forest, oracles, pii, quality_cnn, quality_rules, secrets
 from croupier.llm.common import documents
 
 
@@ -52,6 +52,10 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lsh_forest.near_duplicates(documents(spark, sf_dir))
 
 
+def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return heap_kmeans.digests(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -69,6 +73,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_lm_scoring": op8_lm_scoring,
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
+    "op13_centroid_clustering": op13_centroid_clustering,
     "pipeline": pipeline,
 }
 
@@ -77,4 +82,5 @@ ORACLE_SQL: dict[str, str] = {
     "op7_quality_rules": oracles.QUALITY_RULES,
     "op9_benchmark_decontamination": oracles.DECONTAMINATION,
     "op10_ngram_jaccard_join": oracles.NGRAM_JACCARD_JOIN,
+    "op13_centroid_clustering": oracles.CENTROID_CLUSTERING,
 }
