@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from croupier.llm import bpe, decontam, heap_kmeans, huffman, langid, lm_score, lsh_forest, oracles, pii, quality_cnn, quality_rules, secrets, spelling
+from croupier.llm import bpe, decontam, heap_kmeans, huffman, langid, lm_score, lsh_forest, oracles, packing, pii, quality_cnn, quality_rules, secrets, spelling
 from croupier.llm.common import documents
 
 
@@ -52,6 +52,10 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lsh_forest.near_duplicates(documents(spark, sf_dir))
 
 
+def op11_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.digests(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.group(documents(spark, sf_dir))
 
@@ -77,6 +81,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_lm_scoring": op8_lm_scoring,
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
+    "op11_best_fit_packing": op11_best_fit_packing,
     "op12_spelling_variants": op12_spelling_variants,
     "op13_centroid_clustering": op13_centroid_clustering,
     "pipeline": pipeline,
