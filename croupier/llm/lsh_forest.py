@@ -299,16 +299,17 @@ def _left(depth: int, threshold: float) -> float:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One document of each component (its smallest id) with all columns; rows with a NULL id stay.
+    """One row of each component, with all its columns: the smallest doc_id, then the smallest hash of the text.
 
-    A repeated row (same id) is kept once.
+    Rows, not ids, are compared and removed: rows that share an id, or have none, are documents
+    of their own, and unlike texts under one id all stay. A NULL id counts as the largest. Rows equal in id and text
+    are copies. Texts without words link to nothing, so such rows all stay.
     """
-    joined = near_duplicates(docs)
-    gone = written(joined.filter("doc_id IS NOT NULL AND doc_id != class_id").select(F.col("doc_id").alias("_gone")).distinct(), "forest-gone")
-    repeated = written(joined.filter("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("_twice"))
-                       .agg(F.count("*").alias("n")).filter("n > 1").select("_twice"), "forest-repeated")
-    left = docs.join(gone, docs.doc_id == gone._gone, "left_anti")
-    if repeated.limit(1).count() == 0:
-        return left
-    once = left.join(repeated, left.doc_id == repeated._twice, "left_semi").dropDuplicates(["doc_id"])
-    return left.join(repeated, left.doc_id == repeated._twice, "left_anti").unionByName(once)
+    taken = {c.lower() for c in docs.columns}
+    number = next(c for c in ("row", *(f"row_{i}" for i in range(len(taken) + 1))) if c not in taken)
+    rows = written(docs.withColumn(number, F.monotonically_increasing_id()), "forest-rows")
+    found = near_duplicates(rows.select(F.col(number).alias("doc_id"), "text")).select(F.col("doc_id").alias(number), "class_id")
+    order = rows.select(number, F.col("doc_id").isNull().alias("last"), "doc_id", F.xxhash64("text").alias("text"))
+    first = found.join(order, number).groupBy("class_id").agg(F.min(F.struct("last", "doc_id", "text", number)).alias("first"))
+    kept = first.select(F.col(f"first.{number}").alias(number))
+    return rows.join(kept, number, "left_semi").drop(number)

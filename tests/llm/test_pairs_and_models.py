@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from croupier.llm import decontam, lm_score, lsh_forest
+from croupier.llm.common import written
 
 from .conftest import words
 
@@ -116,6 +117,20 @@ def test_near_duplicates_odd_rows(odd, nothing):
     assert lsh_forest.keep_one(nothing).count() == 0
 
 
+def test_keep_one_removes_rows_not_ids(spark):
+    """Unlike texts that share an id, or have none, all stay; of near copies the smallest id stays."""
+    a, b = words(21, 90), words(22, 90)
+    near = a.split()
+    near[40] = "changed"
+    rows = [(1, a), (7, b), (7, words(23, 90)), (9, b), (3, " ".join(near)), (None, words(24, 90)), (None, b), (None, words(25, 90)),
+            (2, None), (2, None), (2, ""), (11, words(26, 90)), (11, words(26, 90))]
+    docs = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, row int").repartition(3)
+    kept = lsh_forest.keep_one(docs)
+    numbers = {r.row for r in kept.collect()}
+    assert numbers - {11, 12} == {0, 1, 2, 5, 7, 8, 9, 10} and len(numbers) == 9 and kept.columns == docs.columns
+
+
+
 def brute_matches(docs, items, threshold=0.8):
     cut = lambda t: re.findall(r"\w+", (t or "").lower())
     out = {}
@@ -248,7 +263,7 @@ def test_scores_group_counts_not_occurrences(spark, monkeypatch):
     """A hot bigram is one entry per block in its bucket; smaller buckets hold less and score the same."""
     rows = [(i, "hot pair " * 4000 + words(i, 50)) for i in range(12)]
     docs, wanted = spark.createDataFrame(rows, "doc_id long, text string").repartition(3), spark.createDataFrame([(1,), (5,)], "doc_id long")
-    blocks = lm_score._blocks(docs, None).localCheckpoint()
+    blocks = written(lm_score._blocks(docs, None), "test-blocks")
     groups = lm_score._counts(blocks, lm_score._classes(blocks, wanted), 4).collect()
     entries = sum(lm_score._unpack64(r.pairs, 5).shape[1] for r in groups if r.pairs)
     assert blocks.count() <= 3 and entries <= 12 * 52 + 3 * 3
