@@ -6,20 +6,19 @@ check); the next-best-action summary is computed from the closed-form score tabl
 
 from __future__ import annotations
 
-from functools import reduce
+import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from croupier.catalog import S_MAIN, register
-from croupier.ml import models, series
+from croupier.ml import forecasts, models, series, training
 from croupier.oracle import q, scores_ctes
 from croupier.plans.scores import DEFAULT_CUTOFF, next_best_actions_table
 from croupier.queries import overview, pages
 from croupier.scope import Scope
 
 S_ALL = Scope("1995-01-01", "2001-12-31")
-CHURN_DAYS, LTV_DAYS = (7, 14, 30), (30, 90, 180)
 
 
 def _cached(wh, key: str, build):
@@ -32,26 +31,29 @@ def _cached(wh, key: str, build):
     return results[key]
 
 
+def trained(wh) -> dict[str, DataFrame]:
+    """The written tables of one training run over the warehouse: all horizons, forecasters and anomalies."""
+    from croupier.session import shared_dir
+
+    run_id = uuid.uuid4().hex[:12]
+    return _cached(wh, "trained", lambda: training.train(wh, shared_dir(wh.spark, f"croupier-models-{run_id}"), DEFAULT_CUTOFF, run_id))
+
+
 def backtest(wh) -> DataFrame:
-    return _cached(wh, "backtest", lambda: series.forecast_backtest(wh).checkpoint(eager=True))
+    return _cached(wh, "backtest", lambda: forecasts.forecast_backtest(wh).checkpoint(eager=True))
 
 
 def anomaly_rows(wh) -> DataFrame:
     return _cached(wh, "anomalies", lambda: series.anomalies(wh).checkpoint(eager=True))
 
 
-def trained(wh, kind: str, days: int) -> tuple[DataFrame, DataFrame]:
-    """(scores, metrics) of one churn or LTV horizon."""
-    fit = models.train_churn if kind == "churn" else models.train_ltv
-    return _cached(wh, f"{kind}{days}", lambda: tuple(x.checkpoint(eager=True) for x in fit(wh, days, DEFAULT_CUTOFF)))
+def with_trained_scores(wh):
+    """The warehouse with the trained ``model_scores`` in place of the closed form."""
+    return type(wh)(wh.spark, raw=wh.raw, tables={**wh._tables, "model_scores": trained(wh)["model_scores"].drop("import_run_id")})
 
 
-def all_metrics(wh) -> DataFrame:
-    fm = series.forecast_metrics(backtest(wh)).select(
-        "model_name", "horizon_days", "split", "metric_name", "metric_value",
-        F.lit(series.MODEL_VERSION).alias("model_version"), F.current_timestamp().cast("timestamp").alias("measured_at"))
-    parts = [trained(wh, "churn", d)[1] for d in CHURN_DAYS] + [trained(wh, "ltv", d)[1] for d in LTV_DAYS]
-    return reduce(DataFrame.unionByName, [*parts, fm])
+def metrics_of(wh, kind: str, days: int) -> DataFrame:
+    return trained(wh)["model_metrics"].filter(F.col("model_name") == f"{kind}_{days}d")
 
 
 # every fact row as one event, measured where it has something to measure
@@ -131,11 +133,56 @@ spread AS (SELECT *, round(CASE WHEN seen >= 7 THEN recent ELSE whole END, 6) AS
 scaled AS (SELECT *, round(median(abs(value - usual)) OVER (PARTITION BY metric), 6) AS typical FROM spread),
 scored AS (SELECT *, round(abs(value - usual) / NULLIF(typical, 0), 6) AS score FROM scaled),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY metric ORDER BY score DESC NULLS LAST, date) AS place, count(*) OVER (PARTITION BY metric) AS n FROM scored)"""))
-for _kind, _spans in (("churn", CHURN_DAYS), ("ltv", LTV_DAYS)):
+for _kind, _spans in training.KINDS.items():
     for _days in _spans:
-        register(f"ml_{_kind}_{_days}d_scores", lambda wh, k=_kind, d=_days: trained(wh, k, d)[0], None)
-        register(f"ml_{_kind}_{_days}d_metrics", lambda wh, k=_kind, d=_days: trained(wh, k, d)[1].drop("measured_at"), None)
+        register(f"ml_{_kind}_{_days}d_scores", lambda wh, c=training.column(_kind, _days): trained(wh)["model_scores"].select("player_id", "observed_value", c), None)
+        register(f"ml_{_kind}_{_days}d_metrics", lambda wh, k=_kind, d=_days: metrics_of(wh, k, d).drop("measured_at"), None)
+register("ml_model_scores_trained", lambda wh: trained(wh)["model_scores"].drop("import_run_id"), None)
+register("ml_model_list", lambda wh: trained(wh)["model_list"], None)
 register("ml_run_report", lambda wh: series.run_report(wh.model_scores, anomaly_rows(wh)), None)
+register("ml_market_forecast", forecasts.market_backtest, None)
+register("ml_risk_summary_trained", lambda wh: overview.risk_summary(with_trained_scores(wh), S_MAIN), None)
+
+# every horizon's snapshots, from events joined to their cut-offs by range
+_SPECS = ", ".join(f"({s.horizon}, '{s.split}', DATE '{s.cutoff}', TIMESTAMP '{s.cutoff} 23:59:59')" for s in models.specs_for(DEFAULT_CUTOFF))
+TEMPORAL_CTES = f"""
+specs AS (SELECT * FROM (VALUES {_SPECS}) AS v(horizon, split, cutoff, cut)),
+happened AS (
+  SELECT player_id, session_start AS t, 'c' AS kind, casino_ggr AS ggr, total_bet_amount AS put, duration_minutes AS minutes, bet_count AS bets, game_id AS game, NULL AS status, NULL AS method FROM fact_casino_session
+  UNION ALL SELECT player_id, bet_date, 's', sportsbook_ggr, stake, NULL, NULL, NULL, NULL, NULL FROM fact_sports_bet
+  UNION ALL SELECT player_id, transaction_date, left(transaction_type, 1), NULL, amount, NULL, NULL, NULL, transaction_status, payment_method FROM fact_transaction),
+known_by AS (
+  SELECT s.horizon, s.split, s.cutoff, s.cut, h.player_id, h.t <= s.cut AS old, h.* EXCLUDE (player_id), h.status = 'Approved' AS ok
+  FROM specs s JOIN happened h ON h.t <= s.cut + to_days(s.horizon)),
+summed AS (
+  SELECT horizon, split, cutoff, cut, player_id, COUNT(*) FILTER (old AND kind = 'c') AS session_count, COUNT(DISTINCT CAST(t AS DATE)) FILTER (old AND kind = 'c') AS active_days,
+    MAX(t) FILTER (old AND kind = 'c') AS last_session, MAX(t) FILTER (old AND kind = 's') AS last_bet, SUM(put) FILTER (old AND kind = 'c') AS total_bets,
+    SUM(ggr) FILTER (old) AS historical_ggr, AVG(minutes) FILTER (old) AS avg_duration, MAX(minutes) FILTER (old) AS max_duration, COUNT(DISTINCT game) FILTER (old) AS distinct_games,
+    SUM(bets) FILTER (old) AS bet_count, COUNT(*) FILTER (old AND ok AND kind = 'D') AS deposit_count, SUM(put) FILTER (old AND ok AND kind = 'D') AS deposit_amount,
+    COUNT(*) FILTER (old AND ok AND kind = 'W') AS withdrawal_count, SUM(put) FILTER (old AND ok AND kind = 'W') AS withdrawal_amount,
+    CAST(COUNT(*) FILTER (old AND status = 'Declined') AS DOUBLE) / NULLIF(COUNT(status) FILTER (old), 0) AS decline_rate, COUNT(DISTINCT method) FILTER (old) AS payment_methods,
+    COUNT(*) FILTER (old AND kind = 's') AS sports_bets, SUM(put) FILTER (old AND kind = 's') AS sports_stake, SUM(ggr) FILTER (old AND kind = 's') AS sports_ggr,
+    COUNT(*) FILTER (NOT old AND kind IN ('c', 's')) AS future_activity, SUM(ggr) FILTER (NOT old) AS future_ggr
+  FROM known_by GROUP BY ALL)"""
+_MONEY = ("total_bets", "historical_ggr", "deposit_amount", "withdrawal_amount", "sports_stake", "sports_ggr", "future_ggr")
+_COUNTS = ("session_count", "active_days", "distinct_games", "bet_count", "deposit_count", "withdrawal_count", "payment_methods", "sports_bets", "future_activity")
+
+
+def temporal_rows(wh) -> DataFrame:
+    d = models.temporal_dataset(wh, DEFAULT_CUTOFF)
+    return d.select("horizon", "split", "cutoff", "player_id", "country", "channel", "device", "vip_level", "kyc_status", F.col("tenure_days").cast("bigint").alias("tenure_days"),
+                    F.col("recency_days").cast("bigint").alias("recency_days"), *[F.col(c).cast("bigint").alias(c) for c in _COUNTS],
+                    *[F.col(c).cast("double").alias(c) for c in _MONEY], F.round("avg_duration", 6).alias("avg_duration"), "max_duration",
+                    F.round("decline_rate", 9).alias("decline_rate"), "last_activity")
+
+
+register("ml_temporal_dataset", temporal_rows, q(f"""
+SELECT horizon, split, cutoff, player_id, country, channel, device, vip_level, kyc_status, CAST(cutoff - CAST(registration_at AS DATE) AS BIGINT) AS tenure_days,
+  CAST(least(COALESCE(cutoff - CAST(last_session AS DATE), 999), COALESCE(cutoff - CAST(last_bet AS DATE), 999)) AS BIGINT) AS recency_days,
+  {", ".join(f"CAST(COALESCE({c}, 0) AS BIGINT) AS {c}" for c in _COUNTS)}, {", ".join(f"CAST(COALESCE({c}, 0) AS DOUBLE) AS {c}" for c in _MONEY)},
+  round(COALESCE(avg_duration, 0.0), 6) AS avg_duration, COALESCE(max_duration, 0.0) AS max_duration, round(COALESCE(decline_rate, 0.0), 9) AS decline_rate,
+  greatest(COALESCE(last_session, last_bet), COALESCE(last_bet, last_session)) AS last_activity
+FROM summed JOIN dim_player USING (player_id) WHERE registration_at <= cut - INTERVAL 14 DAY AND session_count + sports_bets + deposit_count > 0""", TEMPORAL_CTES))
 
 # dashboard reads of the model tables
 register("overview_revenue_forecast", lambda wh: overview.revenue_forecast(series.revenue_forecast(backtest(wh))), None)
@@ -143,7 +190,7 @@ register("ai_anomalies", lambda wh: anomaly_rows(wh).filter(S_ALL.date_in("detec
     "detected_date", "metric", "current_value", "usual_value", "anomaly_score", "severity", "method").orderBy(F.desc("anomaly_score")), None)
 register("ai_forecast_backtest", lambda wh: backtest(wh).filter(S_ALL.date_in("forecast_date")).select(
     "metric", "forecast_date", "actual_value", "predicted_value", "lower_bound", "upper_bound", "split").orderBy("forecast_date"), None)
-register("ai_ml_metrics", lambda wh: all_metrics(wh).drop("measured_at").orderBy("model_name", "split", "metric_name"), None)
+register("ai_ml_metrics", lambda wh: trained(wh)["model_metrics"].drop("measured_at").orderBy("model_name", "split", "metric_name"), None)
 register("ai_next_best_action_summary", lambda wh: next_best_actions_table(wh).groupBy("recommended_action").agg(
     F.count(F.lit(1)).cast("bigint").alias("players"), F.sum("estimated_value_at_stake").cast("double").alias("value_at_stake"),
     (F.sum("action_confidence").cast("double") / F.count("action_confidence")).alias("confidence")).orderBy(F.desc("value_at_stake")),
@@ -152,7 +199,7 @@ register("ai_next_best_action_summary", lambda wh: next_best_actions_table(wh).g
       scores_ctes(DEFAULT_CUTOFF)))
 register("pages_forecast_outlook", lambda wh: pages.forecast_outlook(wh, S_MAIN.with_country("NATION_7"), series.revenue_forecast(backtest(wh))), None)
 register("pages_weekly_forecast", lambda wh: pages.weekly_forecast(series.revenue_forecast(backtest(wh))), None)
-register("pages_ml_scorecard", lambda wh: pages.ml_scorecard(all_metrics(wh), anomaly_rows(wh), next_best_actions_table(wh)), None)
+register("pages_ml_scorecard", lambda wh: pages.ml_scorecard(trained(wh)["model_metrics"], anomaly_rows(wh), next_best_actions_table(wh)), None)
 
 
 def _streamed(wh) -> DataFrame:

@@ -1,8 +1,8 @@
 """Churn classifiers and remaining-LTV regressors on temporal snapshots.
 
-Training data is the union of player snapshots at several cutoffs before the scoring
-cutoff (train / validation / test, latest window untouched until metrics are recorded),
-fitted with MLlib pipelines: median imputation + scaling for numbers, mode imputation, index
+Training data are player snapshots at several cutoffs before the scoring cutoff (train /
+validation / test, latest window untouched until metrics are recorded), all taken in one pass over
+the facts and fitted with MLlib pipelines: median imputation + scaling for numbers, mode imputation, index
 and one-hot for categories (unknown categories kept in their own bucket), gradient-boosted trees.
 """
 
@@ -10,8 +10,6 @@ from __future__ import annotations
 
 import datetime as dt
 import math
-from functools import reduce
-
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
@@ -22,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from croupier.operators.quantiles import exact_quantile_row
-from croupier.plans.scores import snapshot
+from croupier.ml.snapshots import Spec, snapshots
 
 # ---- fixed values ------------------------------------------------------------------
 NUMERIC_FEATURES = [
@@ -51,11 +49,14 @@ def cutoffs_for(scoring_cutoff: str, horizon: int) -> dict[str, list[str]]:
     return {split: [(base + dt.timedelta(days=o)).isoformat() for o in offs] for split, offs in TEMPORAL_WINDOWS[horizon].items()}
 
 
-def temporal_dataset(wh, horizon: int, scoring_cutoff: str) -> DataFrame:
-    """Stacked snapshots with their split label and outcome over ``horizon`` days."""
-    parts = [snapshot(wh, c, horizon).withColumn("split", F.lit(split)).withColumn("cutoff", F.lit(c))
-             for split, cs in cutoffs_for(scoring_cutoff, horizon).items() for c in cs]
-    return reduce(DataFrame.unionByName, parts)
+def specs_for(scoring_cutoff: str, horizons=tuple(TEMPORAL_WINDOWS)) -> list[Spec]:
+    return [Spec(c, h, split) for h in horizons for split, cs in cutoffs_for(scoring_cutoff, h).items() for c in cs]
+
+
+def temporal_dataset(wh, scoring_cutoff: str, horizons=tuple(TEMPORAL_WINDOWS), current: bool = False) -> DataFrame:
+    """Stacked snapshots with their horizon, split and outcome, all horizons in one pass over each
+    fact; with ``current`` also the players to be scored (horizon 1, split 'current')."""
+    return snapshots(wh, specs_for(scoring_cutoff, horizons) + [Spec(scoring_cutoff, 1, "current")] * current)
 
 
 def _numeric(df: DataFrame) -> DataFrame:
@@ -122,50 +123,65 @@ def regression_metrics(pred: DataFrame) -> dict[str, float]:
 def metric_rows(spark, model: str, horizon, split: str, values: dict, measured_at: dt.datetime) -> DataFrame:
     """Long metric rows rounded to five places."""
     rows = [(model, horizon, split, k, round(float(v), 5), MODEL_VERSION, measured_at) for k, v in values.items()]
-    return spark.createDataFrame(rows, "model_name string, horizon_days int, split string, metric_name string, "
-                                       "metric_value double, model_version string, measured_at timestamp")
-
-
-def train_churn(wh, horizon: int, scoring_cutoff: str, current: DataFrame | None = None, model_path: str | None = None):
-    """Fit on train, record validation and test metrics, refit on train+validation, score
-    the current snapshot. Returns (predictions, metrics)."""
-    spark = wh.spark
-    now = dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
-    data = _numeric(temporal_dataset(wh, horizon, scoring_cutoff)).withColumn("label", (F.col("future_activity") == 0).cast("double"))
-    data = data.checkpoint(eager=True)
-    gbt = GBTClassifier(featuresCol="features", labelCol="label", weightCol="weight", **GBT_PARAMS)
-    pipe = Pipeline(stages=preprocess_stages() + [gbt])
-    train = _balanced(data.filter(F.col("split") == "train"))
-    model = pipe.fit(train)
-    metrics = [metric_rows(spark, f"churn_{horizon}d", horizon, s, classification_metrics(model.transform(data.filter(F.col("split") == s))), now)
-               for s in ("validation", "test")]
-    final = pipe.fit(_balanced(data.filter(F.col("split").isin("train", "validation"))))
-    if model_path:
-        final.write().overwrite().save(f"{model_path}/churn_{horizon}d")
-    cur = _numeric(current if current is not None else snapshot(wh, scoring_cutoff, 1))
-    pred = final.transform(cur).select("player_id", vector_to_array("probability")[1].alias(f"churn_probability_{horizon}d"))
-    return pred, reduce(DataFrame.unionByName, metrics)
-
-
-def train_ltv(wh, horizon: int, scoring_cutoff: str, current: DataFrame | None = None, model_path: str | None = None):
-    """Absolute-loss GBT on max(future GGR, 0), predictions floored at 0."""
-    spark = wh.spark
-    now = dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
-    data = _numeric(temporal_dataset(wh, horizon, scoring_cutoff)).withColumn(
-        "label", F.greatest(F.col("future_ggr").cast("double"), F.lit(0.0))).checkpoint(eager=True)
-    gbt = GBTRegressor(featuresCol="features", labelCol="label", lossType="absolute", **GBT_PARAMS)
-    pipe = Pipeline(stages=preprocess_stages() + [gbt])
-    model = pipe.fit(data.filter(F.col("split") == "train"))
-    floor = lambda df: df.withColumn("pred", F.greatest(F.col("prediction"), F.lit(0.0)))
-    metrics = [metric_rows(spark, f"ltv_{horizon}d", horizon, s, regression_metrics(floor(model.transform(data.filter(F.col("split") == s)))), now)
-               for s in ("validation", "test")]
-    final = pipe.fit(data.filter(F.col("split").isin("train", "validation")))
-    if model_path:
-        final.write().overwrite().save(f"{model_path}/ltv_{horizon}d")
-    cur = _numeric(current if current is not None else snapshot(wh, scoring_cutoff, 1))
-    pred = floor(final.transform(cur)).select("player_id", F.col("historical_ggr").cast("double").alias("observed_value"),
-                                              F.col("pred").alias(f"remaining_ltv_{horizon}d"))
-    return pred, reduce(DataFrame.unionByName, metrics)
+    return spark.createDataFrame(rows, METRIC_SCHEMA)
+
+
+METRIC_SCHEMA = ("model_name string, horizon_days int, split string, metric_name string, metric_value double, model_version string, "
+                 "measured_at timestamp")
+
+
+def _labelled(data: DataFrame, kind: str) -> DataFrame:
+    """Churn: no activity in the outcome window. LTV: the window's GGR, not below zero."""
+    label = (F.col("future_activity") == 0).cast("double") if kind == "churn" else F.greatest(F.col("future_ggr").cast("double"), F.lit(0.0))
+    return _numeric(data).withColumn("label", label)
+
+
+def _weighted(data: DataFrame, kind: str) -> DataFrame:
+    return _balanced(data) if kind == "churn" else data
+
+
+def _pipeline(kind: str, params: dict) -> Pipeline:
+    last = (GBTClassifier(featuresCol="features", labelCol="label", weightCol="weight", **params) if kind == "churn"
+            else GBTRegressor(featuresCol="features", labelCol="label", lossType="absolute", **params))
+    return Pipeline(stages=preprocess_stages() + [last])
+
+
+def predicted(model: PipelineModel, kind: str, rows: DataFrame) -> DataFrame:
+    """``rows`` (with their n_ columns) and ``value``: churn probability, or remaining LTV not below zero."""
+    out = model.transform(rows)
+    value = vector_to_array("probability")[1] if kind == "churn" else F.greatest(F.col("prediction"), F.lit(0.0))
+    return out.withColumn("value", value)
+
+
+def trainable(data: DataFrame, kind: str) -> bool:
+    """Whether every split has rows and, for churn, both outcomes occur in training and validation together."""
+    n = {r["split"]: r for r in data.groupBy("split").agg(F.count(F.lit(1)).alias("n"), F.sum((F.col("future_activity") == 0).cast("int")).alias("gone"),
+                                                          F.min("future_activity").alias("least"), F.max("future_activity").alias("most")).collect()}
+    if any(s not in n for s in ("train", "validation", "test")):
+        return False
+    return kind != "churn" or 0 < n["train"]["gone"] < n["train"]["n"]
+
+
+def fit(data: DataFrame, kind: str, horizon: int, params: dict | None = None) -> tuple[PipelineModel | None, list[tuple]]:
+    """Fit on train, measure on validation and test, refit on train and validation.
+
+    ``data`` holds the snapshots of one horizon. Returns the refitted pipeline and (model, horizon, split,
+    metric, value) rows; no pipeline where the data cannot train one.
+    """
+    if not trainable(data, kind):
+        return None, []
+    data = _labelled(data, kind)
+    pipe = _pipeline(kind, {**GBT_PARAMS, **(params or {})})
+    first = pipe.fit(_weighted(data.filter("split = 'train'"), kind))
+    rows = []
+    for split in ("validation", "test"):
+        seen = data.filter(F.col("split") == split)
+        if kind == "churn":
+            values = classification_metrics(first.transform(seen))
+        else:
+            values = regression_metrics(predicted(first, kind, seen).withColumnRenamed("value", "pred"))
+        rows += [(f"{kind}_{horizon}d", horizon, split, k, round(float(v), 5)) for k, v in values.items()]
+    return pipe.fit(_weighted(data.filter("split IN ('train', 'validation')"), kind)), rows
 
 
 def load_model(path: str) -> PipelineModel:

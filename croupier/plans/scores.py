@@ -176,14 +176,9 @@ def next_best_action(scored: DataFrame, cut: dict[str, float] | None = None) ->
     )
 
 
-def model_scores(wh) -> DataFrame:
-    """``model_scores``: one row per scored player."""
-    cutoff = getattr(wh, "scoring_cutoff", None) or DEFAULT_CUTOFF
-    snap = snapshot(wh, cutoff, 1)
-    scored = rule_scores(snap)
-    scored = _stable(wh, scored)
-    nba = next_best_action(scored)
-    return nba.select(
+def assembled(scored: DataFrame, cutoff: str, version: str = MODEL_VERSION) -> DataFrame:
+    """The ``model_scores`` columns of scored snapshot rows, next best action included."""
+    return next_best_action(scored).select(
         "player_id",
         F.col("remaining_ltv_90d").alias("predicted_ltv_90d"), F.col("churn_probability_30d").alias("churn_probability"),
         "fraud_risk", "rg_risk", "churn_probability_7d", "churn_probability_14d", "churn_probability_30d",
@@ -192,10 +187,17 @@ def model_scores(wh) -> DataFrame:
         *[(F.col("historical_ggr") + F.col(f"remaining_ltv_{h}d")).alias(f"predicted_total_ltv_{h}d") for h in (30, 90, 180)],
         "recommended_action", F.col("action_confidence").alias("model_confidence"), "reason", "estimated_value_at_stake",
         F.col("last_activity").alias("last_session"), "session_count", F.col("historical_ggr").alias("lifetime_ggr"),
-        F.lit(MODEL_VERSION).alias("model_version"), cutoff_ts(cutoff).alias("scored_at"),
+        F.lit(version).alias("model_version"), cutoff_ts(cutoff).alias("scored_at"),
     )
 
 
+def model_scores(wh) -> DataFrame:
+    """``model_scores`` from the closed form: one row per scored player (N18). Trained models write the
+    same table, see ``croupier.ml.training``."""
+    cutoff = getattr(wh, "scoring_cutoff", None) or DEFAULT_CUTOFF
+    return assembled(_stable(wh, rule_scores(snapshot(wh, cutoff, 1))), cutoff)
+
+
 def _stable(wh, df: DataFrame) -> DataFrame:
     """Cut lineage once: the scored snapshot feeds five quantile scans and every score KPI.
 

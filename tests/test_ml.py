@@ -7,7 +7,7 @@ import numpy as np
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
-from croupier.ml import models, series
+from croupier.ml import forecasts, models, series
 
 
 def test_temporal_windows_are_ordered_and_leak_free():
@@ -40,7 +40,7 @@ def test_classification_metrics_match_brute_force(spark):
 
 def test_forecast_and_anomalies_contracts(wh):
     daily = series.daily_series(wh).cache()
-    bt = series.forecast_backtest(wh, daily).cache()
+    bt = forecasts.forecast_backtest(wh, daily).cache()
     counts = {r["split"]: r["n"] for r in bt.groupBy("split").agg(F.count(F.lit(1)).alias("n")).collect()}
     assert counts["future"] == 30 * len(series.TARGETS) and counts["validation"] > 0 and counts["test"] > 0
     assert bt.filter((F.col("predicted_value") < 0) | (F.col("lower_bound") < 0) | (F.col("upper_bound") < 0)).count() == 0
@@ -82,7 +82,7 @@ def test_forecast_follows_a_weekly_pattern(spark):
         d = dt.date(2000, 1, 1) + dt.timedelta(days=i)
         rows.append((d, *[100.0 + 30 * d.weekday()] * len(series.TARGETS)))
     daily = spark.createDataFrame(rows, "date date, " + ", ".join(f"{m} double" for m in series.TARGETS))
-    future = series.forecast_backtest(None, daily).filter("split = 'future' AND metric = 'ggr'").collect()
+    future = forecasts.forecast_backtest(None, daily).filter("split = 'future' AND metric = 'ggr'").collect()
     assert len(future) == 30
     assert max(abs(r["predicted_value"] - (100 + 30 * r["forecast_date"].weekday())) for r in future) < 10
 
