@@ -42,7 +42,8 @@ TWICE = 2
 RATIO = 10
 DROP = 31
 LONG = 64
-PER_CELL = 4  # words per 64-bit cell: 16 bits a word
+PER_CELL = 2  # words per 64-bit cell: 32 bits a word
+PROBED = 20_000  # words a task probes, about
 FILTER_CELLS = 1 << 22
 SEGMENT_CELLS = 1 << 13
 LETTERS = np.concatenate((np.arange(ord("a"), ord("z") + 1), np.arange(0xC0, 0x100))).astype(np.uint8)
@@ -241,7 +242,7 @@ def candidates(vocab: DataFrame, filter_cells: int = FILTER_CELLS) -> DataFrame:
     sizes = {r["s"]: r["k"] for r in vocab.groupBy(F.least(F.length("word"), F.lit(LONG)).alias("s")).agg(F.count(F.lit(1)).alias("k")).collect()}
     line = layout(sizes)
     end = sum(size for _, size in line.values())
-    out = None
+    tasks, out = int(spark.conf.get("spark.sql.shuffle.partitions")), None
     for lo in range(0, max(end, 1), filter_cells):
         hi = min(lo + filter_cells, end)
         sent = spark.sparkContext.broadcast(build_filter(vocab, line, lo, hi))  # at most filter_cells * 8 bytes
@@ -259,6 +260,7 @@ def candidates(vocab: DataFrame, filter_cells: int = FILTER_CELLS) -> DataFrame:
         size = F.least(F.length("word"), F.lit(LONG))
         # of the longest shard, words one longer lie in the shard itself
         own = vocab.filter(size.isin(touched) | (size - 1).isin(touched)).select("word", "n")
+        own = own.repartition(max(tasks, -(-sum(sizes.values()) // PROBED)))  # probing costs far more than the words' bytes suggest
         rows = written(own.mapInArrow(task, "word string, n long, edit string"), "spelling_edits")
         sent.destroy()
         out = rows if out is None else out.unionByName(rows)
