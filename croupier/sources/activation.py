@@ -15,6 +15,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from croupier.functions.exprs import MONEY, SCORE
+from croupier.plans.scores import LTV_TYPE
 from croupier.sources import csv_import as ci
 from croupier.sources.driver_tables import RawTables
 
@@ -49,12 +51,13 @@ def training_gate(frames: dict[str, DataFrame], first_train_cutoff: str, scoring
 
 
 def fallback_scores(players: DataFrame, scored_at: dt.datetime) -> DataFrame:
-    """One row per player without scores, with the action 'Missing data'."""
-    return players.select("player_id", *[F.lit(None).cast("double").alias(x) for x in NULL_SCORES],
-                          F.lit("Missing data").alias("recommended_action"), F.lit(None).cast("double").alias("model_confidence"),
-                          F.lit(None).cast("timestamp_ntz").alias("last_session"), F.lit(0).cast("bigint").alias("session_count"),
-                          F.lit(None).cast("double").alias("lifetime_ggr"), F.lit("unavailable").alias("model_version"),
-                          F.lit(scored_at).alias("scored_at"))
+    """One row per player without scores, with the action 'Missing data'; columns and types of ``model_scores``."""
+    null = lambda kind, name: F.lit(None).cast(kind).alias(name)
+    kinds = {x: SCORE if x.startswith("churn") or x.endswith("_risk") else LTV_TYPE for x in NULL_SCORES}
+    return players.select("player_id", *[null(k, x) for x, k in kinds.items()], F.lit("Missing data").alias("recommended_action"),
+                          null(SCORE, "model_confidence"), null("string", "reason"), null(LTV_TYPE, "estimated_value_at_stake"),
+                          null("timestamp_ntz", "last_session"), F.lit(0).cast("bigint").alias("session_count"), null(MONEY, "lifetime_ggr"),
+                          F.lit("unavailable").alias("model_version"), F.lit(scored_at).cast("timestamp_ntz").alias("scored_at"))
 
 
 def raw_tables_from_import(frames: dict[str, DataFrame]) -> RawTables:
