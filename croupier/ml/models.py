@@ -40,6 +40,7 @@ TEMPORAL_WINDOWS = {
 }
 CHURN_HORIZONS, LTV_HORIZONS = (7, 14, 30), (30, 90, 180)
 GBT_PARAMS = {"maxIter": 70, "stepSize": 0.085, "maxDepth": 5, "seed": 2026}
+LEAST_ROWS = 25
 MODEL_VERSION = "mllib-temporal-v1"
 # ------------------------------------------------------------------------------------
 
@@ -154,10 +155,9 @@ def predicted(model: PipelineModel, kind: str, rows: DataFrame) -> DataFrame:
 
 
 def trainable(data: DataFrame, kind: str) -> bool:
-    """Whether every split has rows and, for churn, both outcomes occur in training and validation together."""
-    n = {r["split"]: r for r in data.groupBy("split").agg(F.count(F.lit(1)).alias("n"), F.sum((F.col("future_activity") == 0).cast("int")).alias("gone"),
-                                                          F.min("future_activity").alias("least"), F.max("future_activity").alias("most")).collect()}
-    if any(s not in n for s in ("train", "validation", "test")):
+    """Whether every split has rows, training more than a leaf's worth, and, for churn, both outcomes."""
+    n = {r["split"]: r for r in data.groupBy("split").agg(F.count(F.lit(1)).alias("n"), F.sum((F.col("future_activity") == 0).cast("int")).alias("gone")).collect()}
+    if any(s not in n for s in ("train", "validation", "test")) or n["train"]["n"] < LEAST_ROWS:
         return False
     return kind != "churn" or 0 < n["train"]["gone"] < n["train"]["n"]
 

@@ -33,7 +33,8 @@ NAMES = [(kind, h) for kind, hs in KINDS.items() for h in hs]
 #: Tables that a reader of the warehouse finds beside the marts.
 TABLES = ("model_scores", "next_best_actions", "model_metrics", "forecast_backtest", "revenue_forecast", "ml_anomalies")
 MODEL_LIST = "model_name string, kind string, horizon_days int, status string, path string, scoring_cutoff string, model_version string, params string"
-THREADS = 3  # models fitted at a time; each is a Spark job of its own
+THREADS = 6  # models fitted at a time; each is Spark jobs of its own
+ROWS_A_TASK = 100_000  # boosting runs hundreds of short jobs over the same rows: few, cached partitions
 
 
 def column(kind: str, horizon: int) -> str:
@@ -85,7 +86,9 @@ def train(wh, folder: str, cutoff: str, run_id: str, params: dict | None = None)
     def one(name: tuple[str, int]):
         kind, horizon = name
         data = rows.filter((F.col("horizon") == horizon) & (F.col("split") != "current"))
+        data = data.coalesce(max(1, data.count() // ROWS_A_TASK)).persist()
         model, measured = models.fit(data, kind, horizon, params)
+        data.unpersist()
         if model is not None:
             model.write().overwrite().save(f"{folder}/models/{kind}_{horizon}d")
         return model, measured

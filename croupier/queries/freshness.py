@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from croupier.plans.warehouse import Warehouse
 from croupier.scope import Scope
+from croupier.sources.publish import read_if_there
 
 STALE_AFTER_DAYS = 2
 
@@ -58,14 +59,8 @@ def period_delta(current, previous) -> F.Column:
 
 def model_available(spark, path: str) -> bool:
     """H9: both model tables exist under the warehouse folder and the status row is not 'unavailable'."""
-    try:
-        scores = spark.read.parquet(f"{path}/model_scores")
-        spark.read.parquet(f"{path}/model_metrics")
-    except Exception:  # noqa: BLE001
+    if read_if_there(spark, f"{path}/model_scores") is None or read_if_there(spark, f"{path}/model_metrics") is None:
         return False
-    try:
-        meta = spark.read.parquet(f"{path}/app_metadata")
-        row = meta.filter(F.col("key") == "model_status").select("value").first()
-        return not (row and row["value"] == "unavailable")
-    except Exception:  # noqa: BLE001
-        return scores is not None
+    meta = read_if_there(spark, f"{path}/app_metadata")
+    row = meta.filter(F.col("key") == "model_status").select("value").first() if meta is not None else None
+    return not (row and row["value"] == "unavailable")

@@ -1,8 +1,8 @@
 """Turning a checked import into the active warehouse, and its registry.
 
-Order: build, quality gate, scores, gate with scores, and only then the pointer moves. A failed
-activation leaves the previous warehouse active, removes its own half-written folder and is
-logged. Every issue of a run is kept in a table of its own next to the run's row.
+Order: build, quality gate, trained models and scores, gate with scores, the manifest of all tables, and only
+then the pointer moves (``publish``). A failed activation leaves the previous warehouse active,
+removes its own half-written folder and is logged. Every issue of a run is kept in a table of its own next to the run's row.
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from croupier.functions.exprs import MONEY, SCORE
 from croupier.plans.scores import LTV_TYPE
 from croupier.sources import csv_import as ci
+from croupier.sources import publish
 from croupier.sources.driver_tables import RawTables
 
 # warehouse input -> (dataset, columns)
@@ -84,12 +85,48 @@ def delete_folder(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
-def activate(spark: SparkSession, frames: dict[str, DataFrame], issues: DataFrame, filenames: list[str], root: str,
-             first_train_cutoff: str, scoring_cutoff: str) -> tuple[str, str]:
-    """Build, check and publish an import as a new versioned warehouse; returns (run id, folder)."""
+def _build(spark: SparkSession, frames: dict[str, DataFrame], target: str, run_id: str, now: dt.datetime,
+           first_train_cutoff: str, scoring_cutoff: str, params: dict | None) -> dict[str, DataFrame]:
+    """Write every table of the version under ``target``, with both gates; returns them as read back."""
+    from croupier.ml import training
     from croupier.plans.quality import enforce, quality_checks
     from croupier.plans.warehouse import Warehouse
 
+    wh = Warehouse.from_raw(spark, raw_tables_from_import(frames))
+    built = wh.write(target)
+    tables = dict(built._tables)
+
+    def write(name: str, df: DataFrame) -> DataFrame:
+        df.write.parquet(f"{target}/{name}")
+        tables[name] = spark.read.schema(df.schema).parquet(f"{target}/{name}")
+        return tables[name]
+
+    for name in EXTRA:
+        if name in frames:
+            write(f"raw_{name}", frames[name].drop(ci.ROW))
+    built.raw = wh.raw
+    enforce(quality_checks(built))
+    built.scoring_cutoff = scoring_cutoff
+    trained = training_gate(frames, first_train_cutoff, scoring_cutoff)
+    if trained:
+        made = training.train(built, target, scoring_cutoff, run_id, params)
+        tables |= {name: made[name] for name in training.TABLES}
+    else:
+        write("model_scores", fallback_scores(built.dim_player, now).withColumn("import_run_id", F.lit(run_id)))
+    built._tables["model_scores"] = tables["model_scores"].drop("import_run_id")
+    enforce(quality_checks(built, include_ml=True))
+    write("mart_player_360", built.mart_player_360)
+    meta = [("model_status", "available" if trained else "unavailable"), ("import_run_id", run_id)]
+    write("app_metadata", spark.createDataFrame(meta, "key string, value string"))
+    return tables
+
+
+def activate(spark: SparkSession, frames: dict[str, DataFrame], issues: DataFrame, filenames: list[str], root: str,
+             first_train_cutoff: str, scoring_cutoff: str, params: dict | None = None) -> tuple[str, str]:
+    """Build, check, train and publish an import as a new version; returns (run id, folder).
+
+    ``params`` are passed to the boosted trees (see ``models.GBT_PARAMS``).
+    """
     summary = ci.quality_summary(frames, issues)
     if not summary["ready"]:
         raise ValueError("Import cannot be activated until every blocking quality error is resolved.")
@@ -97,24 +134,9 @@ def activate(spark: SparkSession, frames: dict[str, DataFrame], issues: DataFram
     target = f"{root.rstrip('/')}/warehouse_{run_id}"
     status, error = "FAILED", None
     try:
-        wh = Warehouse.from_raw(spark, raw_tables_from_import(frames))
-        wh.scoring_cutoff = scoring_cutoff
-        built = wh.write(target)
-        for name in EXTRA:
-            if name in frames:
-                frames[name].drop(ci.ROW).write.parquet(f"{target}/raw_{name}")
-        built.raw = wh.raw
-        enforce(quality_checks(built))
-        built.scoring_cutoff = scoring_cutoff
-        trained = training_gate(frames, first_train_cutoff, scoring_cutoff)
-        scores = built.model_scores if trained else fallback_scores(built.dim_player, now)
-        scores.withColumn("import_run_id", F.lit(run_id)).write.parquet(f"{target}/model_scores")
-        built._tables["model_scores"] = spark.read.parquet(f"{target}/model_scores").drop("import_run_id")
-        enforce(quality_checks(built, include_ml=True))
-        built.mart_player_360.write.parquet(f"{target}/mart_player_360")
-        spark.createDataFrame([("model_status", "available" if trained else "unavailable"), ("import_run_id", run_id)],
-                              "key string, value string").write.parquet(f"{target}/app_metadata")
-        spark.createDataFrame([("active", target, now)], "key string, path string, activated_at timestamp").write.mode("append").parquet(f"{root}/active_pointer")
+        tables = _build(spark, frames, target, run_id, now, first_train_cutoff, scoring_cutoff, params)
+        publish.write_manifest(spark, target, run_id, tables)
+        publish.point_to(spark, root.rstrip("/"), run_id, target, now)
         status = "SUCCESS"
     except Exception as exc:
         error = str(exc)
@@ -134,8 +156,16 @@ def import_history(spark: SparkSession, root: str, limit: int = 20) -> DataFrame
 
 
 def active_warehouse(spark: SparkSession, root: str) -> str | None:
-    try:
-        r = spark.read.parquet(f"{root}/active_pointer").orderBy(F.desc("activated_at")).first()
-    except Exception:  # noqa: BLE001
+    found = publish.active(spark, root)
+    return found[1] if found else None
+
+
+def open_active(spark: SparkSession, root: str):
+    """The active version as a warehouse: every table its manifest lists, of one version."""
+    from croupier.plans.warehouse import Warehouse
+
+    path = active_warehouse(spark, root)
+    if path is None:
         return None
-    return r["path"] if r else None
+    tables = publish.open_tables(spark, path)
+    return Warehouse(spark, tables={k: v.drop("import_run_id") for k, v in tables.items()})

@@ -7,9 +7,13 @@ import pytest
 from pyspark.sql import functions as F
 
 
+from croupier.ml import training
 from croupier.plans.quality import WarehouseQualityError
+from croupier.queries import crm, freshness, risk
+from croupier.scope import Scope
 from croupier.sources import activation as act
 from croupier.sources import csv_import as ci
+from croupier.sources import publish
 
 
 def _csv(tmp_path, name, text):
@@ -159,15 +163,64 @@ def test_failed_gate_keeps_the_active_warehouse(spark, tmp_path):
     assert len([d for d in os.listdir(root) if d.startswith("warehouse_")]) == 1
 
 
-def test_activation_with_training_span_scores_players(spark, tmp_path):
+TRAINING_TX = TX + "T2,C1,2026-08-05 10:00:00,Deposit,10,Approved,Visa\nT3,C1,2025-12-01 10:00:00,Deposit,10,Approved,Visa\n"
+
+
+def _activate(spark, tmp_path, root, tx=TRAINING_TX):
+    _, p = _load(spark, tmp_path, "players.csv", PLAYERS)
+    _, t = _load(spark, tmp_path, "transactions.csv", tx)
+    return act.activate(spark, {"players": p.frame, "transactions": t.frame}, p.issues.filter("severity = 'ERROR'"), ["a"], root, "2026-01-15", "2026-08-04",
+                        params={"maxIter": 2})
+
+
+def test_activation_with_training_span_publishes_every_model_table(spark, tmp_path):
+    root = str(tmp_path / "imports")
+    run_id, path = _activate(spark, tmp_path, root)
+    assert {r["key"]: r["value"] for r in spark.read.parquet(f"{path}/app_metadata").collect()}["model_status"] == "available"
+    listed = {r["table_name"]: r for r in spark.read.parquet(f"{path}/manifest").collect()}
+    assert set(training.TABLES) < set(listed) and {r["version"] for r in listed.values()} == {run_id}
+    opened = publish.open_tables(spark, path)
+    assert all(opened[name].count() == r["rows"] for name, r in listed.items())
+    assert freshness.model_available(spark, path) and publish.active(spark, root) == (run_id, path)
+    wh = act.open_active(spark, root)
+    assert wh.mart_player_360.count() == wh.model_scores.count() == 1
+    assert {r.split for r in wh._tables["forecast_backtest"].select("split").distinct().collect()} >= {"validation", "test", "future"}
+
+
+def test_activation_without_models_leaves_scores_missing(spark, tmp_path):
+    root = str(tmp_path / "imports")
+    _, path = _activate(spark, tmp_path, root, TX)
+    assert not freshness.model_available(spark, path) and not freshness.model_available(spark, str(tmp_path / "nothing"))
+    wh = act.open_active(spark, root)
+    scope = Scope("2026-01-01", "2026-01-31")
+    row = risk.metrics(wh, scope).first()
+    assert row["accounts"] == 0 and row["cases"] is None and crm.segments(wh, scope).count() == 5
+    assert [r.recommended_action for r in wh.v_player_scores.collect()] == ["Missing data"]
+
+
+@pytest.mark.parametrize("step", ["croupier.plans.warehouse.Warehouse.write", "croupier.plans.quality.quality_checks", "croupier.ml.training.train",
+                                  "croupier.sources.publish.write_manifest", "croupier.sources.publish.point_to"])
+def test_a_failure_in_any_step_leaves_the_old_version_active(spark, tmp_path, monkeypatch, step):
+    import os
+
+    root = str(tmp_path / "imports")
+    first = act.activate(spark, *_frames(spark, tmp_path, TX), ["a"], root, "2026-01-15", "2026-08-04")
+
+    def fails(*_, **__):
+        raise RuntimeError(step)
+
+    monkeypatch.setattr(step, fails)
+    with pytest.raises(RuntimeError, match=step.rsplit(".", 1)[1]):
+        _activate(spark, tmp_path, root)
+    assert publish.active(spark, root) == first
+    assert [d for d in os.listdir(root) if d.startswith("warehouse_")] == [first[1].rsplit("/", 1)[1]]
+    assert [r["status"] for r in act.import_history(spark, root).collect()] == ["FAILED", "SUCCESS"]
+
+
+def _frames(spark, tmp_path, tx):
     _, p = _load(spark, tmp_path, "players.csv", PLAYERS)
-    tx = TX + "T2,C1,2026-08-05 10:00:00,Deposit,10,Approved,Visa\nT3,C1,2025-12-01 10:00:00,Deposit,10,Approved,Visa\n"
     _, t = _load(spark, tmp_path, "transactions.csv", tx)
-    _, path = act.activate(spark, {"players": p.frame, "transactions": t.frame}, p.issues.filter("severity = 'ERROR'"), ["a"],
-                           str(tmp_path / "imports"), "2026-01-15", "2026-08-04")
-    meta = {r["key"]: r["value"] for r in spark.read.parquet(f"{path}/app_metadata").collect()}
-    assert meta["model_status"] == "available"
-    assert spark.read.parquet(f"{path}/mart_player_360").count() == spark.read.parquet(f"{path}/model_scores").count()
+    return {"players": p.frame, "transactions": t.frame}, p.issues.filter("severity = 'ERROR'")
 
 
 def test_planted_orphans_cover_every_event_and_order(spark, wh):
