@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from croupier.catalog import MARKET, S_HALF, S_MAIN, d_in, register, t_in
 from croupier.oracle import q, scores_ctes
 from croupier.plans import rules
+from croupier.sources.driver_tables import read_table
 
 SC = scores_ctes("2000-03-31")
 ALERT_COLS = ["market", "rule_id", "severity", "priority", "current_metric", "usual_metric", "financial_impact",
@@ -168,3 +169,54 @@ register("rules_governance", lambda wh: rules.rule_governance(rules.alerts(wh, S
          _with_tail(GOV))
 register("rules_recovery_by_team", lambda wh: rules.recovery_by_team(rules.alerts(wh, S_MAIN)),
          _with_tail(TEAM))
+
+# ---- the register with statuses (K16, K19) and a team's block of alerts (K14) ------------------
+RULE_IDS = sorted(rules.RULE_CATALOG)
+STATUS_OF = {"view": "Reviewed", "signup": "Reviewed", "purchase": "Resolved", "click": "New", "error": "New"}
+
+
+def status_changes(wh):
+    """Every row of ``events`` as a status change of one workflow of the main scope."""
+    e = read_table(wh.spark, wh.sf_dir, "events")
+    nation = read_table(wh.spark, wh.sf_dir, "nation").select("n_nationkey", F.col("n_name").alias("market"))
+    rule = F.element_at(F.array(*[F.lit(r) for r in RULE_IDS]), (F.col("event_id") % len(RULE_IDS) + 1).cast("int"))
+    status = F.element_at(F.create_map(*[F.lit(x) for kv in STATUS_OF.items() for x in kv]), F.col("event_type"))
+    days = [F.lit(d.strftime("%d %b %Y")) for d in (S_MAIN.start_day, S_MAIN.end_day)]
+    return e.join(nation, F.col("user_id") % 25 == F.col("n_nationkey")).select(
+        F.concat_ws(":", rule, "market", *days).alias("workflow_id"), status.alias("status"),
+        F.concat(F.lit("case "), F.col("event_id").cast("string")).alias("result"), F.col("ts").alias("changed_at"), F.col("event_id").alias("change_id"))
+
+
+def status_register(wh):
+    return rules.alert_register(rules.alerts(wh, S_MAIN), rules.latest_statuses(status_changes(wh)))
+
+
+_LISTED = ", ".join(f"'{r}'" for r in RULE_IDS)
+_STATUS = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in STATUS_OF.items())
+STATUSES = f""", cat AS (SELECT * FROM (VALUES {CATALOG_VALUES}) AS c(rule_id, title, team)),
+changed AS (
+  SELECT ([{_LISTED}])[CAST(event_id % {len(RULE_IDS)} AS INT) + 1] || ':' || n_name || ':{S_MAIN.start_day:%d %b %Y}:{S_MAIN.end_day:%d %b %Y}' AS workflow_id,
+         CASE event_type {_STATUS} END AS status, 'case ' || event_id AS result, ts, event_id
+  FROM events JOIN nation ON n_nationkey = user_id % 25),
+newest AS (SELECT * FROM changed QUALIFY row_number() OVER (PARTITION BY workflow_id ORDER BY ts DESC, event_id DESC) = 1),
+listed AS (SELECT a.*, c.team, c.title, COALESCE(n.status, 'New') AS status, COALESCE(n.result, '') AS result
+           FROM alerts_out a JOIN cat c USING (rule_id) LEFT JOIN newest n USING (workflow_id))"""
+QUEUE = {"severities": ["Critical", "High"], "statuses": ["New", "Reviewed"], "teams": ["Casino Operations", "Growth", "Revenue & Finance"]}
+TEAMS = ["Casino Operations", "Payments"]
+_q = lambda values: ", ".join(f"'{v}'" for v in values)
+
+register("rules_register", lambda wh: status_register(wh).select("workflow_id", "rule_id", "market", "severity", "team", "status", "result"),
+         _with_tail(STATUSES + " SELECT workflow_id, rule_id, market, severity, team, status, result FROM listed"))
+register("rules_register_kpis_reviewed", lambda wh: rules.register_kpis(status_register(wh)), _with_tail(STATUSES + """
+SELECT COUNT(*) FILTER (status <> 'Resolved') AS active_alerts, COUNT(*) FILTER (status <> 'Resolved' AND severity = 'Critical') AS critical_alerts,
+       round(COALESCE(SUM(financial_impact) FILTER (status <> 'Resolved'), 0.0), 6) AS financial_impact,
+       round(COALESCE(SUM(revenue_potential) FILTER (status <> 'Resolved'), 0.0), 6) AS revenue_potential,
+       COUNT(*) FILTER (status IN ('Reviewed', 'Resolved')) AS reviewed FROM listed"""))
+register("rules_alert_queue", lambda wh: rules.alert_queue(status_register(wh), **QUEUE).select("workflow_id", "severity", "team", "status"), _with_tail(STATUSES + f"""
+SELECT workflow_id, severity, team, status FROM listed
+WHERE severity IN ({_q(QUEUE['severities'])}) AND status IN ({_q(QUEUE['statuses'])}) AND team IN ({_q(QUEUE['teams'])})"""))
+register("rules_team_alerts", lambda wh: rules.top_alerts(rules.alerts(wh, S_MAIN), TEAMS, 3).select("rule_id", "market", "severity", "financial_impact"),
+         _with_tail(STATUSES + f""", worst AS (
+  SELECT *, list_position(['Critical', 'High', 'Medium'], severity) AS place FROM listed WHERE team IN ({_q(TEAMS)})
+  QUALIFY row_number() OVER (PARTITION BY rule_id ORDER BY list_position(['Critical', 'High', 'Medium'], severity), financial_impact DESC, market) = 1)
+SELECT rule_id, market, severity, financial_impact FROM worst ORDER BY place, financial_impact DESC, rule_id LIMIT 3"""))

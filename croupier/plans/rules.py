@@ -7,6 +7,8 @@ per-market alerts (every market is evaluated separately, as a single-market view
 
 from __future__ import annotations
 
+import datetime as dt
+import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame, Window
@@ -15,6 +17,7 @@ from pyspark.sql import functions as F
 from croupier.functions.exprs import dec, max2
 from croupier.queries.acquisition import channel_cost
 from croupier.scope import Scope
+from croupier.sources import publish
 
 # ---- fixed values ------------------------------------------------------------------
 RULE_CATALOG = {
@@ -29,6 +32,7 @@ RULE_CATALOG = {
     "FRAUD_SIGNAL": ("Potentially fraudulent behavior", "Predicted fraud risk", "Risk & Compliance", "Active players have a fraud-risk score of at least 55%."),
     "RG_SIGNAL": ("Sensitive Responsible Gaming behavior", "Predicted RG risk", "Player Protection", "Active players have an RG-risk score of at least 55%."),
 }
+STATUS_ORDER = ("New", "Reviewed", "Resolved")
 SEVERITY_RANK = {"Critical": 0, "High": 1, "Medium": 2}
 RECOVERY_SHARE = {"Critical": 0.45, "High": 0.32, "Medium": 0.20}
 OTHER_RECOVERY_SHARE = 0.12
@@ -259,24 +263,52 @@ def top_alerts(alerts_df: DataFrame, teams: list[str] | None = None, limit: int
             .orderBy("severity_rank", F.desc("financial_impact"), "rule_id").limit(limit))
 
 
+CHANGE_COLUMNS = ("workflow_id", "status", "result", "changed_at", "change_id")
+
+
+def latest_statuses(changes: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """The newest change of every workflow, of ``changes`` and of the statuses ``known`` before.
+
+    The change with the greatest (changed_at, change_id) wins, in whatever order changes arrive, so a
+    redelivered or late change leaves the result as it is.
+    """
+    rows = changes.select(*CHANGE_COLUMNS)
+    if known is not None:
+        rows = rows.unionByName(known.select(*CHANGE_COLUMNS))
+    newest = rows.groupBy("workflow_id").agg(F.max(F.struct("changed_at", "change_id", "status", "result")).alias("newest"))
+    return newest.select("workflow_id", "newest.status", "newest.result", "newest.changed_at", "newest.change_id")
+
+
+def save_changes(spark, root: str, changes: DataFrame) -> DataFrame:
+    """Merge status changes into the register's table under ``root`` and publish it as a new version."""
+    before = publish.active(spark, root)
+    known = publish.open_tables(spark, before[1])["statuses"] if before else None
+    version = uuid.uuid4().hex[:12]
+    path = f"{root.rstrip('/')}/register_{version}"
+    merged = latest_statuses(changes, known)
+    merged.write.parquet(f"{path}/statuses")
+    publish.write_manifest(spark, path, version, {"statuses": spark.read.schema(merged.schema).parquet(f"{path}/statuses")})
+    publish.point_to(spark, root.rstrip("/"), version, path, dt.datetime.now(dt.timezone.utc).replace(tzinfo=None))
+    return publish.open_tables(spark, path)["statuses"]
+
+
 def alert_register(alerts_df: DataFrame, statuses: DataFrame | None = None) -> DataFrame:
-    """Alerts with their workflow status (default New) and register KPIs as columns."""
-    a = alerts_df
-    if statuses is not None:
-        a = a.join(statuses.select("workflow_id", "status", "result"), "workflow_id", "left")
-    else:
-        a = a.withColumn("status", F.lit(None).cast("string")).withColumn("result", F.lit(None).cast("string"))
-    return a.withColumn("status", F.coalesce("status", F.lit("New"))).withColumn("result", F.coalesce("result", F.lit("")))
+    """Alerts with their workflow status (default New) and result."""
+    if statuses is None:
+        return alerts_df.withColumns({"status": F.lit(STATUS_ORDER[0]), "result": F.lit("")})
+    a = alerts_df.join(statuses.select("workflow_id", "status", "result"), "workflow_id", "left")
+    return a.withColumns({"status": F.coalesce("status", F.lit(STATUS_ORDER[0])), "result": F.coalesce("result", F.lit(""))})
 
 
 def register_kpis(register: DataFrame) -> DataFrame:
-    """Active, critical, impact, potential and reviewed counts over the register."""
+    """What is not resolved (alerts, critical ones, impact, potential), and how many were reviewed."""
+    active = F.col("status") != "Resolved"
+    total = lambda c: F.round(F.coalesce(F.sum(F.when(active, F.col(c))), F.lit(0.0)), 6)
     return register.agg(
-        F.count(F.when(~F.col("status").isin("Resolved", "Dismissed"), 1)).alias("active_alerts"),
-        F.count(F.when(F.col("severity") == "Critical", 1)).alias("critical_alerts"),
-        F.round(F.coalesce(F.sum("financial_impact"), F.lit(0.0)), 6).alias("financial_impact"),
-        F.round(F.coalesce(F.sum("revenue_potential"), F.lit(0.0)), 6).alias("revenue_potential"),
-        F.count(F.when(F.col("status") != "New", 1)).alias("reviewed"))
+        F.count(F.when(active, 1)).alias("active_alerts"),
+        F.count(F.when(active & (F.col("severity") == "Critical"), 1)).alias("critical_alerts"),
+        total("financial_impact").alias("financial_impact"), total("revenue_potential").alias("revenue_potential"),
+        F.count(F.when(F.col("status").isin("Reviewed", "Resolved"), 1)).alias("reviewed"))
 
 
 def recovery_by_team(alerts_df: DataFrame) -> DataFrame:
