@@ -36,7 +36,7 @@ SQL_DATASETS = {
                   "approval_rate": "AVG(CASE WHEN transaction_status = 'Approved' THEN 1.0 ELSE 0.0 END::DOUBLE)",
                   "fees": "CAST(SUM(processing_fee) AS DOUBLE)",
                   "deposits": "CAST(SUM(CASE WHEN transaction_type = 'Deposit' AND transaction_status = 'Approved' THEN amount ELSE 0 END) AS DOUBLE)"}),
-    "acquisition": ("mart_acquisition_daily", "metric_date", {"country": "country", "channel": "channel"},
+    "acquisition": ("mart_acquisition_daily", "metric_date", {"country": "country", "channel": "channel", "day": "metric_date"},
                     {"registrations": "CAST(SUM(registrations) AS BIGINT)", "ftd": "CAST(SUM(ftd) AS BIGINT)", "kyc": "CAST(SUM(kyc_verified) AS BIGINT)",
                      "conversion": "CAST(SUM(ftd) AS DOUBLE) / NULLIF(CAST(SUM(registrations) AS DOUBLE), 0)"}),
     "players": ("v_player_scores", None, {"country": "country", "vip_level": "vip_level", "channel": "channel", "age_group": "age_group"},
@@ -105,3 +105,27 @@ register("semantic_distinct_providers", lambda wh: sem.distinct_values(wh, "casi
 SELECT DISTINCT CAST(provider AS VARCHAR) AS value FROM mart_game_performance_daily WHERE provider IS NOT NULL"""))
 register("semantic_distinct_events", lambda wh: sem.distinct_values(wh, "sportsbook", "event"), q("""
 SELECT DISTINCT CAST(event_name AS VARCHAR) AS value FROM v_sports_bets_enriched WHERE event_name IS NOT NULL"""))
+
+
+# ---- templates (L13): one oracle SELECT per widget, one Spark scan per dataset -----------------
+def widget_sql(i: int, w: sem.Widget, s) -> str:
+    head = f"SELECT CAST({i} AS INT) AS widget, '{w.title}' AS title"
+    if w.type == "kpi":
+        one = kpi_sql(w.dataset, w.measures[0], s, w.comparison == "previous_period" and SQL_DATASETS[w.dataset][1] is not None)
+        return (f"{head}, CAST(1 AS INT) AS place, CAST(NULL AS VARCHAR) AS label, '{w.measures[0]}' AS measure, CAST(current_value AS DOUBLE) AS value, "
+                f"CAST(previous_value AS DOUBLE) AS previous_value FROM ({one})")
+    rows = plan_sql(sem.QueryPlan(w.dataset, (w.dimension,), w.measures, w.measures[0]), s)
+    label, listed = sem.dimension_label(w.dimension), ", ".join(f"'{m}'" for m in w.measures)
+    ranked = (f'SELECT *, COALESCE(CAST("{label}" AS VARCHAR), \'\') AS named, dense_rank() OVER (ORDER BY "{w.measures[0]}" DESC NULLS LAST, '
+              f'COALESCE(CAST("{label}" AS VARCHAR), \'\')) AS spot FROM ({rows})')
+    values = ", ".join(f'CAST("{m}" AS DOUBLE)' for m in w.measures)
+    return (f"{head}, CAST(spot AS INT), named, unnest([{listed}]), unnest([{values}]), CAST(NULL AS DOUBLE) FROM ({ranked})"
+            + (f" WHERE spot <= {w.top_n}" if w.top_n else ""))
+
+
+for _key, (_, _widgets) in sem.TEMPLATES.items():
+    _sql = " UNION ALL ".join(f"({widget_sql(i, w, S_MAIN)})" for i, w in enumerate(_widgets))
+    register(f"template_{_key}", lambda wh, k=_key: sem.template_rows(wh, k, S_MAIN),
+             q(_sql, SC) if any(w.dataset == "players" for w in _widgets) else q(_sql))
+register("template_revenue_market_half", lambda wh: sem.template_rows(wh, "revenue", S_HALF.with_country(MARKET)),
+         q(" UNION ALL ".join(f"({widget_sql(i, w, S_HALF.with_country(MARKET))})" for i, w in enumerate(sem.TEMPLATES["revenue"][1]))))
