@@ -3,10 +3,16 @@ table by table, not only through the KPIs built on them."""
 
 from __future__ import annotations
 
+import datetime as dt
+import uuid
+
 from pyspark.sql import functions as F
 
 from croupier.catalog import register
 from croupier.oracle import q, scores_ctes
+from croupier.plans import loads
+from croupier.scope import month_key
+from croupier.session import shared_dir
 
 
 def _doubles(df, cols):
@@ -70,3 +76,40 @@ register("layer_mart_player_360", lambda wh: wh.mart_player_360.select(
     "player_id", "country", "vip_level", *[F.col(c).cast("double").alias(c) for c in P360], "recommended_action", "ftd_date", "first_activity_date"),
     q("SELECT player_id, country, vip_level, " + ", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in P360)
       + ", recommended_action, ftd_date, first_activity_date FROM v_player_scores", scores_ctes("2000-03-31")))
+
+
+# ---- append loads (D1-D3): a first load, a second with changed and moved rows, the first one again ----
+FIRST, SECOND, AGAIN = "2026-01-01 00:00:00", "2026-01-02 00:00:00", "2025-12-31 00:00:00"
+LOADED = {"fact_casino_session": ("casino_ggr", "session_date", "session_start"), "fact_transaction": ("amount", "transaction_day", "transaction_date"),
+          "fact_sports_bet": ("stake", "bet_day", "bet_date")}
+
+
+def loaded(wh, name: str):
+    """What is left of a fact after three loads; every row of the fact takes part."""
+    value, day, moment = LOADED[name]
+    path = shared_dir(wh.spark, f"croupier-loads-{uuid.uuid4().hex[:12]}")
+    first = type(wh)(wh.spark, raw=wh.raw)
+    first.loaded_at = dt.datetime.fromisoformat(FIRST)
+    fact = getattr(first, name)
+    fact.write.partitionBy("event_month").parquet(f"{path}/{name}")
+    built = type(wh)(wh.spark, tables={name: type(wh)._read(wh.spark, f"{path}/{name}", name, fact.schema)})
+    rows = built._tables[name].drop("loaded_at")
+    later = F.date_add(day, 40)
+    changed = rows.filter(F.day(day) <= 10).withColumns({value: (F.col(value) + 1).cast(rows.schema[value].dataType), "event_month": month_key(later), day: later})
+    loads.append_load(built, path, name, changed, dt.datetime.fromisoformat(SECOND))
+    loads.append_load(built, path, name, fact.drop("loaded_at"), dt.datetime.fromisoformat(AGAIN))
+    return built._tables[name].groupBy(F.col("event_month").cast("bigint").alias("month"), F.col("loaded_at").cast("string").alias("loaded_at")).agg(
+        F.count(F.lit(1)).alias("rows"), F.countDistinct(loads.key_of(name)).alias("keys"), F.sum(value).cast("double").alias("total"), F.max(day).alias("last_day"))
+
+
+def loaded_sql(name: str) -> str:
+    value, day, _ = LOADED[name]
+    key = {"fact_casino_session": "session_id", "fact_transaction": "transaction_id", "fact_sports_bet": "bet_id"}[name]
+    return q(f"""
+SELECT CAST(year(d) * 100 + month(d) AS BIGINT) AS month, stamp AS loaded_at, COUNT(*) AS rows, COUNT(DISTINCT key) AS keys, CAST(SUM(v) AS DOUBLE) AS total, MAX(d) AS last_day
+FROM (SELECT {key} AS key, CASE WHEN day({day}) <= 10 THEN {day} + 40 ELSE {day} END AS d, CASE WHEN day({day}) <= 10 THEN {value} + 1 ELSE {value} END AS v,
+             CASE WHEN day({day}) <= 10 THEN '{SECOND}' ELSE '{FIRST}' END AS stamp FROM {name}) GROUP BY 1, 2""")
+
+
+for _name in LOADED:
+    register(f"loads_{_name}", lambda wh, n=_name: loaded(wh, n), loaded_sql(_name))

@@ -8,6 +8,7 @@ queries scan pre-aggregated marts instead of recomputing them.
 
 from __future__ import annotations
 
+import datetime as dt
 import time
 from concurrent.futures import ThreadPoolExecutor
 from functools import cached_property
@@ -137,6 +138,7 @@ class Warehouse:
         self.spark = spark
         self.raw = raw
         self._tables = dict(tables or {})
+        self.loaded_at: dt.datetime | None = None  # of the facts built here; set when they are written
 
     # construction ---------------------------------------------------------------------
     @classmethod
@@ -199,7 +201,8 @@ class Warehouse:
     }
 
     def _fact(self, name: str, staged: DataFrame, day: str, game: bool = False) -> DataFrame:
-        rows = staged.withColumn("date_key", date_key(day)).select(*self.FACT_COLUMNS[name], event_month(day))
+        at = F.lit(self.loaded_at).cast("timestamp_ntz").alias("loaded_at")
+        rows = staged.withColumn("date_key", date_key(day)).select(*self.FACT_COLUMNS[name], event_month(day), at)
         rows = with_attributes(rows, self.dim_player, "player_id", PLAYER_ATTRIBUTES, "player_known")
         return with_attributes(rows, self.dim_game, "game_id", GAME_ATTRIBUTES, "game_known") if game else rows
 
@@ -452,6 +455,7 @@ class Warehouse:
         every later job.
         """
         source: Warehouse = self
+        stamp = self.loaded_at or dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)  # facts built here carry the time of this load
         written: dict[str, DataFrame] = {}
         self.write_seconds: dict[str, float] = {}
         layers = list(self.LAYERS) + ([("model_scores",), ("mart_player_360",)] if with_scores else [])
@@ -477,7 +481,7 @@ class Warehouse:
                 for name, df in pool.map(lambda n, src=source: write_one(src, n), layer):
                     written[name] = df
                 source = Warehouse(self.spark, raw=self.raw, tables=dict(written))
-                source.scoring_cutoff = getattr(self, "scoring_cutoff", None)
+                source.scoring_cutoff, source.loaded_at = getattr(self, "scoring_cutoff", None), stamp
         return source
 
     @classmethod
