@@ -2,20 +2,30 @@
 
 ``monotonically_increasing_id`` encodes (partition, position). One aggregate counts the rows of
 each partition; a running sum over those counts (one row per partition) gives every partition's
-first index, which joins back by partition.
+first index, which joins back by partition. Both sides must see the same ids, so anything but rows
+straight from files, whose partitions do not depend on a shuffle, is written to the shared folder first.
 """
 
 from __future__ import annotations
 
+import re
+import uuid
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from croupier.operators.scalars import attach_scalars
+from croupier.session import shared_dir
 
 CHUNK = 4096  # partitions summed in one window
+SHUFFLED = re.compile(r"^[ :+-]*(Join|Aggregate|Window|Sort|Distinct|Repartition|RepartitionByExpression|RebalancePartitions|Union|GlobalLimit|Generate)\b", re.M)
 
 
 def with_row_index(df: DataFrame, name: str = "row_index") -> DataFrame:
+    if SHUFFLED.search(df._jdf.queryExecution().optimizedPlan().toString()):
+        path = shared_dir(df.sparkSession, f"row-index-{uuid.uuid4().hex}")
+        df.write.parquet(path)
+        df = df.sparkSession.read.schema(df.schema).parquet(path)
     tagged = df.withColumn("__mid", F.monotonically_increasing_id())
     pid = F.shiftright("__mid", 33)
     tagged = tagged.withColumn("__pid", pid)

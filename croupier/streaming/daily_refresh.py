@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from croupier.functions.exprs import MONEY, dec
+from croupier.sources.publish import read_if_there
 
 KEYS = ["calendar_date", "country"]
 VALUES = ["casino_bets", "casino_payouts", "casino_ggr", "sports_stake", "sports_payout", "sports_ggr"]
@@ -42,10 +43,9 @@ def _events(spark: SparkSession, sessions_dir: str, bets_dir: str, sessions_sche
 
 
 def listed_batches(spark: SparkSession, sink: str) -> list[int]:
-    try:
-        return sorted({r.batch for r in spark.read.parquet(f"{sink}/pointer").select("batch").collect()})
-    except Exception:  # noqa: BLE001  (no batch yet)
-        return []
+    """Complete batches; none before the first one. A pointer table that cannot be read is an error."""
+    listed = read_if_there(spark, f"{sink}/pointer")
+    return sorted({r.batch for r in listed.select("batch").collect()}) if listed is not None else []
 
 
 def current_mart(spark: SparkSession, sink: str) -> DataFrame | None:

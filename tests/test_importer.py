@@ -113,10 +113,14 @@ def test_activation_writes_versioned_warehouse_and_registry(spark, tmp_path):
 
 def test_quotes_newlines_ragged_rows_and_empty_files(spark, tmp_path):
     text = 'game_id,name,rtp\nG1,"Big ""Win"", x",0.95\nG2,"two\nlines",0.96\n'
-    _, g = _load(spark, tmp_path, "games.csv", text)
+    df = ci.read_csv(spark, _csv(tmp_path, "games.csv", text), quoted_newlines=True)
+    g = ci.validate(spark, "games", df, ci.suggest_mapping("games", df.columns))
     assert sorted(r["game_name"] for r in g.frame.collect()) == ['Big "Win", x', "two\nlines"]
     _, bad = _load(spark, tmp_path, "games.csv", "game_id,name,rtp\nG1,Roulette,0.95,extra\nG2,Poker,0.96\n")
     assert [(r["code"], r["row"]) for r in bad.issues.collect() if r["code"] == "MALFORMED_ROW"] == [("MALFORMED_ROW", 2)]
+    _, short = _load(spark, tmp_path, "games.csv", "game_id,name,rtp\nG1\nG2,Poker\nG3,Roulette,0.95\n")  # missing cells, as in any other row
+    assert sorted((r["game_id"], r["game_name"]) for r in short.frame.collect())[1:] == [("G2", "Poker"), ("G3", "Roulette")]
+    assert _codes(short) >= {("MISSING_VALUE", "game_name")} and "MALFORMED_ROW" not in {code for code, _ in _codes(short)}
     for empty in ("game_id,name,rtp\n", ""):
         with pytest.raises(Exception):
             ci.read_csv(spark, _csv(tmp_path, "games.csv", empty))
@@ -230,3 +234,19 @@ def test_planted_orphans_cover_every_event_and_order(spark, wh):
     found = {(r.dataset, r.code): r.message for r in cat.planted_orphans(wh).collect()}
     assert found["kyc_risk_events", "ORPHAN_PLAYER"].startswith(f"{events:,} rows")
     assert found["bonuses", "ORPHAN_PLAYER"].startswith(f"{orders:,} rows")
+
+
+def test_headers_are_read_without_a_job_and_large_files_are_split(spark, tmp_path):
+    rows = "".join(f"G{i},Name {i},0.95\n" for i in range(20_000))
+    path = _csv(tmp_path, "games.csv", "game_id,name,rtp\n" + rows)
+    group = f"headers-{uuid.uuid4().hex}"
+    spark.sparkContext.setJobGroup(group, group)
+    assert ci.header_lines(spark, path) == ["game_id,name,rtp"]
+    assert list(spark.sparkContext.statusTracker().getJobIdsForGroup(group)) == []
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64k")
+    try:
+        assert ci.read_csv(spark, path).rdd.getNumPartitions() > 3
+        assert ci.read_csv(spark, path, quoted_newlines=True).rdd.getNumPartitions() == 1
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
