@@ -43,7 +43,7 @@ def test_entry_smoke(spark):
 
 
 #: Outputs of trained models and the reads built on them, and the optional training-data queries.
-WITHOUT_ORACLE = re.compile(r"ml_(churn|ltv)_|ml_forecast_(backtest|metrics)$|ml_run_report$|overview_revenue_forecast$|"
+WITHOUT_ORACLE = re.compile(r"ml_(churn|ltv)_|ml_model_(scores_trained|list)$|ml_market_forecast$|ml_risk_summary_trained$|ml_forecast_(backtest|metrics)$|ml_run_report$|overview_revenue_forecast$|"
                             r"ai_(anomalies|forecast_backtest|ml_metrics)$|pages_(forecast_outlook|weekly_forecast|ml_scorecard)$|op\d+_|pipeline$")
 
 
