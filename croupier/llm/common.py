@@ -138,3 +138,62 @@ def shingles(words: np.ndarray, width: int = 5) -> np.ndarray:
     for j in range(k):
         out += mix64(words[j:n - k + 1 + j] + _ODD[k - 1]) * _ODD[j]
     return mix64(out)
+
+
+RUN = 256
+
+
+def bind(name: str, value: str, body: str) -> str:
+    """SQL: ``body``, in which ``name`` is ``value``, computed once."""
+    return f"transform(array({value}), {name} -> {body})[0]"
+
+
+def totals(array: str, step: str, merge: str, start: str = "0") -> str:
+    """SQL: for each element of ``array`` (a name) the fold of ``step`` over the elements before it.
+
+    ``step`` adds the element ``x`` to ``{a}``, ``merge`` adds the total ``x`` of a run of elements;
+    ``start`` is neutral. Runs of ``RUN`` elements are folded first, so that no list longer than
+    that grows element by element: the work is linear for up to millions of elements.
+    """
+    def scan(items: str, first: str, by: str) -> str:
+        return f"""aggregate({items}, struct({first} AS a, cast(array() AS array<int>) AS got),
+            (_s, x) -> struct({by.format(a='_s.a')} AS a, concat(_s.got, array(_s.a)) AS got), _s -> _s.got)"""
+
+    runs = f"transform(sequence(0, cast(greatest(size({array}) - 1, 0) div {RUN} AS int)), _c -> slice({array}, _c * {RUN} + 1, {RUN}))"
+    whole = f"transform(_runs, _run -> aggregate(_run, {start}, (_a, x) -> {step.format(a='_a')}))"
+    return bind("_runs", runs, f"flatten(zip_with(_runs, {scan(whole, start, merge)}, (_run, _from) -> {scan('_run', '_from', step)}))")
+
+
+def places(text: str, regex: str) -> str:
+    """SQL: (s, e, m) of every match of ``regex`` in the column ``text``, in code points, end exclusive.
+
+    The pieces between the matches and the matches themselves have lengths that add up to places.
+    """
+    pieces = f"""zip_with(split({text}, r'{regex}', -1), regexp_extract_all({text}, r'{regex}', 0),
+        (gap, m) -> struct(length(gap) AS g, coalesce(length(m), 0) AS l, m AS m))"""
+    at = totals("_p", "{a} + x.g + x.l", "{a} + x")
+    return bind("_p", pieces, f"""filter(zip_with(_p, {at}, (x, a) -> CASE WHEN x.m IS NOT NULL THEN
+        struct(a + x.g AS s, a + x.g + x.l AS e, x.m AS m) END), x -> x IS NOT NULL)""")
+
+
+def apart(spans: str, fixed: str) -> str:
+    """SQL: the elements of the column ``spans`` that overlap none of the column ``fixed``, from sorted neighbours."""
+    both = f"""sort_array(concat(transform({fixed}, x -> struct(x.s AS s, x.e AS e, true AS fixed, x AS span)),
+        transform({spans}, x -> struct(x.s AS s, x.e AS e, false AS fixed, x AS span))))"""
+    reach = totals("_both", "CASE WHEN x.fixed THEN greatest({a}, x.e) ELSE {a} END", "greatest({a}, x)")
+    ahead = totals("_back", "CASE WHEN x.fixed THEN least({a}, x.s) ELSE {a} END", "least({a}, x)", "2147483647")
+    sides = f"zip_with({reach}, reverse({bind('_back', 'reverse(_both)', ahead)}), (r, n) -> struct(r AS r, n AS n))"
+    found = f"zip_with(_both, {sides}, (x, w) -> CASE WHEN NOT x.fixed AND w.r <= x.s AND w.n >= x.e THEN x.span END)"
+    return f"""CASE WHEN size({fixed}) = 0 OR size({spans}) = 0 THEN {spans}
+        ELSE {bind('_both', both, f"filter({found}, x -> x IS NOT NULL)")} END"""
+
+
+def wide(text: str, name: str, body: str) -> str:
+    """SQL: ``body``, in which ``name`` is the text with four bytes a character: ``cut`` finds a place in it
+    without reading what is before it. Bound, as a binary column would be copied at each use."""
+    return bind(name, f"encode({text}, 'UTF-32')", body)
+
+
+def cut(name: str, at: str, n: str) -> str:
+    """SQL: ``n`` characters from ``at`` (from 0) of a ``wide`` text; the mark in front keeps a mark of the text."""
+    return f"decode(concat(x'0000FEFF', substring({name}, 4 * ({at}) + 1, 4 * ({n}))), 'UTF-32')"

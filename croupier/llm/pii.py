@@ -17,11 +17,13 @@ characters, separators), again trained on counts per feature pattern. A candidat
 span is added if the classifier gives it ``ACCEPT`` or more and it overlaps no base span.
 
 Everything is DataFrame expressions; the texts are never shuffled. The patterns use possessive
-quantifiers and fixed starts, so a long run of digits or letters costs linear time.
+quantifiers and fixed starts, so a long run of digits or letters costs linear time. Places are
+running sums, overlaps are found among sorted neighbours, and contexts are cut from a copy of the
+text with four bytes a character (only of texts with a candidate): linear in the matches too.
 
 Cases: NULL text is read as empty (no spans, the digest of the empty string). Repeated rows each
 get a row and NULL ids are carried. Two added spans that overlap: the earlier one stays, at equal
-starts the longer. Without candidates nothing is trained or added. An empty table gives no rows.
+starts the longer, of equal spans one. Without candidates nothing is trained or added. An empty table gives no rows.
 Further columns are ignored by ``find`` and kept by ``redact``.
 """
 
@@ -34,7 +36,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from croupier.llm.common import written
+from croupier.llm.common import apart, bind, cut, places, totals, wide, written
 
 KINDS = ("email", "ip", "card", "phone")
 ACCEPT = 0.5
@@ -78,20 +80,10 @@ _CANDIDATE = "struct<kind:int,s:int,e:int,m:string,ok:boolean,wide:boolean>"
 
 
 def _found(kind: str, wide: bool) -> str:
-    """SQL: every match of one pattern in ``_t`` with its place in code points.
-
-    The pieces between the matches and the matches themselves have lengths that add up to places.
-    """
-    regex = (WIDE if wide else BASE)[kind]
-    number = KINDS.index(kind)
-    return rf"""CASE WHEN {_GUARD[kind, int(wide)]} THEN aggregate(
-        zip_with(split(_t, r'{regex}', -1), regexp_extract_all(_t, r'{regex}', 0), (gap, m) -> struct(length(gap) AS g, m AS m)),
-        struct(0 AS at, cast(array() AS array<{_CANDIDATE}>) AS got),
-        (acc, x) -> CASE WHEN x.m IS NULL THEN acc ELSE struct(
-            acc.at + x.g + length(x.m) AS at,
-            concat(acc.got, array(struct({number} AS kind, acc.at + x.g AS s, acc.at + x.g + length(x.m) AS e, x.m AS m,
-                                         coalesce({_check(kind)}, false) AS ok, {str(wide).lower()} AS wide))) AS got) END,
-        acc -> acc.got) ELSE cast(array() AS array<{_CANDIDATE}>) END"""
+    """SQL: every match of one pattern in ``_t`` with its place in code points and the verdict of its check."""
+    spans = places("_t", (WIDE if wide else BASE)[kind])
+    return rf"""CASE WHEN {_GUARD[kind, int(wide)]} THEN transform({spans}, x -> struct({KINDS.index(kind)} AS kind, x.s AS s, x.e AS e, x.m AS m,
+        coalesce({_check(kind)}, false) AS ok, {str(wide).lower()} AS wide)) ELSE cast(array() AS array<{_CANDIDATE}>) END"""
 
 
 _DIGITS = "regexp_replace(x.m, '[^0-9]', '')"
@@ -119,9 +111,9 @@ def _vote(yes: str, no: str) -> str:
 
 
 def _votes() -> dict[str, str]:
-    """SQL of each vote and feature for a candidate ``x`` of the text ``_t``."""
+    """SQL of each vote and feature for a candidate ``x`` of the text ``_u`` (four bytes a character)."""
     d = _DIGITS
-    near = "lower(concat(substring(_t, greatest(x.s - 40, 0) + 1, least(x.s, 40)), ' ', substring(_t, x.e + 1, 20)))"
+    near = f"lower(concat({cut('_u', 'greatest(x.s - 40, 0)', 'least(x.s, 40)')}, ' ', {cut('_u', 'x.e', '20')}))"
     cue = " ".join(f"WHEN {i} THEN {near} rlike r'(?<![a-z])(?:{_CUES[k]})(?![a-z])'" for i, k in enumerate(KINDS))
     by_kind = {
         "gazetteer": [
@@ -146,8 +138,8 @@ def _votes() -> dict[str, str]:
         "v_shape": pick["shape"],
         "f_length": "least(x.e - x.s, 39) div 5",
         "f_digits": f"(length({d}) * 4) div greatest(x.e - x.s, 1)",
-        "f_before": side.format(c="CASE WHEN x.s = 0 THEN '' ELSE substring(_t, x.s, 1) END"),
-        "f_after": side.format(c="substring(_t, x.e + 1, 1)"),
+        "f_before": side.format(c=f"CASE WHEN x.s = 0 THEN '' ELSE {cut('_u', 'x.s - 1', '1')} END"),
+        "f_after": side.format(c=cut("_u", "x.e", "1")),
         "f_parts": r"least(size(regexp_extract_all(x.m, r'[ ().:@-]+', 0)), 4)",
     }
 
@@ -165,10 +157,11 @@ def candidates(docs: DataFrame, keep: list[str]) -> DataFrame:
     other = ", ".join([f"filter(_{k}, x -> NOT x.ok)" for k in KINDS] + [f"_{k}_wide" for k in KINDS])
     df = df.withColumn("_base", F.expr(f"concat({base})")).withColumn("_other", F.expr(f"concat({other})"))
     # what overlaps a base span is not a candidate of its own
-    df = df.withColumn("_free", F.expr("filter(_other, x -> NOT exists(_base, b -> b.s < x.e AND x.s < b.e))"))
+    df = df.withColumn("_free", F.expr(apart("_other", "_base")))
     votes = ", ".join(f"{sql} AS {name}" for name, sql in _votes().items())
     fields = f"struct(x.kind AS kind, x.s AS s, x.e AS e, x.ok AND NOT x.wide AS base, {votes})"
-    return df.select(*[F.col(f"`{c}`") for c in keep], "_t", F.expr(f"transform(concat(_base, _free), x -> {fields})").alias("found"))
+    return df.select(*[F.col(f"`{c}`") for c in keep], "_t", 
+                     F.expr(f"""{wide("CASE WHEN size(_base) + size(_free) > 0 THEN _t ELSE '' END", '_u', f'transform(concat(_base, _free), x -> {fields})')}""").alias("found"))
 
 
 def _em(rows: list, rounds: int = EM_ROUNDS) -> dict[tuple, float]:
@@ -241,8 +234,9 @@ def _decided(found: DataFrame, score: str | None) -> DataFrame:
     if score is None:
         return df.withColumn("added", F.expr(f"cast(array() AS array<{_PLAIN}>)"))
     df = df.withColumn("_new", F.expr(f"transform(filter(found, x -> NOT x.base AND {score} >= {ACCEPT}), {plain})"))
-    clash = "y.s < x.e AND x.s < y.e AND (y.s < x.s OR y.s = x.s AND (y.e > x.e OR y.e = x.e AND y.kind < x.kind))"
-    return df.withColumn("added", F.expr(f"array_sort(filter(_new, x -> NOT exists(_new, y -> {clash})))"))
+    order = "sort_array(transform(_new, x -> struct(x.s AS s, -x.e AS e, x.kind AS kind)))"
+    free = f"zip_with(_o, {totals('_o', 'greatest({a}, -x.e)', 'greatest({a}, x)')}, (x, a) -> CASE WHEN a <= x.s THEN struct(x.kind AS kind, x.s AS s, -x.e AS e) END)"
+    return df.withColumn("added", F.expr(f"array_sort(filter({bind('_o', order, free)}, x -> x IS NOT NULL))"))
 
 
 def _listed(spans: str) -> Column:
@@ -268,9 +262,10 @@ def redact(docs: DataFrame) -> DataFrame:
     # spans by start; one that begins inside what is already replaced only extends it
     df = df.withColumn("_all", F.expr("array_sort(transform(concat(base, added), x -> struct(x.s AS s, x.e AS e, x.kind AS kind)))"))
     names = "array(" + ", ".join(f"'[{k.upper()}]'" for k in KINDS) + ")"
-    text = F.expr(f"""aggregate(_all, struct(0 AS at, '' AS done),
-        (a, x) -> struct(greatest(a.at, x.e) AS at, CASE WHEN x.s < a.at THEN a.done
-            ELSE concat(a.done, substring(_t, a.at + 1, x.s - a.at), {names}[x.kind]) END AS done),
-        a -> concat(a.done, substring(_t, a.at + 1)))""")
+    end = totals("_all", "greatest({a}, x.e)", "greatest({a}, x)")
+    pieces = f"zip_with(_all, {end}, (x, a) -> CASE WHEN x.s < a THEN '' ELSE concat({cut('_u', 'a', 'x.s - a')}, {names}[x.kind]) END)"
+    rest = bind("_end", "array_max(transform(_all, x -> x.e))", cut("_u", "_end", "length(_t) - _end"))
+    whole = wide("_t", "_u", f"concat(array_join({pieces}, ''), {rest})")
+    text = F.expr(f"CASE WHEN size(_all) > 0 THEN {whole} END")
     text = F.when(F.col("_row.text").isNull() | (F.size("_all") == 0), F.col("_row.text")).otherwise(text)
     return df.select(*[text.alias(c) if c == "text" else F.col("_row")[c].alias(c) for c in columns])

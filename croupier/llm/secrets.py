@@ -21,7 +21,7 @@ counts are pre-aggregated per task, and coverage is looked up once per distinct
 Cases: NULL or empty text has no candidates. Repeated rows give repeated findings, NULL ids are
 carried. Without labelled findings of both classes every candidate is kept with the share of
 secrets among the labels (1 without any). Two patterns that meet at one place give one finding,
-the assigned one. Very long texts are read whole in linear time. An empty table gives no rows;
+the assigned one. Very long texts, and texts with very many candidates, are read whole in linear time. An empty table gives no rows;
 further columns are ignored.
 """
 
@@ -33,7 +33,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from croupier.llm.common import written
+from croupier.llm.common import apart, cut, places, wide, written
 
 MIN_LENGTH = 16
 MIN_WORD_COUNT = 5
@@ -62,14 +62,9 @@ _SPAN = "struct<s:int,e:int,m:string>"
 
 
 def _found(kind: str) -> str:
-    """SQL: every match with its place in code points, from the lengths of matches and gaps."""
+    """SQL: every match with its place in code points."""
     regex = "(?i)" + PATTERNS[kind] if kind == "assigned" else PATTERNS[kind]
-    return rf"""CASE WHEN {_GUARDS[kind]} THEN aggregate(
-        zip_with(split(_t, r'{regex}', -1), regexp_extract_all(_t, r'{regex}', 0), (gap, m) -> struct(length(gap) AS g, m AS m)),
-        struct(0 AS at, cast(array() AS array<{_SPAN}>) AS got),
-        (acc, x) -> CASE WHEN x.m IS NULL THEN acc ELSE struct(acc.at + x.g + length(x.m) AS at,
-            concat(acc.got, array(struct(acc.at + x.g AS s, acc.at + x.g + length(x.m) AS e, x.m AS m))) AS got) END,
-        acc -> acc.got) ELSE cast(array() AS array<{_SPAN}>) END"""
+    return f"CASE WHEN {_GUARDS[kind]} THEN {places('_t', regex)} ELSE cast(array() AS array<{_SPAN}>) END"
 
 
 def candidates(docs: DataFrame) -> DataFrame:
@@ -78,10 +73,13 @@ def candidates(docs: DataFrame) -> DataFrame:
     df = df.withColumn("_low", F.lower("_t"))
     for kind in PATTERNS:
         df = df.withColumn(f"_{kind}", F.expr(_found(kind)))
-    df = df.withColumn("_free", F.expr("filter(_token, x -> NOT exists(_assigned, b -> b.s < x.e AND x.s < b.e))"))
-    fields = "x.s AS s, x.e AS e, x.m AS m, substring(_t, greatest(x.s - 40, 0) + 1, least(x.s, 40)) AS before, substring(_t, x.e + 1, 20) AS after"
-    df = df.withColumn("_all", F.expr(f"""concat(transform(_assigned, x -> struct('assigned' AS kind, {fields})),
-                                                 transform(_free, x -> struct('token' AS kind, {fields})))"""))
+    df = df.withColumn("_free", F.expr(apart("_token", "_assigned")))
+    fields = f"""x.s AS s, x.e AS e, x.m AS m, {cut('_u', 'greatest(x.s - 40, 0)', 'least(x.s, 40)')} AS before,
+        {cut('_u', 'x.e', '20')} AS after"""
+    every = f"""concat(transform(_assigned, x -> struct('assigned' AS kind, {fields})), transform(_free, x -> struct('token' AS kind, {fields})))"""
+    df = df.withColumn("_all", F.expr(wide("CASE WHEN size(_assigned) + size(_free) > 0 THEN _t ELSE '' END", "_u", every)))
+    # one row out per row in: the filter that goes with the next explode is not pushed below, where it would repeat every step
+    df = df.select(F.inline(F.array(F.struct("doc_id", "_all"))))
     return (df.select("doc_id", F.explode("_all").alias("x")).select("doc_id", "x.*")
             .withColumn("id", F.monotonically_increasing_id()))
 
@@ -103,9 +101,9 @@ def coverage(found: DataFrame, words: DataFrame) -> DataFrame:
 
 _L = "greatest(length(m), 1)"
 FEATURES = {
-    "length": "cast(least(length(m), 200) AS double)",
+    "length": "cast(length(m) AS double)",
     "transitions": rf"size(regexp_extract_all(m, r'[a-z]+|[A-Z]+|[0-9]+|[^A-Za-z0-9]+', 0)) / {_L}",
-    "distinct": f"size(array_distinct(split(left(m, 200), ''))) / least({_L}, 200)",
+    "distinct": f"size(array_distinct(split(m, ''))) / {_L}",
     "digits": f"regexp_count(m, '[0-9]') / {_L}",
     "capitals": f"regexp_count(m, '[A-Z]') / {_L}",
     "covered": "coalesce(covered, 0D)",

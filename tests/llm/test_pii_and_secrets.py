@@ -3,10 +3,12 @@
 import hashlib
 import random
 import re
+import time
 
 from pyspark.sql import functions as F
 
 from croupier.llm import pii, secrets
+from croupier.llm.common import apart
 
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
@@ -59,6 +61,41 @@ def test_base_spans_equal_brute_force(spark, documents):
     assert added > 0
 
 
+def test_many_matches_in_one_text(spark):
+    """100,000 matches in one row: places, overlaps, contexts and replacements in linear time."""
+    text = "\ufeff\U0001F600" + "mail ab@c.de from 10.0.0.1 " * 50_000 + "end"
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    start = time.monotonic()
+    (x,) = pii.find(docs).collect()
+    counts, spans = brute(text)
+    assert [x.n_email, x.n_ip, x.n_card, x.n_phone] == counts == [50_000, 50_000, 0, 0]
+    assert x.base_sha256 == hashlib.sha256(",".join(spans).encode()).hexdigest()
+    (y,) = pii.redact(docs).collect()
+    assert y.text == "\ufeff\U0001F600" + "mail [EMAIL] from [IP] " * 50_000 + "end"
+    assert time.monotonic() - start < 120
+
+
+def test_overlaps_equal_brute_force(spark):
+    r = random.Random(3)
+
+    def spans(n):
+        return [(s, s + r.randint(1, 12)) for s in (r.randint(0, 40 * n + 1) for _ in range(n))]
+
+    rows = [(i, spans(r.choice((0, 1, 5, 600))), spans(r.choice((0, 1, 5, 600)))) for i in range(40)]
+    df = spark.createDataFrame(rows, "i int, a array<struct<s:int,e:int>>, b array<struct<s:int,e:int>>")
+    got = {x.i: sorted(map(tuple, x.free)) for x in df.select("i", F.expr(apart("a", "b")).alias("free")).collect()}
+    for i, a, b in rows:
+        assert got[i] == sorted(x for x in a if not any(y[0] < x[1] and x[0] < y[1] for y in b))
+
+
+def test_equal_and_nested_added_spans(spark):
+    """Of added spans that overlap the earliest stays, at equal starts the longest, of equal ones one."""
+    found = [(0, 5, 9, False), (3, 5, 12, False), (2, 11, 20, False), (2, 30, 40, False), (2, 30, 40, False), (1, 50, 60, True)]
+    df = spark.createDataFrame([(1, found)], "i int, found array<struct<kind:int,s:int,e:int,base:boolean>>")
+    (x,) = pii._decided(df, "1.0").collect()
+    assert list(map(tuple, x.base)) == [(1, 50, 60)] and list(map(tuple, x.added)) == [(2, 30, 40), (3, 5, 12)]
+
+
 def test_em_finds_the_reliable_labelers():
     """Three informative labelers against one that votes at random."""
     r = random.Random(1)
@@ -131,6 +168,17 @@ def test_coverage_equals_brute_force(spark):
     assert got == {"alpha77beta99zzz99999": 9 / 21}
 
 
+def test_many_candidates_in_one_text(spark):
+    text = "\U0001F600" + "ab12cd34ef56ab78cd 'x' password=b7db7aa4a5fc " * 50_000
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    start = time.monotonic()
+    rows = secrets.candidates(docs).select("kind", "s", "e", "before", "after").collect()
+    assert len(rows) == 100_000 and time.monotonic() - start < 120
+    for x in rows[::997]:
+        assert x.before == text[max(x.s - 40, 0):x.s] and x.after == text[x.e:x.e + 20]
+        assert text[x.s:x.e] == ("ab12cd34ef56ab78cd" if x.kind == "token" else "b7db7aa4a5fc")
+
+
 def test_secrets_odd_rows(odd, nothing):
     assert secrets.scan(nothing).count() == 0
     rows = secrets.scan(odd).collect()
