@@ -185,3 +185,11 @@ def test_series_of_markets_are_independent(spark):
     assert np.allclose(out[out.market == "b"].predicted_value, 10.0)
     a = out[out.market == "a"].sort_values("forecast_date").predicted_value.to_numpy()
     assert max(abs(v - (100 + 50 * ((300 + k) % 7 == 0))) for k, v in enumerate(a)) < 10
+
+
+def test_a_run_for_one_model_fits_that_model_only(wh, tmp_path):
+    tables = training.train(wh, str(tmp_path / "one"), CUTOFF, "r4", QUICK, names=[("churn", 14)])
+    assert [(r.model_name, r.status) for r in tables["model_list"].collect()] == [("churn_14d", "trained")]
+    measured = {r.model_name for r in tables["model_metrics"].select("model_name").collect()}
+    assert "churn_14d" in measured and not measured & {f"{k}_{h}d" for k, h in training.NAMES if (k, h) != ("churn", 14)}
+    assert tables["model_scores"].count() > 0
