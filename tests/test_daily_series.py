@@ -49,3 +49,17 @@ def test_hand_made_days(spark):
     assert (rows[4].deposits, rows[4].ftd, rows[6].deposits, rows[6].ftd, rows[5].player_activity, rows[2].ggr) == (4.5, 1.0, 0.0, 0.0, 1.0, 0.0)
     given = spark.createDataFrame([(day(4),), (day(9),)], "calendar_date date")
     assert sorted(r.date.day for r in series.daily_series(wh.with_tables(dim_date=given)).collect()) == [4, 9]
+
+
+def test_series_tables_are_built_while_models_are_fitted(wh, tmp_path, monkeypatch):
+    from threading import Event
+
+    from croupier.ml import models, training
+
+    done, waited = Event(), []
+    build = training._series_tables
+    monkeypatch.setattr(training, "_series_tables", lambda *a: (build(*a), done.set())[0])
+    monkeypatch.setattr(models, "fit", lambda *a: (waited.append(done.wait(120)), (None, []))[1])
+    tables = training.train(wh, str(tmp_path / "run"), "2000-03-31", "r", names=[("churn", 7)])
+    assert waited == [True]
+    assert {"forecasters", "forecast_backtest", "revenue_forecast", "ml_anomalies", "model_scores", "model_metrics", "run_report"} <= set(tables)
