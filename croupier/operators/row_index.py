@@ -37,5 +37,6 @@ def with_row_index(df: DataFrame, name: str = "row_index") -> DataFrame:
     earlier = F.aggregate(F.filter("all", lambda c: c["chunk"] < F.col("chunk")), F.lit(0).cast("bigint"), lambda a, c: a + c["t"])
     starts = attach_scalars(within, totals).select(F.col("__pid").alias("__p"), (F.col("inside") + earlier).alias("__first"))
     position = F.col("__mid") - F.shiftleft("__pid", 33)
-    return (tagged.join(starts, tagged["__pid"] == starts["__p"])
+    # one row per partition: broadcast, so that the rows themselves are not shuffled to meet it
+    return (tagged.join(F.broadcast(starts), tagged["__pid"] == starts["__p"])
             .withColumn(name, (F.col("__first") + position).cast("long")).drop("__mid", "__pid", "__p", "__first"))

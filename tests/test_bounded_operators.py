@@ -18,3 +18,17 @@ def test_six_valued_column_collects_pairs_only(spark, monkeypatch):
 def test_row_index_is_contiguous_in_order(spark):
     df = spark.range(0, 1000, 1, 7)
     assert [r.row_index for r in with_row_index(df).orderBy("id").collect()] == list(range(1000))
+
+
+def test_row_index_does_not_shuffle_the_rows(spark, tmp_path):
+    path = str(tmp_path / "rows")
+    spark.range(0, 1000, 1, 4).write.parquet(path)
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "-1")
+    try:
+        indexed = with_row_index(spark.read.parquet(path))
+        assert "SortMergeJoin" not in indexed._jdf.queryExecution().executedPlan().toString()
+        assert sorted(r.row_index for r in indexed.collect()) == list(range(1000))
+    finally:
+        spark.conf.set(key, before)
