@@ -193,3 +193,23 @@ def test_a_run_for_one_model_fits_that_model_only(wh, tmp_path):
     measured = {r.model_name for r in tables["model_metrics"].select("model_name").collect()}
     assert "churn_14d" in measured and not measured & {f"{k}_{h}d" for k, h in training.NAMES if (k, h) != ("churn", 14)}
     assert tables["model_scores"].count() > 0
+
+
+def test_refit_runs_beside_the_first_fit(spark, monkeypatch):
+    import threading
+
+    both = threading.Barrier(2, timeout=60)
+
+    def fitted(rows, kind, params):
+        both.wait()
+        return sorted(r.split for r in rows.collect())
+
+    monkeypatch.setattr(models, "trainable", lambda *_: True)
+    monkeypatch.setattr(models, "_labelled", lambda data, kind: data)
+    monkeypatch.setattr(models, "_fitted", fitted)
+    monkeypatch.setattr(models, "predicted", lambda model, kind, rows: rows)
+    monkeypatch.setattr(models, "regression_metrics", lambda rows: {"mae": float(rows.count())})
+    data = spark.createDataFrame([("train", 1.0), ("train", 2.0), ("validation", 3.0), ("test", 4.0)], "split string, value double")
+    model, rows = models.fit(data, "ltv", 30)
+    assert model == ["train", "train", "validation"]
+    assert [(r[2], r[4]) for r in rows] == [("validation", 1.0), ("test", 1.0)]
