@@ -213,3 +213,10 @@ def test_refit_runs_beside_the_first_fit(spark, monkeypatch):
     model, rows = models.fit(data, "ltv", 30)
     assert model == ["train", "train", "validation"]
     assert [(r[2], r[4]) for r in rows] == [("validation", 1.0), ("test", 1.0)]
+
+
+def test_partitions_of_a_fit_are_one_wave_of_tasks():
+    """36 partitions of 100,000 rows were three waves of short tasks in each of some 700 jobs."""
+    assert training.partitions(0, 12) == 1 and training.partitions(360_000, 12) == 3
+    assert training.partitions(3_600_000, 12) == 12  # what 12 cores run at a time
+    assert training.partitions(21_600_000, 12) == 44  # and no partition grows beyond the bound
