@@ -220,3 +220,16 @@ def test_partitions_of_a_fit_are_one_wave_of_tasks():
     assert training.partitions(0, 12) == 1 and training.partitions(360_000, 12) == 3
     assert training.partitions(3_600_000, 12) == 12  # what 12 cores run at a time
     assert training.partitions(21_600_000, 12) == 44  # and no partition grows beyond the bound
+
+
+def test_scorecard_counts_the_anomalies_of_its_training_run(wh, monkeypatch):
+    from croupier import catalog_ml
+
+    spark = wh.spark
+    metrics = spark.createDataFrame([("churn_30d", "test", "roc_auc", 0.75), ("churn_30d", "test", "lift_top_10pct", 2.5), ("forecast_ggr", "test", "wape", 0.25)],
+                                    "model_name string, split string, metric_name string, metric_value double")
+    monkeypatch.setattr(catalog_ml, "trained", lambda w, *names: {"model_metrics": metrics, "ml_anomalies": spark.range(4)})
+    monkeypatch.setattr(catalog_ml, "next_best_actions_table", lambda w: spark.createDataFrame([("Do nothing",), ("Manual fraud review",)], "recommended_action string"))
+    monkeypatch.setattr(series, "anomalies", lambda *a: pytest.fail("the daily series is built a second time"))
+    fresh = type(wh)(spark, raw=wh.raw)
+    assert [tuple(r) for r in catalog_ml.scorecard(fresh).collect()] == [(0.75, 2.5, 0.75, 4, 1)]
