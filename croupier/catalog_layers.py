@@ -12,7 +12,7 @@ from croupier.catalog import register
 from croupier.oracle import q, scores_ctes
 from croupier.plans import loads
 from croupier.scope import month_key
-from croupier.session import shared_dir
+from croupier.session import released_shuffles, shared_dir
 
 
 def _doubles(df, cols):
@@ -91,7 +91,8 @@ def loaded(wh, name: str):
     first = type(wh)(wh.spark, raw=wh.raw)
     first.loaded_at = dt.datetime.fromisoformat(FIRST)
     fact = getattr(first, name)
-    fact.write.partitionBy("event_month").parquet(f"{path}/{name}")
+    with released_shuffles(wh.spark):
+        fact.write.partitionBy("event_month").parquet(f"{path}/{name}")
     built = type(wh)(wh.spark, tables={name: type(wh)._read(wh.spark, f"{path}/{name}", name, fact.schema)})
     rows = built._tables[name].drop("loaded_at")
     later = F.date_add(day, 40)

@@ -79,3 +79,45 @@ def test_repeated_keys_in_one_load_keep_one_row(spark, built):
     total = rows.count()
     loads.append_load(wh, path, NAME, load, at(4))
     assert wh._tables[NAME].count() == total and wh._tables[NAME].filter(F.col("loaded_at") == F.lit(at(4))).count() == 1
+
+
+def shuffle_files(spark):
+    names = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n").split("\n")
+    return {os.path.basename(n) for n in names if "/shuffle_" in n}
+
+
+def test_shuffle_files_of_a_load_go_with_its_steps(spark, built):
+    import time
+
+    wh, path = built
+    rows = wh._tables[NAME].drop("loaded_at")
+    before = shuffle_files(spark)
+    loads.append_load(wh, path, NAME, rows.withColumn("amount", F.col("amount") + 1), at(5))
+    for _ in range(40):
+        if not (left := shuffle_files(spark) - before):
+            break
+        time.sleep(0.25)
+    assert not left
+
+
+def test_months_in_several_steps_give_the_same_fact(spark, built, monkeypatch):
+    wh, path = built
+    steps = []
+    monkeypatch.setattr(loads, "ROWS_A_STEP", 1)
+    monkeypatch.setattr(loads, "MOST_STEPS", 3)
+    monkeypatch.setattr(loads, "_steps", lambda sizes, f=loads._steps: steps.append(f(sizes)) or steps[-1])
+    rows = wh._tables[NAME].drop("loaded_at")
+    expected = {r.transaction_id: (r.amount + 2, r.transaction_day) for r in rows.collect()}
+    months = loads.append_load(wh, path, NAME, rows.withColumn("amount", (F.col("amount") + 2).cast("decimal(18,2)")), at(6))
+    assert len(steps[0]) == 3 and [m for some in steps[0] for m in some] == months
+    assert {r[0]: (r[1], r[2]) for r in state(wh)} == expected and {r[3] for r in state(wh)} == {at(6)}
+
+
+def test_rows_without_a_key_are_versions_of_none(spark, built):
+    wh, path = built
+    rows = wh._tables[NAME].drop("loaded_at")
+    total, one = rows.count(), rows.limit(1).collect()[0].asDict()
+    load = spark.createDataFrame([tuple({**one, "transaction_id": None}[c] for c in rows.columns)] * 2, rows.schema)
+    loads.append_load(wh, path, NAME, load, at(7))
+    loads.append_load(wh, path, NAME, load, at(8))
+    assert wh._tables[NAME].count() == total + 2 and wh._tables[NAME].filter("transaction_id IS NULL").count() == 2
