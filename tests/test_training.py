@@ -233,3 +233,80 @@ def test_scorecard_counts_the_anomalies_of_its_training_run(wh, monkeypatch):
     monkeypatch.setattr(series, "anomalies", lambda *a: pytest.fail("the daily series is built a second time"))
     fresh = type(wh)(spark, raw=wh.raw)
     assert [tuple(r) for r in catalog_ml.scorecard(fresh).collect()] == [(0.75, 2.5, 0.75, 4, 1)]
+
+
+def test_training_facts_give_the_same_rows_from_one_derivation(wh):
+    facts = type(wh)(wh.spark, raw=wh.raw).training_facts
+    specs = models.specs_for(CUTOFF) + [Spec(CUTOFF, 1, "current")]
+    assert rounded(snapshots(facts, specs)) == rounded(snapshots(wh, specs))
+    assert sorted(map(tuple, series.daily_series(facts).collect())) == sorted(map(tuple, series.daily_series(wh).collect()))
+    sessions = facts.fact_casino_session
+    assert "/training-facts-" in sessions.inputFiles()[0] and sessions is facts.sessions
+    assert wh.spark.read.parquet(sessions.inputFiles()[0].rsplit("/", 1)[0]).count() == wh.fact_casino_session.count()
+
+
+def test_marks_count_a_day_and_a_game_once(spark, wh):
+    """Also with a missing game, a repeated row, a late evening behind a mark and rows without a time."""
+    from croupier.plans.warehouse import Warehouse, _TrainingFacts
+
+    t = lambda s: dt.datetime.fromisoformat(s) if s else None
+    dim = spark.createDataFrame([(p, t("2000-01-01T00:00:00"), dt.date(2000, 1, 1), "A", "x", "y", "v", "k") for p in "pq"],
+                                "player_id string, registration_at timestamp_ntz, registration_date date, country string, channel string, device string, "
+                                "vip_level string, kyc_status string")
+    seen = [("p", "2000-02-01T10:00:00", "g"), ("p", "2000-02-01T10:00:00", "g"), ("p", "2000-02-01T23:59:59.500", "h"), ("p", "2000-02-02T00:00:00", None),
+            ("p", "2000-02-03T09:00:00", "g"), ("p", None, "i"), ("p", "2000-02-03T10:00:00", "i"), ("q", "2000-02-01T23:59:59.500", "g"), ("q", "2000-02-02T01:00:00", None)]
+    empty = {n: getattr(wh, n).limit(0) for n in ("fact_casino_session", "fact_transaction", "fact_sports_bet")}
+    made = spark.createDataFrame([(p, g, t(x), t(x).date() if x else None, 2.0, 10, 7, 3, 1, True, "x") for p, x, g in seen],
+                                 "player_id string, game_id string, session_start timestamp_ntz, session_date date, duration_minutes double, total_bet_amount int, "
+                                 "total_payout_amount int, casino_ggr int, bet_count int, player_known boolean, channel string").withColumns(
+        {c: F.col(c).cast("decimal(18,2)") for c in ("total_bet_amount", "total_payout_amount", "casino_ggr")})
+    source = Warehouse(spark, raw=wh.raw, tables={**empty, "fact_casino_session": made, "dim_player": dim, "dim_game": wh.dim_game})
+    facts = _TrainingFacts(source)
+    plain = type("Plain", (), {"sessions": made, "transactions": source.transactions, "sports_bets": source.sports_bets, "dim_player": dim})()
+    specs = [Spec("2000-02-01", 1, "a"), Spec("2000-02-02", 1, "b"), Spec("2000-02-04", 1, "c")]
+    got = {(r.player_id, r.split): (r.session_count, r.active_days, r.distinct_games) for r in snapshots(facts, specs).collect()}
+    assert got == {("p", "a"): (2, 1, 1), ("p", "b"): (4, 2, 2), ("p", "c"): (6, 3, 3), ("q", "b"): (2, 2, 1), ("q", "c"): (2, 2, 1)}
+    assert rounded(snapshots(facts, specs)) == rounded(snapshots(plain, specs))
+
+
+def test_models_at_a_time_keep_their_rows_in_memory():
+    gb = 1_000_000_000
+    assert training.at_a_time(3_600_000, None) == training.at_a_time(0, gb) == training.at_a_time(36_000, 10 * gb) == training.THREADS
+    assert 2 <= training.at_a_time(3_600_000, 10 * gb) < 3  # two of six models at 1 GB of input on 10 GB of storage
+    assert 0 < training.at_a_time(21_600_000, 10 * gb) < 1  # one fit after the other
+
+
+def test_a_refit_without_room_waits_for_the_first_fit(spark, monkeypatch):
+    order = []
+
+    def fitted(rows, kind, params):
+        order.append(sorted(r.split for r in rows.collect()))
+        return order[-1]
+
+    monkeypatch.setattr(models, "trainable", lambda *_: True)
+    monkeypatch.setattr(models, "_labelled", lambda data, kind: data)
+    monkeypatch.setattr(models, "_fitted", fitted)
+    monkeypatch.setattr(models, "predicted", lambda model, kind, rows: rows)
+    monkeypatch.setattr(models, "regression_metrics", lambda rows: order.append("measured") or {"mae": 1.0})
+    data = spark.createDataFrame([("train", 1.0), ("train", 2.0), ("validation", 3.0), ("test", 4.0)], "split string, value double")
+    model, rows = models.fit(data, "ltv", 30, beside=False)
+    assert order == [["train", "train"], "measured", "measured", ["train", "train", "validation"]] and model == order[-1] and len(rows) == 2
+
+
+def test_scorecard_and_trained_scores_read_the_facts_of_the_run(wh, monkeypatch):
+    """Both derived every fact once more."""
+    from croupier import catalog_ml
+
+    fresh = type(wh)(wh.spark, raw=wh.raw)
+    read = []
+    monkeypatch.setattr(catalog_ml, "trained", lambda w, *names: {"model_scores": wh.model_scores.withColumn("import_run_id", F.lit("r")),
+                                                                  "model_metrics": None, "ml_anomalies": None})
+    monkeypatch.setattr(catalog_ml, "next_best_actions_table", lambda w: read.append(w))
+    monkeypatch.setattr(catalog_ml.pages, "ml_scorecard", lambda *a: None)
+    catalog_ml.scorecard(fresh)
+    read.append(catalog_ml.with_trained_scores(fresh))
+    assert all(w.by_player is fresh.training_facts for w in read) and len(read) == 2 and fresh._player_order is None
+    facts = fresh.training_facts
+    of = lambda w: sorted(map(str, w.mart_player_360.select("player_id", "ftd_date", "first_activity_date", "churn_probability").collect()))
+    assert of(read[1]) == of(wh)
+    assert sorted(map(str, fresh.scored_from(facts).model_scores.collect())) == sorted(map(str, wh.model_scores.collect()))
